@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, substring_dedup, suffix_dedup
+from . import mixing, packing, quality, substring_dedup, suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -47,3 +47,9 @@ def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE_SQL["op7_source_mixing"] = mixing.ORACLE
+
+
+@_query
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = quality.score(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return got.drop("text")
