@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from . import arrays as A
 
 BATCH_BYTES = 48 << 20
-_FOUND = "k long, h long, spans binary"
-_LOCAL = -1  # of an anchor that several texts of one batch have
+_FOUND = "k long, h int, spans binary"
+_LOCAL = -(2**63) + 1  # of an anchor that several texts of one batch have
 #: Kernel: (anchors, contents, ids, times) of a shard's distinct segments by anchor -> for each the windows found elsewhere.
 Kernel = Callable[[np.ndarray, list[bytes], np.ndarray, np.ndarray], list[np.ndarray | None]]
 
@@ -54,9 +54,9 @@ class Rule:
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """Texts with their key: k (the id; null is the least) and h (a hash of the text, to tell rows of one id apart)."""
+    """Texts with their key: k (the id; null is the least) and h (a hash of the text, to tell different texts of one id apart)."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select("doc_id", text.alias("text")).withColumns({"k": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), "h": F.xxhash64("text")})
+    return docs.select("doc_id", text.alias("text")).withColumns({"k": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), "h": F.hash("text")})
 
 
 def shards_for(docs: DataFrame, bytes_per_shard: int) -> int:
@@ -105,56 +105,50 @@ def anchors_out(rule: Rule, shards: int) -> Callable[[Iterator[pa.RecordBatch]],
             owner = np.repeat(np.arange(len(rows)), [len(x) for x in got])
             anchors = np.concatenate([*got, np.zeros(0, A.U64)])
             ids = np.array([r["k"] for r in rows], dtype=np.int64)
-            hashes = np.array([r["h"] for r in rows], dtype=np.int64)
             order, first, size = A.by_key(anchors)
             anchors, owner = anchors[order], owner[order]
             many = size > 1
             inside = np.repeat(many, size)
-            out: dict[str, list] = {"shard": [], "anchors": [], "k": [], "h": []}
+            out: dict[str, list] = {"shard": [], "anchors": [], "k": []}
             sent, local = anchors[first], np.where(many, -1, owner[first])
             for s, at in _deal((sent % A.U64(shards)).astype(np.int64), shards):
                 who = local[at]
                 out["shard"].append(s)
                 out["anchors"].append(sent[at].tobytes())
-                # -1 in both: several texts of this batch
                 out["k"].append(np.where(who < 0, _LOCAL, ids[who]).tobytes())
-                out["h"].append(np.where(who < 0, _LOCAL, hashes[who]).tobytes())
-            yield _batch(kind=([0] * len(out["shard"]), pa.int32()), shard=(out["shard"], pa.int32()), anchors=(out["anchors"], pa.binary()), ks=(out["k"], pa.binary()), hs=(out["h"], pa.binary()))
+            yield _batch(kind=([0] * len(out["shard"]), pa.int32()), shard=(out["shard"], pa.int32()), anchors=(out["anchors"], pa.binary()), ks=(out["k"], pa.binary()))
             if inside.any():
                 own, grams = owner[inside], anchors[inside]
                 back, start, count = A.by_key(own)
                 yield _batch(
                     kind=([1] * len(start), pa.int32()), shard=([int(x) for x in own[back][start] % shards], pa.int32()),
                     anchors=([grams[back[a : a + c]].tobytes() for a, c in zip(start, count, strict=True)], pa.binary()),
-                    ks=([ids[own[back[a]]].tobytes() for a in start], pa.binary()), hs=([hashes[own[back[a]]].tobytes() for a in start], pa.binary()),
+                    ks=([ids[own[back[a]]].tobytes() for a in start], pa.binary()),
                 )
 
     return run
 
 
 def repeated_anchors(table: pa.Table) -> pa.Table:
-    """Of one shard: for each text, those of its anchors that occur more than once."""
-    anchors, ks, hs, sure = [], [], [], []
-    for kind, a, k, h in zip(*(table.column(c).to_pylist() for c in ("kind", "anchors", "ks", "hs")), strict=True):
+    """Of one shard: for each id, those of its anchors that occur more than once."""
+    anchors, ks, sure = [], [], []
+    for kind, a, k in zip(*(table.column(c).to_pylist() for c in ("kind", "anchors", "ks")), strict=True):
         grams = np.frombuffer(a, dtype=A.U64)
         anchors.append(grams)
         ks.append(np.resize(np.frombuffer(k, dtype=np.int64), len(grams)))
-        hs.append(np.resize(np.frombuffer(h, dtype=np.int64), len(grams)))
         sure.append(np.full(len(grams), kind == 1))
-    grams, k, h, direct = (np.concatenate(x) for x in (anchors, ks, hs, sure))
+    grams, k, direct = (np.concatenate(x) for x in (anchors, ks, sure))
     found = np.zeros(len(grams), dtype=bool)
     at = np.flatnonzero(~direct)
-    order, first, size = A.by_key(grams[at])
+    order, _, size = A.by_key(grams[at])
     several = np.zeros(len(at), dtype=bool)
     several[order] = np.repeat(size > 1, size)
-    found[at] = several & ((k[at] != _LOCAL) | (h[at] != _LOCAL))
+    found[at] = several & (k[at] != _LOCAL)
     keep = found | direct
-    grams, k, h = grams[keep], k[keep], h[keep]
-    order = np.lexsort((h, k))
-    grams, k, h = grams[order], k[order], h[order]
-    first = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (h[1:] != h[:-1])])) if len(k) else np.zeros(0, np.int64)
-    ends = np.concatenate([first[1:], [len(k)]]).astype(np.int64)
-    return pa.table({"k": pa.array(k[first]), "h": pa.array(h[first]), "anchors": pa.array([grams[a:b].tobytes() for a, b in zip(first, ends, strict=True)], pa.binary())})
+    grams, k = grams[keep], k[keep]
+    order, first, size = A.by_key(k)
+    grams, k = grams[order], k[order]
+    return pa.table({"k": pa.array(k[first], pa.int64()), "anchors": pa.array([grams[a : a + n].tobytes() for a, n in zip(first, size, strict=True)], pa.binary())})
 
 
 def segments_out(rule: Rule, shards: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -189,14 +183,22 @@ def segments_out(rule: Rule, shards: int) -> Callable[[Iterator[pa.RecordBatch]]
                     for c, v in zip(out, (gram % shards, gram - (1 << 63), content, rows[i]["k"], rows[i]["h"], len(places), a), strict=True):
                         out[c].append(v)
             for i, got in spans.items():
-                for c, v in zip(out, (rows[i]["h"] % shards, 0, np.array(got, dtype=np.int64).tobytes(), rows[i]["k"], rows[i]["h"], 0, -1), strict=True):
+                for c, v in zip(out, (rows[i]["h"] % shards, 0, merged(np.array(got, dtype=np.int64)).tobytes(), rows[i]["k"], rows[i]["h"], 0, -1), strict=True):
                     out[c].append(v)
-            kinds = (pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
+            kinds = (pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.int64(), pa.int64())
             yield _batch(**{c: (v, kind) for (c, v), kind in zip(out.items(), kinds, strict=True)})
 
     return run
 
 
+def merged(windows: np.ndarray) -> np.ndarray:
+    """Pairs of first and last window with those that touch or overlap joined."""
+    windows = windows[np.argsort(windows[:, 0], kind="stable")]
+    last = np.maximum.accumulate(windows[:, 1])
+    new = np.concatenate([[True], windows[1:, 0] > last[:-1] + 1])
+    return np.stack([windows[new, 0], last[np.concatenate([np.flatnonzero(new)[1:] - 1, [len(last) - 1]])]], axis=1)
+
+
 def spans_of(rule: Rule, kernel: Kernel) -> Callable[[pa.Table], pa.Table]:
     """Of one shard: the windows of each text that are repeated, as pairs of first and last window."""
 
@@ -227,22 +229,23 @@ def spans_of(rule: Rule, kernel: Kernel) -> Callable[[pa.Table], pa.Table]:
                     for i in rows:
                         found.setdefault((k[i], h[i]), []).append(windows + at[i])
         keys = list(found)
-        return pa.table({"k": pa.array([x[0] for x in keys], pa.int64()), "h": pa.array([x[1] for x in keys], pa.int64()), "spans": pa.array([np.concatenate(found[x]).astype(np.int64).tobytes() for x in keys], pa.binary())})
+        return pa.table({"k": pa.array([x[0] for x in keys], pa.int64()), "h": pa.array([x[1] for x in keys], pa.int32()), "spans": pa.array([merged(np.concatenate(found[x]).astype(np.int64)).tobytes() for x in keys], pa.binary())})
 
     return run
 
 
-def repeated_windows(docs: DataFrame, rule: Rule, kernel: Kernel, bytes_per_shard: int = 8 << 20) -> DataFrame:
+def repeated_windows(docs: DataFrame, rule: Rule, kernel: Kernel, bytes_per_shard: int = 1 << 20) -> DataFrame:
     """Each row of docs with doc_id, text and spans: packed int64 pairs of first and last repeated window, null where there are none."""
     docs = keyed(docs)
     shards = shards_for(docs, bytes_per_shard)
-    anchors = docs.mapInArrow(anchors_out(rule, shards), "kind int, shard int, anchors binary, ks binary, hs binary")
-    wanted = anchors.groupBy("shard").applyInArrow(repeated_anchors, "k long, h long, anchors binary").groupBy("k", "h").agg(F.collect_list("anchors").alias("anchors"))
-    dealt = docs.repartition("k", "h")
-    chosen = dealt.join(wanted.hint("shuffle_hash"), ["k", "h"], "left").filter(F.col("anchors").isNotNull())
-    parts = chosen.mapInArrow(segments_out(rule, shards), "shard int, anchor long, content binary, k long, h long, times long, at long")
-    spans = parts.groupBy("shard").applyInArrow(spans_of(rule, kernel), _FOUND).groupBy("k", "h").agg(F.collect_list("spans").alias("spans"))
-    return dealt.join(spans.hint("shuffle_hash"), ["k", "h"], "left").select("doc_id", "text", "spans")
+    anchors = docs.mapInArrow(anchors_out(rule, shards), "kind int, shard int, anchors binary, ks binary")
+    wanted = anchors.groupBy("shard").applyInArrow(repeated_anchors, "k long, anchors binary").groupBy("k").agg(F.collect_list("anchors").alias("anchors"))
+    dealt = docs.repartition("k")
+    chosen = dealt.join(wanted.hint("shuffle_hash"), "k", "left").filter(F.col("anchors").isNotNull())
+    parts = chosen.mapInArrow(segments_out(rule, shards), "shard int, anchor long, content binary, k long, h int, times long, at long")
+    found = parts.groupBy("shard").applyInArrow(spans_of(rule, kernel), _FOUND).groupBy("k").agg(F.collect_list(F.struct("h", "spans")).alias("found"))
+    mine = F.transform(F.filter("found", lambda x: x["h"] == F.col("h")), lambda x: x["spans"])
+    return dealt.join(found.hint("shuffle_hash"), "k", "left").select("doc_id", "text", mine.alias("spans"))
 
 
 def window_mask(spans: list[bytes] | None, n: int, length: int) -> np.ndarray:
