@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, quality, secret_scan, substring_dedup, suffix_dedup
+from . import jaccard_join, mixing, packing, quality, secret_scan, substring_dedup, suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -59,3 +59,8 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_secret_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = secret_scan.scan(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return got.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(secret_scan.listed(F.col("base")), 256).alias("base_sha256"), secret_scan.listed(F.col("all")).alias("spans"))
+
+
+@_query
+def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.classes(_table(spark, sf_dir, "documents"), percent=80, n=5)
