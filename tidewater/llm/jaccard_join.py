@@ -13,6 +13,7 @@ the pairs across components that are left, so every pair that the prefixes admit
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +34,7 @@ LONGEST = 4
 VERIFY = 12.0
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _FLUSH = 32 << 20
+Sets = Callable[[str | None], np.ndarray]
 
 
 def shingle_set(text: str | None, n: int) -> np.ndarray:
@@ -53,14 +55,14 @@ def required(size: int | np.ndarray, percent: int) -> int | np.ndarray:
     return -(-percent * size // 100)
 
 
-def _sets_out(n: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _sets_out(sets: Sets) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << SKETCH_BITS, dtype=np.uint32)
         seen: set[int] = set()
         for batch in batches:
             nodes, sizes = [], []
             for text in batch.column("text").to_pylist():
-                shingles = shingle_set(text, n)
+                shingles = sets(text)
                 nodes.append(set_hash(shingles))
                 sizes.append(len(shingles))
                 if nodes[-1] not in seen:
@@ -97,7 +99,7 @@ def prefix(shingles: np.ndarray, levels: np.ndarray, noise: float, percent: int)
     return shingles[order[: size - need + chosen]], chosen
 
 
-def _postings_out(n: int, percent: int, levels: np.ndarray, noise: float, shards: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _postings_out(sets: Sets, percent: int, levels: np.ndarray, noise: float, shards: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def flush(held: dict[int, tuple[np.ndarray, int, int]]) -> pa.RecordBatch:
         tokens = np.concatenate([x[0] for x in held.values()])
         times = [len(x[0]) for x in held.values()]
@@ -121,7 +123,7 @@ def _postings_out(n: int, percent: int, levels: np.ndarray, noise: float, shards
         used = 0
         for batch in batches:
             for text in batch.column("text").to_pylist():
-                shingles = shingle_set(text, n)
+                shingles = sets(text)
                 node = set_hash(shingles)
                 if not len(shingles) or node in held:
                     continue
@@ -252,10 +254,10 @@ def _across(percent: int) -> Callable[[pa.Table], pa.Table]:
     return run
 
 
-def _blobs(n: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _blobs(make: Sets) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_set(t, n) for t in batch.column("text").to_pylist()]
+            sets = [make(t) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([set_hash(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "shingles"])
 
     return run
@@ -274,10 +276,10 @@ def _alike(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
     return run
 
 
-def links(docs: DataFrame, percent: int = 80, n: int = 5, bytes_per_shard: int = 2 << 20) -> tuple[DataFrame, DataFrame]:
+def links(docs: DataFrame, percent: int = 80, n: int = 5, sets: Sets | None = None, bytes_per_shard: int = 2 << 20) -> tuple[DataFrame, DataFrame]:
     """(k, node, size) of every row of docs, and verified links (a, b) between nodes whose components are those of all links."""
-    docs = keyed(docs)
-    found = store(docs.mapInArrow(_sets_out(n), "k long, node long, size long, slice int, counts binary"))
+    docs, make = keyed(docs), sets or partial(shingle_set, n=n)
+    found = store(docs.mapInArrow(_sets_out(make), "k long, node long, size long, slice int, counts binary"))
     nodes = found.filter(F.col("slice").isNull()).select("k", "node", "size")
     levels = np.zeros((SLICES, (1 << SKETCH_BITS) // SLICES), dtype=np.uint8)
     # The sketch has a fixed size: 2 MB
@@ -286,7 +288,7 @@ def links(docs: DataFrame, percent: int = 80, n: int = 5, bytes_per_shard: int =
     levels = levels.ravel()
     noise = float(np.median(2.0 ** (levels / 2.0)))
     shards = shards_for(docs, bytes_per_shard)
-    postings = docs.mapInArrow(_postings_out(n, percent, levels, noise, shards), _GROUPS)
+    postings = docs.mapInArrow(_postings_out(make, percent, levels, noise, shards), _GROUPS)
     groups = store(postings.groupBy("shard").applyInArrow(_groups, _GROUPS))
 
     def summed(pairs: DataFrame) -> DataFrame:
@@ -299,11 +301,11 @@ def links(docs: DataFrame, percent: int = 80, n: int = 5, bytes_per_shard: int =
     # The sets of all nodes that may still be compared
     wanted = chosen.select(F.col("a").alias("node")).unionByName(chosen.select(F.col("b").alias("node"))).unionByName(crowded.select("node")).distinct()
     owners = nodes.groupBy("node").agg(F.min("k").alias("k")).join(wanted, "node", "left_semi").select("k")
-    sets = store(docs.join(owners, "k", "left_semi").mapInArrow(_blobs(n), "node long, shingles binary").dropDuplicates(["node"]))
+    kept = store(docs.join(owners, "k", "left_semi").mapInArrow(_blobs(make), "node long, shingles binary").dropDuplicates(["node"]))
 
     def verified(pairs: DataFrame) -> DataFrame:
-        left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
-        right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
+        left = kept.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
+        right = kept.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
         return store(pairs.join(left.hint("shuffle_hash"), "a").join(right.hint("shuffle_hash"), "b").select("a", "b", "x", "y").mapInArrow(_alike(percent), "a long, b long"))
 
     sure = verified(chosen)
@@ -318,14 +320,14 @@ def links(docs: DataFrame, percent: int = 80, n: int = 5, bytes_per_shard: int =
     return nodes, sure.unionByName(verified(rest))
 
 
-def classes(docs: DataFrame, percent: int = 80, n: int = 5) -> DataFrame:
+def classes(docs: DataFrame, percent: int = 80, n: int = 5, sets: Sets | None = None) -> DataFrame:
     """doc_id, n_shingles and component_id of each row of docs: the least doc_id that links of likeness percent or more reach.
 
     Words are lower-cased in A-Z only.  A null, empty or blank text has no shingles and is linked with nothing; a text of fewer than n
     words is one shingle.  Rows of one doc_id count as one document of several texts only where these are linked.  A null doc_id is the least of all
-    and, as a component, null.  Other columns are ignored.
+    and, as a component, null.  Other columns are ignored.  sets: another way to make a text's sorted set of 64-bit hashes.
     """
-    nodes, edges = links(docs, percent, n)
+    nodes, edges = links(docs, percent, n, sets)
     roots = components(edges)
     least = nodes.filter(F.col("size") > 0).groupBy("node").agg(F.min("k").alias("k")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     tops = least.groupBy("root").agg(F.min("k").alias("component_id"))
