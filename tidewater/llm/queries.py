@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard_join, mixing, packing, quality, secret_scan, spotsigs, substring_dedup, suffix_dedup
+from . import jaccard_join, license_scan, mixing, packing, quality, secret_scan, spotsigs, substring_dedup, suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -69,3 +69,8 @@ def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op1_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spotsigs.edited_and_next(_table(spark, sf_dir, "documents"))
+
+
+@_query
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(_table(spark, sf_dir, "documents"))
