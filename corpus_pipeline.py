@@ -24,8 +24,9 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents that of least doc_id, and of rows that repeat it one."""
-    kept = jaccard_join.classes(docs, percent=80, n=5).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS)
+    kept = jaccard_join.classes(docs, percent=80, n=5).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("_key")
+    return docs.select(*COLUMNS, key).join(kept.select(key).distinct(), "_key", "left_semi").dropDuplicates(["_key"]).select(*COLUMNS)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
