@@ -5,6 +5,501 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import dates, numbers, sentiment, text
+from ..operators import aggregates as agg
+from ..operators import filters, joins, merge, ranking, reports
+from ..sources.readers import table
+from . import tpch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+_COUNTS = "count(*) FILTER (WHERE sentiment = 'positive') AS positive_count, count(*) FILTER (WHERE sentiment = 'negative') AS negative_count, count(*) FILTER (WHERE sentiment = 'neutral') AS neutral_count, count(*) AS total_count"
+_SUMS = ", ".join(f"CAST(sum({p}_count) AS BIGINT) AS {p}_count" for p in (*agg.POLARITIES, "total"))
+
+
+def _percent(part: str, total: str) -> str:
+    return f"CAST(CASE WHEN {total} > 0 THEN round_even({part} * 100.0::DOUBLE / {total}, 0) ELSE 0 END AS INTEGER)"
+
+
+def query(body: str | None = None, *names: str) -> Callable[[Callable[[SparkSession, str], DataFrame]], Callable[[SparkSession, str], DataFrame]]:
+    """Register a query and, if given, its SQL over the named common tables."""
+
+    def put(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        QUERIES[f.__name__] = f
+        if body:
+            ORACLE_SQL[f.__name__] = tpch.sql(body, *names)
+        return f
+
+    return put
+
+
+# Tag and branch statistics
+
+
+@query(f"SELECT tag, category, {_COUNTS} FROM tagged WHERE review_date >= TIMESTAMP '1996-01-01' AND review_date < TIMESTAMP '1997-01-01' GROUP BY tag, category", "tagged")
+def tag_stats_by_period(spark: SparkSession, folder: str) -> DataFrame:
+    """Polarity counts of each tag in a half-open range of dates, most used first."""
+    rows = filters.search(tpch.tagged(spark, folder), start="1996-01-01", end="1997-01-01")
+    return agg.by_polarity(rows, "tag", "category").orderBy(F.desc("total_count"), "tag", "category")
+
+
+_TENTHS = ", ".join(f"CASE WHEN count({c}) > 0 THEN CAST(floor((2 * sum({c}) + count({c}))::DOUBLE / (2 * count({c}))) AS DOUBLE) / 10 END AS avg_{n}" for n, c in (("service", "service10"), ("car", "car10"), ("convenience", "conv10")))
+
+
+@query(f"SELECT branch_id, {_COUNTS}, {_TENTHS} FROM reviews GROUP BY branch_id", "reviews")
+def branch_review_stats(spark: SparkSession, folder: str) -> DataFrame:
+    return agg.branch_stats(tpch.reviews(spark, folder), "branch_id", {"service": "service10", "car": "car10", "convenience": "conv10"})
+
+
+@query("SELECT count(*) AS branches, CAST(coalesce(sum(n), 0) AS BIGINT) AS reviews FROM (SELECT branch_id, count(*) AS n FROM reviews GROUP BY branch_id)", "reviews")
+def global_stats(spark: SparkSession, folder: str) -> DataFrame:
+    counts = tpch.reviews(spark, folder).groupBy("branch_id").count()
+    return counts.agg(F.count(F.lit(1)).alias("branches"), F.coalesce(F.sum("count"), F.lit(0)).alias("reviews"))
+
+
+_PERIODS = {"1m": "1998-07-01", "3m": "1998-05-01", "6m": "1998-02-01", "12m": "1997-08-01"}
+_PERIOD_SQL = ", ".join(f"count(*) FILTER (WHERE review_date >= TIMESTAMP '{d}' AND review_date < TIMESTAMP '1998-08-01') AS n_{p}" for p, d in _PERIODS.items())
+
+
+@query(f"SELECT *, CASE WHEN n_1m >= 30 THEN '1m' WHEN n_3m >= 30 THEN '3m' WHEN n_6m >= 30 THEN '6m' WHEN n_12m >= 30 THEN '12m' ELSE 'all' END AS recommended FROM (SELECT branch_id, {_PERIOD_SQL}, count(*) AS n_all FROM reviews GROUP BY branch_id)", "reviews")
+def multi_period_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Reviews of each branch in several periods in one pass, and the first period with enough of them."""
+    ranges = {p: (d, "1998-08-01") for p, d in _PERIODS.items()} | {"all": (None, None)}
+    got = agg.multi_period(tpch.reviews(spark, folder).groupBy("branch_id"), "review_date", ranges)
+    return got.withColumn("recommended", agg.recommended([(p, F.col(f"n_{p}")) for p in _PERIODS], 30, F.lit("all")))
+
+
+@query(f"SELECT d.source, count(*) AS documents, count(l.doc_id) AS labelled, {_percent('count(l.doc_id)', 'count(*)')} AS coverage FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l ON d.doc_id = l.doc_id GROUP BY d.source")
+def tagged_review_count(spark: SparkSession, folder: str) -> DataFrame:
+    docs, labels = table(spark, folder, "documents").select("doc_id", "source"), table(spark, folder, "labels").select(F.col("doc_id").alias("_l")).distinct()
+    got = docs.join(labels, F.col("doc_id") == F.col("_l"), "left").groupBy("source").agg(F.count(F.lit(1)).alias("documents"), F.count("_l").alias("labelled"))
+    return got.withColumn("coverage", reports.coverage(F.col("labelled"), F.col("documents")))
+
+
+_RATIOS = ", ".join(f"CASE WHEN total_count > 0 THEN round_even({p}_count * 100.0::DOUBLE / total_count, 2) ELSE 0.0 END AS {p}_ratio" for p in agg.POLARITIES)
+
+
+@query(f"SELECT *, {_RATIOS} FROM (SELECT {_COUNTS} FROM reviews)", "reviews")
+def sentiment_totals(spark: SparkSession, folder: str) -> DataFrame:
+    got = tpch.reviews(spark, folder).agg(*agg.polarity_counts())
+    return got.withColumns({f"{p}_ratio": numbers.ratio2(F.col(f"{p}_count"), F.col("total_count")) for p in agg.POLARITIES})
+
+
+@query(f"SELECT branch_id, {_COUNTS} FROM reviews GROUP BY branch_id ORDER BY branch_id LIMIT 20 OFFSET 10", "reviews")
+def sentiment_by_branch(spark: SparkSession, folder: str) -> DataFrame:
+    """A page of the branches' polarity counts."""
+    return filters.page(agg.by_polarity(tpch.reviews(spark, folder), "branch_id"), [F.asc("branch_id")], 10, 20)
+
+
+@query(f"SELECT branch_id, tag, {_COUNTS} FROM tagged GROUP BY branch_id, tag", "tagged")
+def branch_tags_rebuild(spark: SparkSession, folder: str) -> DataFrame:
+    return agg.by_polarity(tpch.tagged(spark, folder), "branch_id", "tag")
+
+
+@query(f"SELECT branch_id, tag, {_COUNTS}, round(sum(exp(-0.01 * greatest(0, datediff('day', review_date, TIMESTAMP '1998-12-01')))), 6) AS weight FROM tagged GROUP BY branch_id, tag", "tagged")
+def branch_tags_decayed(spark: SparkSession, folder: str) -> DataFrame:
+    got = agg.tag_weights(tpch.tagged(spark, folder), "1998-12-01 00:00:00", "review_date", 0.01, "branch_id", "tag")
+    return got.withColumn("weight", F.round("weight", 6))
+
+
+_MONTH = "strftime(review_date, '%Y-%m') AS period"
+
+
+@query(f"SELECT branch_id, {_MONTH}, CAST(sum(service10) AS BIGINT) AS sum_service, count(service10) AS n_service, CAST(sum(conv10) AS BIGINT) AS sum_convenience, count(conv10) AS n_convenience, count(*) AS review_count FROM reviews GROUP BY branch_id, period", "reviews")
+def monthly_rating(spark: SparkSession, folder: str) -> DataFrame:
+    return agg.monthly_ratings(tpch.reviews(spark, folder), "review_date", "branch_id", {"service": "service10", "convenience": "conv10"})
+
+
+@query(f"SELECT branch_id, {_MONTH}, {_COUNTS} FROM reviews GROUP BY branch_id, period", "reviews")
+def monthly_sentiment(spark: SparkSession, folder: str) -> DataFrame:
+    return agg.monthly(tpch.reviews(spark, folder), "review_date", "branch_id")
+
+
+@query(f"SELECT branch_id, tag, {_MONTH}, {_COUNTS} FROM tagged GROUP BY branch_id, tag, period", "tagged")
+def monthly_tag(spark: SparkSession, folder: str) -> DataFrame:
+    return agg.monthly(tpch.tagged(spark, folder), "review_date", "branch_id", "tag")
+
+
+@query(f"SELECT car_model, tag, {_MONTH}, {_COUNTS} FROM tagged WHERE strftime(review_date, '%Y-%m') >= '1996-03' AND strftime(review_date, '%Y-%m') <= '1997-02' GROUP BY car_model, tag, period", "tagged")
+def monthly_model_tag(spark: SparkSession, folder: str) -> DataFrame:
+    """Tags of each model by month, between two months, both included."""
+    rows = tpch.tagged(spark, folder).filter((F.col("review_date") >= F.lit("1996-03-01").cast("timestamp_ntz")) & (F.col("review_date") < F.lit("1997-03-01").cast("timestamp_ntz")))
+    return agg.monthly(rows, "review_date", "car_model", "tag")
+
+
+@query(f"SELECT branch_id, {_MONTH}, {_COUNTS} FROM reviews GROUP BY branch_id, period", "reviews")
+def monthly_incremental(spark: SparkSession, folder: str) -> DataFrame:
+    """Two halves aggregated apart and added give what one pass gives."""
+    rows = tpch.reviews(spark, folder)
+    first, second = (agg.monthly(rows.filter(c), "review_date", "branch_id") for c in (F.col("order_id") % 2 == 0, F.col("order_id") % 2 == 1))
+    return merge.add(first, second, ["branch_id", "period"], [f"{p}_count" for p in (*agg.POLARITIES, "total")])
+
+
+@query(
+    """, old AS (SELECT branch_id, round(avg(service10), 2) AS mean, count(*) AS n FROM reviews WHERE order_id % 3 <> 0 GROUP BY branch_id),
+    new AS (SELECT branch_id, sum(service10) AS total, count(service10) AS m FROM reviews WHERE order_id % 3 = 0 GROUP BY branch_id)
+    SELECT branch_id, round((coalesce(mean, 0) * coalesce(n, 0) + coalesce(total, 0)) / (coalesce(n, 0) + coalesce(m, 0)), 2) AS mean FROM old FULL JOIN new USING (branch_id)""",
+    "reviews",
+)
+def incremental_average(spark: SparkSession, folder: str) -> DataFrame:
+    rows = tpch.reviews(spark, folder)
+    old = rows.filter("order_id % 3 <> 0").groupBy("branch_id").agg(F.round(F.avg("service10"), 2).alias("mean"), F.count(F.lit(1)).alias("n"))
+    new = rows.filter("order_id % 3 = 0").groupBy("branch_id").agg(F.sum("service10").alias("total"), F.count("service10").alias("m"))
+    return old.join(new, "branch_id", "full_outer").select("branch_id", merge.running_mean(F.col("mean"), F.col("n"), F.col("total"), F.col("m")).alias("mean"))
+
+
+# Keywords
+
+
+def _words(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("source", "text")
+    return agg.keyword_counts(docs, text.keywords(F.lower("text"), "[a-z]{4,}"), None, "source")
+
+
+@query("SELECT source, keyword, count(*) AS count FROM words GROUP BY source, keyword", "words")
+def keyword_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return _words(spark, folder)
+
+
+@query("SELECT source, keyword, count, rank FROM (SELECT source, keyword, count(*) AS count, row_number() OVER (PARTITION BY source ORDER BY count(*) DESC, keyword) AS rank FROM words GROUP BY source, keyword) WHERE rank <= 5", "words")
+def keyword_topn(spark: SparkSession, folder: str) -> DataFrame:
+    return ranking.top_n(_words(spark, folder), ["source"], [F.desc("count"), F.asc("keyword")], 5)
+
+
+@query("SELECT keyword, count(*) AS count FROM words WHERE keyword NOT IN (SELECT unnest(regexp_extract_all(lower(text), '[a-z]{4,}')) FROM benchmark) GROUP BY keyword ORDER BY count DESC, keyword LIMIT 50", "words")
+def unmapped_keywords(spark: SparkSession, folder: str) -> DataFrame:
+    mapped = table(spark, folder, "benchmark").select(F.explode(text.keywords(F.lower("text"), "[a-z]{4,}")).alias("keyword"))
+    return agg.unmapped_keywords(_words(spark, folder), mapped).orderBy(F.desc("count"), "keyword").limit(50)
+
+
+@query(
+    """, counts AS (SELECT branch_id, tag, count(*) AS n FROM tagged GROUP BY branch_id, tag), spread AS (SELECT tag, count(DISTINCT branch_id) AS df FROM counts GROUP BY tag),
+    scored AS (SELECT branch_id, c.tag, n AS count, round(n / sum(n) OVER (PARTITION BY branch_id) * (ln((SELECT count(DISTINCT branch_id) FROM counts) / df::DOUBLE) + 1), 9) AS score FROM counts c JOIN spread s ON c.tag = s.tag)
+    SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY branch_id ORDER BY score DESC, tag) AS rank FROM scored) WHERE rank <= 3""",
+    "tagged",
+)
+def tfidf_top_tags(spark: SparkSession, folder: str) -> DataFrame:
+    counts = tpch.tagged(spark, folder).groupBy("branch_id", "tag").count()
+    return ranking.tfidf(counts, "branch_id", "tag", 3)
+
+
+# Filters, deduplication and mutation
+
+
+@query(
+    """WITH counts AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL), lead AS (SELECT user_id, sum(n) AS total, max(n) AS most, arg_min(event_type, (-n, event_type)) AS top FROM counts GROUP BY user_id)
+    SELECT e.event_id, e.user_id, e.event_type FROM events e JOIN lead l USING (user_id) WHERE NOT (most >= 0.25 * total AND event_type <> top)"""
+)
+def misrouted_filter(spark: SparkSession, folder: str) -> DataFrame:
+    events = table(spark, folder, "events").select("event_id", "user_id", "event_type")
+    return filters.misrouted(events, "user_id", "event_type", 0.25).filter(~F.col("dropped")).drop("dropped")
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_shipdate, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS rn FROM lineitem) WHERE rn = 1")
+def dedup_keep_first(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate")
+    order = [F.asc(c) for c in ("l_shipdate", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")]
+    return filters.keep_first(rows, ["l_orderkey", "l_linenumber"], order).drop("l_extendedprice", "l_shipdate")
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderkey % 5 <> 0 EXCEPT SELECT o_orderkey FROM orders WHERE o_orderkey % 7 <> 0")
+def ghost_ids(spark: SparkSession, folder: str) -> DataFrame:
+    orders = table(spark, folder, "orders").select("o_orderkey")
+    return merge.ghosts(orders.filter("o_orderkey % 5 <> 0"), orders.filter("o_orderkey % 7 <> 0"), ["o_orderkey"])
+
+
+@query(
+    """WITH base AS (SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderkey % 3 <> 0), delta AS (SELECT o_orderkey, o_orderpriority AS o_orderstatus, o_totalprice * 2 AS o_totalprice FROM orders WHERE o_orderkey % 2 = 0)
+    SELECT coalesce(b.o_orderkey, d.o_orderkey) AS o_orderkey, CASE WHEN b.o_orderkey IS NULL THEN d.o_orderstatus ELSE b.o_orderstatus END AS o_orderstatus, coalesce(d.o_totalprice, b.o_totalprice) AS o_totalprice
+    FROM base b FULL JOIN delta d ON b.o_orderkey = d.o_orderkey"""
+)
+def merge_upsert(spark: SparkSession, folder: str) -> DataFrame:
+    """Prices are overwritten, states of known orders are not."""
+    orders = table(spark, folder, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice", "o_orderpriority")
+    base = orders.filter("o_orderkey % 3 <> 0").drop("o_orderpriority")
+    delta = orders.filter("o_orderkey % 2 = 0").select("o_orderkey", F.col("o_orderpriority").alias("o_orderstatus"), (F.col("o_totalprice") * 2).alias("o_totalprice"))
+    return merge.upsert(base, delta, ["o_orderkey"], ["o_totalprice"])
+
+
+@query(
+    """WITH u AS (SELECT o_orderkey AS id, CAST(o_custkey AS VARCHAR) AS party, 1 AS type FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT o_orderkey, CAST(o_custkey AS VARCHAR), 2 FROM orders WHERE o_orderstatus = 'O' UNION ALL SELECT o_orderkey, CAST(o_custkey AS VARCHAR), 3 FROM orders WHERE o_orderstatus = 'P')
+    SELECT l_orderkey, l_linenumber, type, CASE type WHEN 1 THEN 'direct' WHEN 2 THEN 'partner' WHEN 3 THEN 'agency' END AS type_name, c_name, n_name,
+      CASE WHEN datediff('day', o_orderdate, l_shipdate) < 15 THEN 'SHORT' WHEN datediff('day', o_orderdate, l_shipdate) < 30 THEN 'MONTH' ELSE 'SUBSCRIPTION' END AS rent_type
+    FROM lineitem LEFT JOIN u ON l_orderkey = u.id LEFT JOIN orders ON l_orderkey = o_orderkey LEFT JOIN customer ON u.party = CAST(c_custkey AS VARCHAR) LEFT JOIN nation ON c_nationkey = n_nationkey
+    WHERE l_shipdate > TIMESTAMP '1998-01-01' AND l_shipdate <= TIMESTAMP '1998-06-01' AND o_orderdate IS NOT NULL"""
+)
+def lake_union_join(spark: SparkSession, folder: str) -> DataFrame:
+    """Newly changed reviews joined with three kinds of reservations, brought to one schema, and their parties."""
+    orders = table(spark, folder, "orders")
+    kinds = [(orders.filter(F.col("o_orderstatus") == s), {"id": F.col("o_orderkey"), "party": F.col("o_custkey").cast("string"), "type": F.lit(t), "start": F.col("o_orderdate")}) for t, s in enumerate("FOP", 1)]
+    reservations = joins.unified(kinds)
+    fresh = table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate").filter(dates.since_until(F.col("l_shipdate"), "1998-01-01", "1998-06-01"))
+    customers = table(spark, folder, "customer").select("c_custkey", "c_name", "c_nationkey")
+    full = joins.star(fresh, [(reservations, {"l_orderkey": "id"}, "left"), (customers, {"party": "c_custkey"}, "left"), (table(spark, folder, "nation").select("n_nationkey", "n_name"), {"c_nationkey": "n_nationkey"}, "left")])
+    name = joins.code_label(F.col("type"), {1: "direct", 2: "partner", 3: "agency"})
+    return full.filter(F.col("start").isNotNull()).select("l_orderkey", "l_linenumber", "type", name.alias("type_name"), "c_name", "n_name", dates.rent_class(F.col("start"), F.col("l_shipdate")).alias("rent_type"))
+
+
+_SEARCH = "o_orderstatus IN ('F', 'O') AND o_orderpriority = '1-URGENT' AND o_orderdate >= TIMESTAMP '1996-01-01' AND o_orderdate < TIMESTAMP '1997-01-01'"
+
+
+def _found(spark: SparkSession, folder: str) -> DataFrame:
+    orders = table(spark, folder, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority", "o_orderdate", "o_totalprice")
+    return filters.search(orders, {"o_orderpriority": "1-URGENT"}, {"o_orderstatus": ["F", "O"]}, "o_orderdate", "1996-01-01", "1997-01-01")
+
+
+@query(f"SELECT o_orderkey, o_orderdate, o_totalprice, count(*) OVER () AS total FROM orders WHERE {_SEARCH} ORDER BY o_orderdate DESC, o_orderkey LIMIT 20 OFFSET 20")
+def search_page(spark: SparkSession, folder: str) -> DataFrame:
+    return filters.page_with_total(_found(spark, folder).select("o_orderkey", "o_orderdate", "o_totalprice"), [F.desc_nulls_first("o_orderdate"), F.asc("o_orderkey")], 20, 20)
+
+
+@query(f"SELECT count(*) AS total FROM orders WHERE {_SEARCH}")
+def search_total(spark: SparkSession, folder: str) -> DataFrame:
+    return _found(spark, folder).agg(F.count(F.lit(1)).alias("total"))
+
+
+@query("SELECT branch_id, branch_name, nation, rating FROM branches WHERE region ILIKE '%a%' AND rating >= 10 AND rating <= 80 AND nation ILIKE 'nation_1%' ORDER BY rating DESC, branch_id LIMIT 50", "branches")
+def summary_search(spark: SparkSession, folder: str) -> DataFrame:
+    found = filters.named(filters.named(tpch.branches(spark, folder), "region", "a"), "nation", "nation_1", prefix=True).filter(F.col("rating").between(10, 80))
+    return found.select("branch_id", "branch_name", "nation", "rating").orderBy(F.desc("rating"), "branch_id").limit(50)
+
+
+@query("SELECT order_id, line, branch_id, sentiment FROM reviews WHERE sentiment = 'negative' OR service10 <= 15 OR car10 <= 12 OR conv10 <= 3", "reviews")
+def negative_reviews(spark: SparkSession, folder: str) -> DataFrame:
+    rows = tpch.reviews(spark, folder).withColumns({"a": F.col("service10") - 12, "b": F.col("car10") - 9, "c": F.col("conv10")})
+    return filters.negative_reviews(rows, ["a", "b", "c"], 3).select("order_id", "line", "branch_id", "sentiment")
+
+
+@query("SELECT split_part(region, ' ', 1) AS region, count(*) AS branch_count, CAST(sum(rating) AS BIGINT) AS review_count, round(avg(nullif(rating, 0)), 2) AS avg_rating FROM branches GROUP BY 1", "branches")
+def region_stats(spark: SparkSession, folder: str) -> DataFrame:
+    first = F.split(F.col("region"), r"\s+")[0]
+    return agg.region_stats(tpch.branches(spark, folder), first, F.col("rating"), F.col("rating").cast("double"))
+
+
+@query("SELECT CASE region WHEN 'ASIA' THEN 'east' WHEN 'MIDDLE EAST' THEN 'east' WHEN 'AMERICA' THEN 'west' WHEN 'EUROPE' THEN 'west' ELSE 'other' END AS region_group, count(*) AS branches FROM branches GROUP BY 1", "branches")
+def region_groups(spark: SparkSession, folder: str) -> DataFrame:
+    groups = spark.createDataFrame([("ASIA", "east"), ("MIDDLE EAST", "east"), ("AMERICA", "west"), ("EUROPE", "west")], "_r string, _g string")
+    return tpch.branches(spark, folder).join(groups, F.col("region") == F.col("_r"), "left").groupBy(F.coalesce("_g", F.lit("other")).alias("region_group")).agg(F.count(F.lit(1)).alias("branches"))
+
+
+@query(f"SELECT branch_id, region, rating, region_size, better, {_percent('better', 'region_size')} AS top_percent FROM (SELECT *, count(*) OVER (PARTITION BY region) AS region_size, rank() OVER (PARTITION BY region ORDER BY rating DESC) - 1 AS better FROM branches WHERE rating IS NOT NULL AND rating <> 0)", "branches")
+def benchmark_rank(spark: SparkSession, folder: str) -> DataFrame:
+    return ranking.better_percent(tpch.branches(spark, folder).select("branch_id", "region", "rating"), "region", "rating")
+
+
+# Reports
+
+_CAT = f"""cats AS (SELECT category, {_SUMS} FROM (SELECT tag, category, {_COUNTS} FROM tagged GROUP BY tag, category) GROUP BY category),
+    rated AS (SELECT *, {', '.join(f"{_percent(p + '_count', 'total_count')} AS {p}_ratio" for p in agg.POLARITIES)} FROM cats)"""
+
+
+def _tags(spark: SparkSession, folder: str, start: str | None = None, end: str | None = None) -> DataFrame:
+    return agg.by_polarity(filters.search(tpch.tagged(spark, folder), start=start, end=end), "tag", "category")
+
+
+@query(f", {_CAT} SELECT * FROM rated", "tagged")
+def category_stats(spark: SparkSession, folder: str) -> DataFrame:
+    return agg.rollup_categories(_tags(spark, folder))
+
+
+@query(f", {_CAT} (SELECT 'strength' AS kind, category, positive_ratio AS ratio FROM rated WHERE positive_ratio >= 25 ORDER BY positive_count / total_count::DOUBLE DESC, category LIMIT 3) UNION ALL (SELECT 'improvement', category, negative_ratio FROM rated WHERE negative_ratio >= 20 ORDER BY negative_count / total_count::DOUBLE DESC, category LIMIT 3)", "tagged")
+def strengths_improvements(spark: SparkSession, folder: str) -> DataFrame:
+    cats = agg.rollup_categories(_tags(spark, folder))
+    config = reports.EngineConfig(strength_percent=25)
+    both = [reports.strengths(cats, 3, config).withColumn("kind", F.lit("strength")), reports.improvements(cats, 3, config).withColumn("kind", F.lit("improvement"))]
+    return both[0].unionByName(both[1]).select("kind", "category", "ratio")
+
+
+@query(f", {_CAT} SELECT category, negative_count AS count, negative_ratio AS ratio FROM rated WHERE negative_count > 0 ORDER BY count DESC, category LIMIT 5", "tagged")
+def top_negative_tags(spark: SparkSession, folder: str) -> DataFrame:
+    return reports.top_tags(agg.rollup_categories(_tags(spark, folder)), "negative")
+
+
+@query(
+    f""", {_CAT}, worst AS (SELECT category, arg_min(tag, (-n, tag)) AS worst_tag FROM (SELECT category, tag, count(*) FILTER (WHERE sentiment = 'negative') AS n FROM tagged GROUP BY category, tag) WHERE n > 0 GROUP BY category)
+    SELECT row_number() OVER (ORDER BY negative_ratio DESC, category) AS rank, category, negative_ratio, CASE WHEN negative_ratio >= 30 THEN 'high' WHEN negative_ratio >= 20 THEN 'medium' ELSE 'low' END AS impact, worst_tag, 'check' AS action
+    FROM rated LEFT JOIN worst USING (category) WHERE negative_count > 0 AND negative_ratio >= 15 ORDER BY negative_ratio DESC, category LIMIT 5""",
+    "tagged",
+)
+def priority_actions(spark: SparkSession, folder: str) -> DataFrame:
+    tags = _tags(spark, folder)
+    return reports.priority_actions(agg.rollup_categories(tags), tags, {}, "check")
+
+
+@query(
+    f""", now AS (SELECT category, count(*) FILTER (WHERE sentiment = 'positive') AS p, count(*) AS t FROM tagged WHERE review_date >= TIMESTAMP '1995-04-01' AND review_date < TIMESTAMP '1995-07-01' GROUP BY category),
+    old AS (SELECT category, count(*) FILTER (WHERE sentiment = 'positive') AS p, count(*) AS t FROM tagged WHERE review_date >= TIMESTAMP '1995-01-01' AND review_date < TIMESTAMP '1995-04-01' GROUP BY category),
+    both_ AS (SELECT category, {_percent('coalesce(n.p, 0)', 'coalesce(n.t, 0)')} AS current_ratio, {_percent('coalesce(o.p, 0)', 'coalesce(o.t, 0)')} AS previous_ratio FROM now n FULL JOIN old o USING (category))
+    SELECT category, current_ratio, previous_ratio, current_ratio - previous_ratio AS change, CASE WHEN current_ratio - previous_ratio >= 3 THEN 'up' WHEN current_ratio - previous_ratio <= -3 THEN 'down' ELSE 'stable' END AS direction FROM both_""",
+    "tagged",
+)
+def trend_comparison(spark: SparkSession, folder: str) -> DataFrame:
+    now, before = (agg.rollup_categories(_tags(spark, folder, a, b)) for a, b in (("1995-04-01", "1995-07-01"), ("1995-01-01", "1995-04-01")))
+    return reports.trend(now, before)
+
+
+_MODEL = f"models AS (SELECT car_model, {_COUNTS} FROM described GROUP BY car_model), tags AS (SELECT car_model, tag, {_COUNTS} FROM tagged GROUP BY car_model, tag)"
+
+
+@query(
+    f""", {_MODEL}, praise AS (SELECT car_model, arg_min(tag || '(' || positive_count || ')', (-positive_count, tag)) AS top_praise FROM tags WHERE positive_count > 0 GROUP BY car_model),
+    issue AS (SELECT car_model, arg_min(tag || '(' || negative_count || ')', (-negative_count, tag)) AS top_issue FROM tags WHERE negative_count > 0 GROUP BY car_model)
+    SELECT car_model, total_count, round((positive_count - negative_count) / total_count::DOUBLE / 2 + 0.5, 2) AS mood, {_percent('positive_count', 'total_count')} AS like_percent, {_percent('negative_count', 'total_count')} AS dislike_percent, top_praise, top_issue
+    FROM models LEFT JOIN praise USING (car_model) LEFT JOIN issue USING (car_model)""",
+    "described",
+    "tagged",
+)
+def vehicle_analysis(spark: SparkSession, folder: str) -> DataFrame:
+    return reports.vehicles(agg.by_polarity(tpch.described(spark, folder), "car_model"), agg.by_polarity(tpch.tagged(spark, folder), "car_model", "tag"))
+
+
+@query(
+    f""", {_MODEL}, ranked AS (SELECT *, row_number() OVER (PARTITION BY car_model ORDER BY negative_count DESC, tag) AS rank FROM tags WHERE negative_count > 0),
+    lists AS (SELECT car_model, string_agg(tag || '(' || negative_count || ')', ', ' ORDER BY rank) AS tags FROM ranked WHERE rank <= 2 GROUP BY car_model),
+    sums AS (SELECT car_model, CAST(sum(negative_count) AS BIGINT) AS count, CAST(sum(total_count) AS BIGINT) AS total_count FROM tags GROUP BY car_model)
+    SELECT car_model, count, total_count, tags FROM sums JOIN lists USING (car_model) ORDER BY count DESC, total_count DESC, car_model LIMIT 5""",
+    "described",
+    "tagged",
+)
+def vehicle_rankings(spark: SparkSession, folder: str) -> DataFrame:
+    return reports.vehicle_rankings(agg.by_polarity(tpch.tagged(spark, folder), "car_model", "tag"), "negative")
+
+
+@query(
+    """, ranked AS (SELECT branch_id, sentiment, order_id, line, row_number() OVER (PARTITION BY branch_id, sentiment ORDER BY review_date DESC, order_id, line, price) AS position FROM reviews),
+    newest AS (SELECT *, count(*) OVER (PARTITION BY branch_id, sentiment) AS size FROM ranked WHERE position <= 30)
+    SELECT branch_id, sentiment, order_id, line, position FROM newest WHERE size <= 5 OR position - 1 IN (0, size // 5, 2 * size // 5, 3 * size // 5, 4 * size // 5)""",
+    "reviews",
+)
+def even_sample(spark: SparkSession, folder: str) -> DataFrame:
+    order = [F.desc("review_date"), F.asc("order_id"), F.asc("line"), F.asc("price")]
+    rows = tpch.reviews(spark, folder).select("branch_id", "sentiment", "order_id", "line", "review_date", "price")
+    return ranking.even_sample(rows, ["branch_id", "sentiment"], order, 30, 5).drop("review_date", "price")
+
+
+@query("SELECT branch_id, count(*) AS review_count, round(avg(service10), 4) AS avg_service FROM reviews GROUP BY branch_id HAVING count(*) >= 30 ORDER BY review_count DESC, branch_id", "reviews")
+def batch_targets(spark: SparkSession, folder: str) -> DataFrame:
+    got = tpch.reviews(spark, folder).groupBy("branch_id").agg(F.count(F.lit(1)).alias("review_count"), F.round(F.avg("service10"), 4).alias("avg_service"))
+    return got.filter("review_count >= 30").orderBy(F.desc("review_count"), "branch_id")
+
+
+@query(
+    """, mapped AS (SELECT order_id, line, sentiment, CASE category WHEN (SELECT min(category) FROM parts) THEN (SELECT max(category) FROM parts) ELSE category END AS category FROM described)
+    SELECT DISTINCT order_id, line, sentiment, category FROM mapped""",
+    "described",
+)
+def legacy_tag_merge(spark: SparkSession, folder: str) -> DataFrame:
+    """One category renamed to another; rows that then share a key are one."""
+    legacy = tpch.parts(spark, folder).agg(F.min("category").alias("old"), F.max("category").alias("new"))
+    rows = tpch.described(spark, folder).select("order_id", "line", "sentiment", "category")
+    return merge.remap(rows, legacy, ["order_id", "line", "sentiment", "category"], "category", [F.asc("order_id")])
+
+
+@query(
+    """, old AS (SELECT branch_id, count(*) AS t, count(*) FILTER (WHERE sentiment = 'positive') AS p FROM reviews WHERE review_date < TIMESTAMP '1998-01-01' GROUP BY branch_id),
+    now AS (SELECT branch_id, count(*) AS t, count(*) FILTER (WHERE sentiment = 'positive') AS p FROM reviews GROUP BY branch_id)
+    SELECT n.branch_id, CASE WHEN coalesce(o.t, 0) = 0 THEN n.t >= 30 ELSE (n.t - o.t) >= 5 AND (abs(n.t - o.t) * 100.0::DOUBLE / o.t >= 15 OR abs(n.p * 100.0::DOUBLE / n.t - o.p * 100.0::DOUBLE / o.t) >= 8) END AS stale
+    FROM now n LEFT JOIN old o ON n.branch_id = o.branch_id""",
+    "reviews",
+)
+def cache_policy(spark: SparkSession, folder: str) -> DataFrame:
+    rows = tpch.reviews(spark, folder)
+    count = lambda df, t, p: df.groupBy("branch_id").agg(F.count(F.lit(1)).alias(t), F.count_if(F.col("sentiment") == "positive").alias(p))
+    both = count(rows, "t", "p").join(count(rows.filter(dates.half_open(F.col("review_date"), end="1998-01-01")), "ot", "op"), "branch_id", "left")
+    return both.select("branch_id", reports.stale_cache(F.col("t") - F.coalesce("ot", F.lit(0)), F.col("ot"), F.col("t"), F.col("op"), F.col("p")).alias("stale"))
+
+
+# Text, JSON, time and vectors
+
+
+@query(r"SELECT page_id, trim(regexp_replace(replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), chr(0), ''), '\s{2,}', ' ', 'g')) AS text FROM pages")
+def strip_html(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "pages").select("page_id", text.strip_html(F.col("html")).alias("text"))
+
+
+@query(r"SELECT doc_id, CAST(len(list_filter(string_split(text, '.'), lambda s: trim(s, ' ') <> '')) AS INTEGER) AS sentences FROM documents")
+def sentence_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "documents").select("doc_id", text.sentences(F.col("text")).alias("sentences"))
+
+
+@query(r"SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(text, '\*\*([^*]+)\*\*', '\1', 'g'), '\*([^*]+)\*', '\1', 'g'), '`([^`]+)`', '\1', 'g'), ' ') AS plain FROM documents WHERE NOT regexp_matches(text, '(?m)^(#{1,6}\s|[-*+]\s|>|-{3,}$)') AND text NOT LIKE '%](%'")
+def markdown_strip(spark: SparkSession, folder: str) -> DataFrame:
+    """Emphasis and code marks of texts without headings, lists, quotes and links."""
+    docs = table(spark, folder, "documents").filter(~F.col("text").rlike(r"(?m)^(#{1,6}\s|[-*+]\s|>|-{3,}$)") & ~F.contains("text", F.lit("](")))
+    return docs.select("doc_id", text.strip_markdown(F.col("text")).alias("plain"))
+
+
+@query(
+    r"""WITH parts AS (SELECT doc_id, list_filter(list_transform(string_split_regex(text, '\s+(?:and|but|und|aber|et|mais|pero)\s+'), lambda x: trim(x, ' ')), lambda x: length(x) >= 3) AS p FROM documents),
+    full_ AS (SELECT doc_id, p, generate_subscripts(p, 1) AS i FROM parts WHERE len(p) > 0) SELECT doc_id, CAST(i - 1 AS INTEGER) AS place, p[i] AS clause FROM full_"""
+)
+def clause_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    found = text.clauses(F.col("text"), ["and", "but", "und", "aber", "et", "mais", "pero"])
+    return table(spark, folder, "documents").select("doc_id", F.posexplode(found).alias("place", "clause"))
+
+
+@query("SELECT event_type, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, count(*) AS n FROM events GROUP BY 1, 2")
+def json_props(spark: SparkSession, folder: str) -> DataFrame:
+    events = table(spark, folder, "events").select("event_type", F.from_json("props", "k bigint").alias("p"))
+    return events.groupBy("event_type", F.col("p.k").alias("k")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT CAST(date_trunc('day', ts - INTERVAL 1 MICROSECOND) AS DATE) AS day, count(*) AS events, count(DISTINCT user_id) AS users FROM events GROUP BY 1")
+def day_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "events").groupBy(dates.day_chunk(F.col("ts")).alias("day")).agg(F.count(F.lit(1)).alias("events"), F.countDistinct("user_id").alias("users"))
+
+
+@query(
+    """WITH dims AS (SELECT vec_id, label, unnest(embedding) AS v, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings), centre AS (SELECT label, i, avg(v::DOUBLE) AS c FROM dims GROUP BY label, i),
+    scored AS (SELECT d.vec_id, c.label, round(sum(d.v::DOUBLE * c.c) / ((sqrt(sum(d.v::DOUBLE * d.v::DOUBLE)) + 1e-9) * (sqrt(sum(c.c * c.c)) + 1e-9)), 6) AS score FROM dims d JOIN centre c ON d.i = c.i GROUP BY d.vec_id, c.label)
+    SELECT vec_id AS id, CASE WHEN max(score) >= 0.5 THEN arg_max(CAST(label AS VARCHAR), (score, CAST(label AS VARCHAR))) ELSE 'other' END AS name, max(score) AS score FROM scored GROUP BY vec_id"""
+)
+def nearest_tag_vector(spark: SparkSession, folder: str) -> DataFrame:
+    """Each vector's nearest label mean, if alike enough."""
+    vectors = table(spark, folder, "embeddings")
+    means = vectors.select("label", F.posexplode("embedding").alias("i", "v")).groupBy("label", "i").agg(F.avg(F.col("v").cast("double")).alias("c"))
+    centres = means.groupBy("label").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "c"))), lambda x: x["c"]).alias("centre")).select(F.col("label").cast("string").alias("name"), "centre")
+    return ranking.nearest(vectors.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), centres, 0.5, "other")
+
+
+_MEAN = "((service10 + car10 + coalesce(conv10, 0)) / 10.0::DOUBLE / (2 + CASE WHEN conv10 IS NULL THEN 0 ELSE 1 END))"
+_LEAST = "least(service10 / 10.0::DOUBLE, car10 / 10.0::DOUBLE, coalesce(conv10 / 10.0::DOUBLE, 99))"
+
+
+@query(
+    f""", m AS (SELECT order_id, line, branch_id, sentiment, {_LEAST} AS low, (list_sum(list_filter([service10 / 10.0::DOUBLE, car10 / 10.0::DOUBLE, conv10 / 10.0::DOUBLE], lambda x: x IS NOT NULL)) / (2 + CASE WHEN conv10 IS NULL THEN 0 ELSE 1 END)) AS mean, service10 / 10.0::DOUBLE + car10 / 10.0::DOUBLE + coalesce(conv10 / 10.0::DOUBLE, 0) AS total FROM reviews)
+    SELECT by_rating, short, summed, count(*) AS n FROM (SELECT CASE WHEN low < 3 THEN 'negative' WHEN mean >= 3.5 THEN 'positive' ELSE 'neutral' END AS by_rating,
+      CASE WHEN low < 3 THEN CASE WHEN mean >= 3.5 THEN 'neutral' ELSE 'negative' END WHEN mean >= 3.5 THEN 'positive' WHEN mean >= 3 THEN 'neutral' ELSE 'negative' END AS short,
+      CASE WHEN total >= 12 THEN 'positive' WHEN total < 9 THEN 'negative' ELSE 'neutral' END AS summed FROM m) GROUP BY ALL""",
+    "reviews",
+)
+def rating_sentiment(spark: SparkSession, folder: str) -> DataFrame:
+    """Polarity by ratings alone, by three rules."""
+    ratings = [F.col(c) / 10.0 for c in ("service10", "car10", "conv10")]
+    rows = tpch.reviews(spark, folder).select(sentiment.from_ratings(*ratings)["sentiment"].alias("by_rating"), sentiment.short_text(*ratings).alias("short"), sentiment.by_rating_sum(*ratings).alias("summed"))
+    return rows.groupBy("by_rating", "short", "summed").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT r.branch_id, count(*) AS reviews FROM reviews r WHERE EXISTS (SELECT 1 FROM reviews o WHERE o.branch_id = r.branch_id AND o.sentiment = 'negative' AND o.conv10 = 1) GROUP BY r.branch_id", "reviews")
+def keys_in(spark: SparkSession, folder: str) -> DataFrame:
+    rows = tpch.reviews(spark, folder)
+    worst = filters.search(rows, {"sentiment": "negative", "conv10": 1})
+    return filters.keys_in(rows.select("branch_id"), worst, ["branch_id"]).groupBy("branch_id").agg(F.count(F.lit(1)).alias("reviews"))
+
+
+@query("SELECT c.c_custkey, c.c_name FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_totalprice > 200000)")
+def keys_not_in(spark: SparkSession, folder: str) -> DataFrame:
+    customers = table(spark, folder, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_name")
+    return filters.keys_not_in(customers, table(spark, folder, "orders").filter("o_totalprice > 200000"), ["o_custkey"]).withColumnRenamed("o_custkey", "c_custkey")
+
+
+@query("SELECT region, nation, count(*) AS branches FROM branches GROUP BY region, nation", "branches")
+def filter_options(spark: SparkSession, folder: str) -> DataFrame:
+    return tpch.branches(spark, folder).groupBy("region", "nation").agg(F.count(F.lit(1)).alias("branches"))
+
+
+@query("SELECT count(*) FILTER (WHERE rating >= 0 AND rating < 25) AS bucket_0, count(*) FILTER (WHERE rating >= 25 AND rating < 50) AS bucket_1, count(*) FILTER (WHERE rating >= 50 AND rating <= 100) AS bucket_2 FROM branches", "branches")
+def rating_histogram(spark: SparkSession, folder: str) -> DataFrame:
+    return agg.histogram(tpch.branches(spark, folder), "rating", [0, 25, 50, 100])
