@@ -3,11 +3,13 @@
 A document is the set of its distinct five-word shingles.  Shingles have one global order, rare before frequent by a count sketch of
 the whole corpus and then by hash.  If two sets are alike enough, their prefixes of size - required overlap + l have l shingles in common
 for every l; each set chooses the l that its estimated cost makes cheapest: a longer prefix costs postings, but each candidate must then
-use up l of them.  A pair whose choices differ must share as many published shingles as the smaller choice.
+use up l of them.  Of two sets, take the one whose published prefix ends first: what they share beyond it is at most what that set doesn't
+publish.  So a pair must share as many published shingles as its required overlap exceeds the larger unpublished rest, and never fewer than the smaller l.
 
 Only components are wanted, so no group has all its pairs formed unasked.  Equal sets are one node.  Shingles of few nodes give all
-their pairs, those of many give a chain and a star; verified links join nodes into components.  Then the shingles of many nodes give
-the pairs across components that are left, so every pair that the prefixes admit is either verified or already connected.
+their pairs; those of many give a chain and stars around the nodes that have fewest shingles of their own.  Verified links join nodes into
+components.  Then the shingles of many nodes give the pairs across components that are left, so every pair that the prefixes admit is
+either verified or already connected.
 """
 
 from __future__ import annotations
@@ -25,10 +27,12 @@ from .components import components
 from .repeats import keyed, shards_for
 from .store import store
 
-SKETCH_BITS = 21
+SKETCH_BITS = 23
 SLICES = 64
-#: Nodes of a shingle from which on it gives a chain and a star first; its other pairs follow, so nothing is lost.
+#: Nodes of a shingle from which on it gives a chain and stars first; its other pairs follow, so nothing is lost.
 MANY = 24
+#: Stars of a shingle of many nodes, in each band of sizes.
+STARS = 3
 LONGEST = 4
 #: Cost of verifying a pair, in postings.
 VERIFY = 12.0
@@ -72,7 +76,7 @@ def _sets_out(sets: Sets) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
             yield pa.RecordBatch.from_arrays([batch.column("k"), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(none, pa.int32()), pa.array(none, pa.binary())], names=["k", "node", "size", "slice", "counts"])
         if counts.any():
             none = [None] * SLICES
-            yield pa.RecordBatch.from_arrays([*[pa.array(none, pa.int64())] * 3, pa.array(range(SLICES), pa.int32()), pa.array([x.tobytes() for x in np.split(counts, SLICES)], pa.binary())], names=["k", "node", "size", "slice", "counts"])
+            yield pa.RecordBatch.from_arrays([*[pa.array(none, pa.int64())] * 3, pa.array(range(SLICES), pa.int32()), pa.array([x.tobytes() for x in np.split(np.minimum(counts, 65535).astype(np.uint16), SLICES)], pa.binary())], names=["k", "node", "size", "slice", "counts"])
 
     return run
 
@@ -81,7 +85,7 @@ def _levels(table: pa.Table) -> pa.Table:
     """Twice the logarithm of a slice's total counts, and their sum."""
     total = np.zeros((1 << SKETCH_BITS) // SLICES, dtype=np.uint64)
     for blob in table.column("counts").to_pylist():
-        total += np.frombuffer(blob, dtype=np.uint32)
+        total += np.frombuffer(blob, dtype=np.uint16)
     levels = np.floor(2 * np.log2(total.astype(np.float64) + 1)).astype(np.uint8)
     return pa.table({"slice": table.column("slice").slice(0, 1).cast(pa.int32()), "levels": pa.array([levels.tobytes()], pa.binary())})
 
@@ -165,44 +169,48 @@ def _unpacked(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
     return key, node, size, least, first, np.diff(np.concatenate([first, [len(key)]]))
 
 
-_PAIRS = "a long, b long, shared long, least int, sure boolean"
+_PAIRS = "a long, b long, shared long, least int"
 
 
-def _counted(a: np.ndarray, b: np.ndarray, least: np.ndarray, sure: np.ndarray) -> pa.RecordBatch:
-    """Pairs of one shard, each once."""
+def _counted(a: np.ndarray, b: np.ndarray, least: np.ndarray) -> pa.RecordBatch:
+    """Pairs of one shard, each once, with how often they come."""
     low, high = np.minimum(a, b), np.maximum(a, b)
     order = np.lexsort((high, low))
-    low, high, least, sure = low[order], high[order], least[order], sure[order]
+    low, high, least = low[order], high[order], least[order]
     first = np.flatnonzero(np.concatenate([[True], (low[1:] != low[:-1]) | (high[1:] != high[:-1])])) if len(low) else np.zeros(0, np.int64)
     shared = np.diff(np.concatenate([first, [len(low)]]))
-    any_ = np.logical_or.reduceat(sure, first) if len(first) else np.zeros(0, dtype=bool)
-    return pa.RecordBatch.from_arrays([pa.array(low[first]), pa.array(high[first]), pa.array(shared.astype(np.int64)), pa.array(least[first].astype(np.int32)), pa.array(any_)], names=["a", "b", "shared", "least", "sure"])
+    return pa.RecordBatch.from_arrays([pa.array(low[first]), pa.array(high[first]), pa.array(shared.astype(np.int64)), pa.array(least[first].astype(np.int32))], names=["a", "b", "shared", "least"])
 
 
-def _first_pairs(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _close(size_a: np.ndarray, size_b: np.ndarray, percent: int) -> np.ndarray:
+    """Whether the sizes allow two sets to be alike enough."""
+    return 100 * np.minimum(size_a, size_b).astype(np.int64) >= percent * np.maximum(size_a, size_b).astype(np.int64)
+
+
+def wanted(size_a: np.ndarray, size_b: np.ndarray, least_a: np.ndarray, least_b: np.ndarray, percent: int) -> np.ndarray:
+    """Published shingles that two sets must share, from their sizes and their l."""
+    size_a, size_b, least_a, least_b = (x.astype(np.int64) for x in (size_a, size_b, least_a, least_b))
+    overlap = -(-percent * (size_a + size_b) // (100 + percent))
+    rest = np.maximum(required(size_a, percent) - least_a, required(size_b, percent) - least_b)
+    return np.maximum(overlap - rest, np.minimum(least_a, least_b))
+
+
+def _few_pairs(percent: int, many: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """All pairs of the shingles of few nodes."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 _, node, size, least, first, count = _unpacked(row)
-                left, right, sure = [], [], []
-                for step in range(1, MANY):  # neighbours at each distance, within the shingles of few nodes
-                    ok = first[(count > step) & (count < MANY)], count[(count > step) & (count < MANY)]
-                    i = np.repeat(ok[0], ok[1] - step) + _ramp(ok[1] - step)
-                    left.append(i)
-                    right.append(i + step)
-                    sure.append(np.zeros(len(i), dtype=bool))
-                big = count >= MANY
-                i = np.repeat(first[big], count[big] - 1) + _ramp(count[big] - 1)
-                heads = _heads(i + 1, first[big], count[big], size, percent)
-                star = (heads != i) & (heads != i + 1)
-                left += [i, heads[star]]
-                right += [i + 1, i[star] + 1]
-                sure.append(np.ones(len(i) + int(star.sum()), dtype=bool))
-                x, y, known = np.concatenate(left), np.concatenate(right), np.concatenate(sure)
-                small, large = np.minimum(size[x], size[y]).astype(np.int64), np.maximum(size[x], size[y]).astype(np.int64)
-                keep = (100 * small >= percent * large) & (node[x] != node[y])
-                x, y, known = x[keep], y[keep], known[keep]
-                yield _counted(node[x], node[y], np.minimum(least[x], least[y]), known)
+                left = []
+                for step in range(1, many):  # neighbours at each distance
+                    ok = (count > step) & (count < many)
+                    i = np.repeat(first[ok], count[ok] - step) + _ramp(count[ok] - step)
+                    left.append(np.stack([i, i + step]))
+                x, y = np.concatenate(left, axis=1)
+                keep = _close(size[x], size[y], percent) & (node[x] != node[y])
+                x, y = x[keep], y[keep]
+                yield _counted(node[x], node[y], wanted(size[x], size[y], least[x], least[y], percent))
 
     return run
 
@@ -213,43 +221,70 @@ def _ramp(counts: np.ndarray) -> np.ndarray:
     return np.arange(total) - np.repeat(np.cumsum(counts) - counts, counts)
 
 
-def _heads(at: np.ndarray, first: np.ndarray, count: np.ndarray, size: np.ndarray, percent: int) -> np.ndarray:
-    """For places in groups ordered by size, the start of the block of like sizes that each lies in."""
-    start = np.repeat(first, count - 1)
-    band = np.floor(np.log(np.maximum(size[at], 1)) / np.log(100.0 / percent)).astype(np.int64)
-    head = np.concatenate([[True], (start[1:] != start[:-1]) | (band[1:] != band[:-1])]) if len(at) else np.zeros(0, dtype=bool)
-    return at[np.maximum.accumulate(np.where(head, np.arange(len(at)), 0))] if len(at) else at
+def _own_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many of a shard's shingles each node has that other nodes have too."""
+    for batch in batches:
+        for row in batch.to_pylist():
+            node, count = np.unique(np.frombuffer(row["nodes"], dtype=np.int64), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(count.astype(np.int64))], names=["node", "shared"])
+
 
+def _stars(percent: int) -> Callable[[pa.Table], pa.Table]:
+    """Of one shingle, a chain by size, and pairs with those nodes of the same and the next smaller band of sizes that have fewest shingles of their own."""
 
-def _crowded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(table: pa.Table) -> pa.Table:
+        node, size, least, own = (table.column(c).to_numpy() for c in ("node", "size", "least", "own"))
+        order = np.lexsort((node, size))
+        node, size, least, own = node[order], size[order], least[order], own[order]
+        band = np.floor(np.log(np.maximum(size, 1)) / np.log(100.0 / percent)).astype(np.int64)
+        x, y = [np.arange(len(node) - 1)], [np.arange(1, len(node))]
+        for b in np.unique(band).tolist():
+            members = np.flatnonzero(band == b)
+            for hub in members[np.lexsort((node[members], own[members]))[:STARS]].tolist():
+                near = np.flatnonzero((band == b) | (band == b + 1))
+                x.append(np.full(len(near), hub))
+                y.append(near)
+        i, j = np.concatenate(x), np.concatenate(y)
+        keep = (i != j) & _close(size[i], size[j], percent)
+        i, j = i[keep], j[keep]
+        return pa.Table.from_batches([_counted(node[i], node[j], wanted(size[i], size[j], least[i], least[j], percent))])
+
+    return run
+
+
+def _crowded(many: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Postings of the shingles of many nodes, one row each."""
-    for batch in batches:
-        for row in batch.to_pylist():
-            key, node, size, least, _, count = _unpacked(row)
-            big = np.repeat(count >= MANY, count)
-            yield pa.RecordBatch.from_arrays([pa.array(key[big].astype(np.int64)), pa.array(node[big]), pa.array(size[big].astype(np.int64)), pa.array(least[big].astype(np.int32))], names=["token", "node", "size", "least"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                key, node, size, least, _, count = _unpacked(row)
+                big = np.repeat(count >= many, count)
+                yield pa.RecordBatch.from_arrays([pa.array(key[big].astype(np.int64)), pa.array(node[big]), pa.array(size[big].astype(np.int64)), pa.array(least[big].astype(np.int32))], names=["token", "node", "size", "least"])
+
+    return run
 
 
 def _across(percent: int) -> Callable[[pa.Table], pa.Table]:
-    """Of one shingle, the pairs of nodes of different components."""
+    """Of one shingle, the pairs of nodes of different components and of like sizes."""
 
     def run(table: pa.Table) -> pa.Table:
         node, size, least, root = (table.column(c).to_numpy() for c in ("node", "size", "least", "root"))
         _, of, count = np.unique(root, return_inverse=True, return_counts=True)
         order = np.argsort(count[of] * (len(count) + 1) + of, kind="stable")
         node, size, least, of = node[order], size[order], least[order], of[order]
-        ends = np.flatnonzero(np.concatenate([of[1:] != of[:-1], [True]])) + 1
-        out: list[pa.RecordBatch] = []
+        ends = np.flatnonzero(np.concatenate([of[1:] != of[:-1], [True]])) + 1 if len(of) else np.zeros(0, np.int64)
+        left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         start = 0
         for end in ends[:-1].tolist():  # all but the largest component, each with those that follow
             for i in range(start, end):
                 j = np.arange(end, len(node))
-                small, large = np.minimum(size[i], size[j]), np.maximum(size[i], size[j])
-                j = j[100 * small >= percent * large]
-                if len(j):
-                    out.append(_counted(np.full(len(j), node[i]), node[j], np.minimum(least[i], least[j]), np.zeros(len(j), dtype=bool)))
+                j = j[_close(np.full(len(j), size[i]), size[j], percent)]
+                left.append(np.full(len(j), i))
+                right.append(j)
             start = end
-        return pa.Table.from_batches(out, schema=None if out else pa.schema([("a", pa.int64()), ("b", pa.int64()), ("shared", pa.int64()), ("least", pa.int32()), ("sure", pa.bool_())]))
+        i, j = np.concatenate(left), np.concatenate(right)
+        return pa.Table.from_batches([_counted(node[i], node[j], wanted(size[i], size[j], least[i], least[j], percent))])
 
     return run
 
@@ -276,13 +311,13 @@ def _alike(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
     return run
 
 
-def links(docs: DataFrame, percent: int = 80, n: int = 5, sets: Sets | None = None, bytes_per_shard: int = 2 << 20) -> tuple[DataFrame, DataFrame]:
+def links(docs: DataFrame, percent: int = 80, n: int = 5, sets: Sets | None = None, many: int = MANY, bytes_per_shard: int = 2 << 20) -> tuple[DataFrame, DataFrame]:
     """(k, node, size) of every row of docs, and verified links (a, b) between nodes whose components are those of all links."""
     docs, make = keyed(docs), sets or partial(shingle_set, n=n)
     found = store(docs.mapInArrow(_sets_out(make), "k long, node long, size long, slice int, counts binary"))
     nodes = found.filter(F.col("slice").isNull()).select("k", "node", "size")
     levels = np.zeros((SLICES, (1 << SKETCH_BITS) // SLICES), dtype=np.uint8)
-    # The sketch has a fixed size: 2 MB
+    # The sketch has a fixed size: 8 MB
     for row in found.filter(F.col("slice").isNotNull()).select("slice", "counts").groupBy("slice").applyInArrow(_levels, "slice int, levels binary").collect():
         levels[row["slice"]] = np.frombuffer(row["levels"], dtype=np.uint8)
     levels = levels.ravel()
@@ -292,11 +327,16 @@ def links(docs: DataFrame, percent: int = 80, n: int = 5, sets: Sets | None = No
     groups = store(postings.groupBy("shard").applyInArrow(_groups, _GROUPS))
 
     def summed(pairs: DataFrame) -> DataFrame:
-        return pairs.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.min("least").alias("least"), F.bool_or("sure").alias("sure"))
+        return pairs.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.min("least").alias("least"))
 
-    first = store(summed(groups.mapInArrow(_first_pairs(percent), _PAIRS)))
-    chosen = first.filter(F.col("sure") | (F.col("shared") >= F.col("least"))).select("a", "b")
-    crowded = store(groups.mapInArrow(_crowded, "token long, node long, size long, least int"))
+    few = store(summed(groups.mapInArrow(_few_pairs(percent, many), _PAIRS)))
+    enough = F.col("shared") >= F.col("least")
+    crowded = groups.mapInArrow(_crowded(many), "token long, node long, size long, least int")
+    shared = groups.mapInArrow(_own_counts, "node long, shared long").join(crowded.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.sum("shared").alias("shared"))
+    published = F.col("size") - F.ceil(F.col("size") * percent / 100) + F.col("least")
+    crowded = store(crowded.join(shared, "node").select("token", "node", "size", "least", (published - F.col("shared")).alias("own")))
+    stars = crowded.groupBy("token").applyInArrow(_stars(percent), _PAIRS)
+    chosen = store(few.filter(enough).select("a", "b").unionByName(stars.select("a", "b")).distinct())
 
     # The sets of all nodes that may still be compared
     wanted = chosen.select(F.col("a").alias("node")).unionByName(chosen.select(F.col("b").alias("node"))).unionByName(crowded.select("node")).distinct()
@@ -315,19 +355,18 @@ def links(docs: DataFrame, percent: int = 80, n: int = 5, sets: Sets | None = No
     known = crowded.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     several = known.groupBy("token").agg((F.min("root") < F.max("root")).alias("mixed")).filter("mixed").select("token")
     more = known.join(several, "token", "left_semi").groupBy("token").applyInArrow(_across(percent), _PAIRS)
-    rest = summed(summed(more).unionByName(first.filter(~F.col("sure") & (F.col("shared") < F.col("least")))))
-    rest = rest.filter(F.col("shared") >= F.col("least")).select("a", "b").join(chosen, ["a", "b"], "left_anti")
+    rest = summed(summed(more).unionByName(few.filter(~enough))).filter(enough).select("a", "b").join(chosen, ["a", "b"], "left_anti")
     return nodes, sure.unionByName(verified(rest))
 
 
-def classes(docs: DataFrame, percent: int = 80, n: int = 5, sets: Sets | None = None) -> DataFrame:
+def classes(docs: DataFrame, percent: int = 80, n: int = 5, sets: Sets | None = None, many: int = MANY) -> DataFrame:
     """doc_id, n_shingles and component_id of each row of docs: the least doc_id that links of likeness percent or more reach.
 
     Words are lower-cased in A-Z only.  A null, empty or blank text has no shingles and is linked with nothing; a text of fewer than n
     words is one shingle.  Rows of one doc_id count as one document of several texts only where these are linked.  A null doc_id is the least of all
     and, as a component, null.  Other columns are ignored.  sets: another way to make a text's sorted set of 64-bit hashes.
     """
-    nodes, edges = links(docs, percent, n, sets)
+    nodes, edges = links(docs, percent, n, sets, many)
     roots = components(edges)
     least = nodes.filter(F.col("size") > 0).groupBy("node").agg(F.min("k").alias("k")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     tops = least.groupBy("root").agg(F.min("k").alias("component_id"))
