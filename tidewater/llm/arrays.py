@@ -6,7 +6,10 @@ UTF-8 text.  Hashes are 64-bit polynomials over random per-byte values; equal in
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 
 U64 = np.uint64
 _SPACE = np.zeros(256, dtype=bool)
@@ -49,6 +52,12 @@ def as_bytes(text: str | bytes | None) -> bytes:
     return text if isinstance(text, bytes) else text.encode("utf-8", "surrogatepass")
 
 
+def slices(batch: pa.RecordBatch, rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of a few rows, so that only these are Python objects at a time."""
+    for at in range(0, batch.num_rows, rows):
+        yield batch.slice(at, rows)
+
+
 def word_bounds(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends, in bytes, of the words of a uint8 array."""
     if not len(buf):

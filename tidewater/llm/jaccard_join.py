@@ -37,7 +37,7 @@ LONGEST = 4
 #: Cost of verifying a pair, in postings.
 VERIFY = 12.0
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
-_FLUSH = 32 << 20
+_FLUSH = 12 << 20
 Sets = Callable[[str | None], np.ndarray]
 
 
@@ -61,9 +61,9 @@ def required(size: int | np.ndarray, percent: int) -> int | np.ndarray:
 
 def _sets_out(sets: Sets) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << SKETCH_BITS, dtype=np.uint32)
+        counts = np.zeros(1 << SKETCH_BITS, dtype=np.uint16)
         seen: set[int] = set()
-        for batch in batches:
+        for batch in (part for whole in batches for part in A.slices(whole)):
             nodes, sizes = [], []
             for text in batch.column("text").to_pylist():
                 shingles = sets(text)
@@ -71,12 +71,12 @@ def _sets_out(sets: Sets) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
                 sizes.append(len(shingles))
                 if nodes[-1] not in seen:
                     seen.add(nodes[-1])
-                    counts[(shingles >> A.U64(64 - SKETCH_BITS)).astype(np.int64)] += 1
+                    slots = (shingles >> A.U64(64 - SKETCH_BITS)).astype(np.int64)
+                    counts[slots] += counts[slots] < 65535
             none = [None] * len(nodes)
             yield pa.RecordBatch.from_arrays([batch.column("k"), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(none, pa.int32()), pa.array(none, pa.binary())], names=["k", "node", "size", "slice", "counts"])
-        if counts.any():
-            none = [None] * SLICES
-            yield pa.RecordBatch.from_arrays([*[pa.array(none, pa.int64())] * 3, pa.array(range(SLICES), pa.int32()), pa.array([x.tobytes() for x in np.split(np.minimum(counts, 65535).astype(np.uint16), SLICES)], pa.binary())], names=["k", "node", "size", "slice", "counts"])
+        for i, part in enumerate(np.split(counts, SLICES) if counts.any() else []):
+            yield pa.RecordBatch.from_arrays([*[pa.array([None], pa.int64())] * 3, pa.array([i], pa.int32()), pa.array([part.tobytes()], pa.binary())], names=["k", "node", "size", "slice", "counts"])
 
     return run
 
@@ -125,7 +125,7 @@ def _postings_out(sets: Sets, percent: int, levels: np.ndarray, noise: float, sh
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, tuple[np.ndarray, int, int]] = {}
         used = 0
-        for batch in batches:
+        for batch in (part for whole in batches for part in A.slices(whole)):
             for text in batch.column("text").to_pylist():
                 shingles = sets(text)
                 node = set_hash(shingles)
@@ -291,7 +291,7 @@ def _across(percent: int) -> Callable[[pa.Table], pa.Table]:
 
 def _blobs(make: Sets) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in A.slices(whole)):
             sets = [make(t) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([set_hash(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "shingles"])
 
@@ -300,7 +300,7 @@ def _blobs(make: Sets) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
 
 def _alike(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in A.slices(whole)):
             keep = []
             for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
                 u, v = np.frombuffer(x, dtype=A.U64), np.frombuffer(y, dtype=A.U64)
