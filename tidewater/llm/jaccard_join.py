@@ -19,7 +19,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import arrays as A
@@ -34,6 +34,8 @@ MANY = 24
 #: Stars of a shingle of many nodes, in each band of sizes.
 STARS = 3
 LONGEST = 4
+#: Most bits of a parity mark, and most members of a set that has one.
+MARK_BITS = 4096
 #: Cost of verifying a pair, in postings.
 VERIFY = 12.0
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -107,19 +109,20 @@ def _postings_out(sets: Sets, percent: int, levels: np.ndarray, noise: float, sh
     def flush(held: dict[int, tuple[np.ndarray, int, int]]) -> pa.RecordBatch:
         tokens = np.concatenate([x[0] for x in held.values()])
         times = [len(x[0]) for x in held.values()]
+        place = np.concatenate([np.arange(t, dtype=np.uint32) for t in times])
         node = np.repeat(np.fromiter(held, np.int64), times)
         size = np.repeat(np.array([x[1] for x in held.values()], dtype=np.uint32), times)
         least = np.repeat(np.array([x[2] for x in held.values()], dtype=np.uint8), times)
         shard = (tokens % A.U64(shards)).astype(np.int64)
         order = np.argsort(shard, kind="stable")
-        tokens, node, size, least = tokens[order], node[order], size[order], least[order]
+        tokens, node, size, least, place = tokens[order], node[order], size[order], least[order], place[order]
         cuts = np.searchsorted(shard[order], np.arange(shards + 1))
         some = [(s, a, b) for s, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if a < b]
         # Six bytes of a shingle tell enough: what collides is a candidate that fails
         short = tokens.view(np.uint8).reshape(-1, 8)[:, 2:]
         return pa.RecordBatch.from_arrays(
-            [pa.array([s for s, _, _ in some], pa.int32()), pa.array([short[a:b].tobytes() for _, a, b in some], pa.binary()), *[pa.array([x[a:b].tobytes() for _, a, b in some], pa.binary()) for x in (node, size, least)]],
-            names=["shard", "tokens", "nodes", "sizes", "least"],
+            [pa.array([s for s, _, _ in some], pa.int32()), pa.array([short[a:b].tobytes() for _, a, b in some], pa.binary()), *[pa.array([x[a:b].tobytes() for _, a, b in some], pa.binary()) for x in (node, size, least, place)]],
+            names=["shard", "tokens", "nodes", "sizes", "least", "places"],
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,7 +136,7 @@ def _postings_out(sets: Sets, percent: int, levels: np.ndarray, noise: float, sh
                     continue
                 tokens, chosen = prefix(shingles, levels, noise, percent)
                 held[node] = (tokens, len(shingles), chosen)
-                used += 21 * len(tokens)
+                used += 25 * len(tokens)
                 if used >= _FLUSH:
                     yield flush(held)
                     held, used = {}, 0
@@ -143,7 +146,8 @@ def _postings_out(sets: Sets, percent: int, levels: np.ndarray, noise: float, sh
     return run
 
 
-_GROUPS = "shard int, tokens binary, nodes binary, sizes binary, least binary"
+_GROUPS = "shard int, tokens binary, nodes binary, sizes binary, least binary, places binary"
+_PACKED = (("nodes", np.int64), ("sizes", np.uint32), ("least", np.uint8), ("places", np.uint32))
 
 
 def _groups(table: pa.Table) -> pa.Table:
@@ -152,21 +156,21 @@ def _groups(table: pa.Table) -> pa.Table:
     wide = np.zeros((len(tokens), 8), dtype=np.uint8)
     wide[:, 2:] = tokens
     key = wide.view(np.uint64).ravel()
-    node, size, least = (np.concatenate([np.frombuffer(x, dtype=kind) for x in table.column(c).to_pylist()]) for c, kind in (("nodes", np.int64), ("sizes", np.uint32), ("least", np.uint8)))
+    node, size, least, place = (np.concatenate([np.frombuffer(x, dtype=kind) for x in table.column(c).to_pylist()]) for c, kind in _PACKED)
     order = np.lexsort((node, size, key))
-    key, node, size, least = key[order], node[order], size[order], least[order]
+    key, node, size, least, place = key[order], node[order], size[order], least[order], place[order]
     new = np.concatenate([[True], (key[1:] != key[:-1]) | (node[1:] != node[:-1])])
-    key, node, size, least = key[new], node[new], size[new], least[new]
+    key, node, size, least, place = key[new], node[new], size[new], least[new], place[new]
     first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     several = np.repeat(np.diff(np.concatenate([first, [len(key)]])) > 1, np.diff(np.concatenate([first, [len(key)]])))
     shard = table.column("shard")[0].as_py()
-    return pa.table({"shard": pa.array([shard], pa.int32()), **{c: pa.array([x[several].tobytes()], pa.binary()) for c, x in (("tokens", key), ("nodes", node), ("sizes", size), ("least", least))}})
+    return pa.table({"shard": pa.array([shard], pa.int32()), **{c: pa.array([x[several].tobytes()], pa.binary()) for c, x in (("tokens", key), ("nodes", node), ("sizes", size), ("least", least), ("places", place))}})
 
 
-def _unpacked(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    key, node, size, least = (np.frombuffer(row[c], dtype=kind) for c, kind in (("tokens", np.uint64), ("nodes", np.int64), ("sizes", np.uint32), ("least", np.uint8)))
+def _unpacked(row: dict) -> tuple[np.ndarray, ...]:
+    key, node, size, least, place = (np.frombuffer(row[c], dtype=kind) for c, kind in (("tokens", np.uint64), *_PACKED))
     first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
-    return key, node, size, least, first, np.diff(np.concatenate([first, [len(key)]]))
+    return key, node, size, least, place, first, np.diff(np.concatenate([first, [len(key)]]))
 
 
 _PAIRS = "a long, b long, shared long, least int"
@@ -201,7 +205,7 @@ def _few_pairs(percent: int, many: int) -> Callable[[Iterator[pa.RecordBatch]],
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                _, node, size, least, first, count = _unpacked(row)
+                _, node, size, least, _, first, count = _unpacked(row)
                 left = []
                 for step in range(1, many):  # neighbours at each distance
                     ok = (count > step) & (count < many)
@@ -221,14 +225,6 @@ def _ramp(counts: np.ndarray) -> np.ndarray:
     return np.arange(total) - np.repeat(np.cumsum(counts) - counts, counts)
 
 
-def _own_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """How many of a shard's shingles each node has that other nodes have too."""
-    for batch in batches:
-        for row in batch.to_pylist():
-            node, count = np.unique(np.frombuffer(row["nodes"], dtype=np.int64), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(count.astype(np.int64))], names=["node", "shared"])
-
-
 def _stars(percent: int) -> Callable[[pa.Table], pa.Table]:
     """Of one shingle, a chain by size, and pairs with those nodes of the same and the next smaller band of sizes that have fewest shingles of their own."""
 
@@ -252,34 +248,86 @@ def _stars(percent: int) -> Callable[[pa.Table], pa.Table]:
     return run
 
 
-def _crowded(many: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Postings of the shingles of many nodes, one row each."""
+_SHARED = "token long, node long, size long, least int, place long"
+
+
+def _shared(many: int, crowded: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Postings of the shingles of several nodes, one row each: of those of many nodes, or of the others, with null for the shingle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                key, node, size, least, _, count = _unpacked(row)
-                big = np.repeat(count >= many, count)
-                yield pa.RecordBatch.from_arrays([pa.array(key[big].astype(np.int64)), pa.array(node[big]), pa.array(size[big].astype(np.int64)), pa.array(least[big].astype(np.int32))], names=["token", "node", "size", "least"])
+                key, node, size, least, place, _, count = _unpacked(row)
+                on = np.repeat((count >= many) == crowded, count)
+                token = pa.array(key[on].astype(np.int64)) if crowded else pa.nulls(int(on.sum()), pa.int64())
+                yield pa.RecordBatch.from_arrays([token, pa.array(node[on]), pa.array(size[on].astype(np.int64)), pa.array(least[on].astype(np.int32)), pa.array(place[on].astype(np.int64))], names=["token", "node", "size", "least", "place"])
 
     return run
 
 
+def parity_mark(shingles: np.ndarray) -> bytes:
+    """Parity of a set's members in each of a power of two of slots, as bits; empty for sets too large to tell apart so.
+
+    Slots where two marks differ are at most as many as the members that only one of the two sets has.
+    """
+    if len(shingles) > MARK_BITS:
+        return b""
+    bits = min(MARK_BITS, max(512, 1 << (4 * len(shingles) - 1).bit_length()))
+    slots = ((shingles >> A.U64(16)) & A.U64(bits - 1)).astype(np.int64)
+    return np.packbits(np.bincount(slots, minlength=bits).astype(np.uint8) & 1).tobytes()
+
+
+def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in (part for whole in batches for part in A.slices(whole)):
+        marks = [parity_mark(np.frombuffer(x, dtype=A.U64)) for x in batch.column("shingles").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(marks, pa.binary())], names=["node", "mark"])
+
+
+class _Marks:
+    """Parity marks of some nodes, folded to each width that one of them has."""
+
+    def __init__(self, marks: list[bytes]) -> None:
+        self.width = np.array([len(m) for m in marks], dtype=np.int64)
+        self.folded: dict[int, np.ndarray] = {}
+        for width in np.unique(self.width[self.width > 0]).tolist():
+            rows = np.zeros((len(marks), width // 8), dtype=A.U64)
+            for i, mark in enumerate(marks):
+                if len(mark) >= width:
+                    rows[i] = np.bitwise_xor.reduce(np.frombuffer(mark, dtype=A.U64).reshape(-1, width // 8), axis=0)
+            self.folded[width] = rows
+
+    def apart(self, i: int, others: np.ndarray) -> np.ndarray:
+        """Least number of members that only one of two sets has, of set i and each of others."""
+        out = np.zeros(len(others), dtype=np.int64)
+        width = np.minimum(self.width[i], self.width[others])
+        for w in np.unique(width[width > 0]).tolist():
+            at = width == w
+            out[at] = np.bitwise_count(self.folded[w][others[at]] ^ self.folded[w][i]).sum(axis=1)
+        return out
+
+
 def _across(percent: int) -> Callable[[pa.Table], pa.Table]:
-    """Of one shingle, the pairs of nodes of different components and of like sizes."""
+    """Of one shingle, the pairs of nodes of different components that may be alike enough.
+
+    Published shingles before this one that no other node publishes are in neither of two sets that both publish this one: those of
+    one node bound the overlap with any other.  Parity marks bound it, too.
+    """
 
     def run(table: pa.Table) -> pa.Table:
-        node, size, least, root = (table.column(c).to_numpy() for c in ("node", "size", "least", "root"))
+        node, size, least, alone, root = (table.column(c).to_numpy() for c in ("node", "size", "least", "alone", "root"))
         _, of, count = np.unique(root, return_inverse=True, return_counts=True)
         order = np.argsort(count[of] * (len(count) + 1) + of, kind="stable")
         node, size, least, of = node[order], size[order], least[order], of[order]
+        most = size - alone[order]
+        marks = _Marks(table.column("mark").take(pa.array(order)).to_pylist())
         ends = np.flatnonzero(np.concatenate([of[1:] != of[:-1], [True]])) + 1 if len(of) else np.zeros(0, np.int64)
         left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         start = 0
         for end in ends[:-1].tolist():  # all but the largest component, each with those that follow
             for i in range(start, end):
                 j = np.arange(end, len(node))
-                j = j[_close(np.full(len(j), size[i]), size[j], percent)]
+                j = j[(100 + percent) * np.minimum(most[i], most[j]) >= percent * (size[i] + size[j])]
+                j = j[(100 + percent) * (size[i] + size[j] - marks.apart(i, j)) >= 2 * percent * (size[i] + size[j])]
                 left.append(np.full(len(j), i))
                 right.append(j)
             start = end
@@ -331,10 +379,12 @@ def links(docs: DataFrame, percent: int = 80, n: int = 5, sets: Sets | None = No
 
     few = store(summed(groups.mapInArrow(_few_pairs(percent, many), _PAIRS)))
     enough = F.col("shared") >= F.col("least")
-    crowded = groups.mapInArrow(_crowded(many), "token long, node long, size long, least int")
-    shared = groups.mapInArrow(_own_counts, "node long, shared long").join(crowded.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.sum("shared").alias("shared"))
+    crowded = groups.mapInArrow(_shared(many, True), _SHARED)
+    others = groups.mapInArrow(_shared(many, False), _SHARED).join(crowded.select("node").distinct(), "node", "left_semi").select("token", "node", "size", "least", "place")
+    ahead, whole = Window.partitionBy("node").orderBy("place"), Window.partitionBy("node")
     published = F.col("size") - F.ceil(F.col("size") * percent / 100) + F.col("least")
-    crowded = store(crowded.join(shared, "node").select("token", "node", "size", "least", (published - F.col("shared")).alias("own")))
+    ranked = crowded.unionByName(others).withColumns({"own": published - F.count(F.lit(1)).over(whole), "alone": F.col("place") - F.row_number().over(ahead) + 1})
+    crowded = store(ranked.filter(F.col("token").isNotNull()).drop("place"))
     stars = crowded.groupBy("token").applyInArrow(_stars(percent), _PAIRS)
     chosen = store(few.filter(enough).select("a", "b").unionByName(stars.select("a", "b")).distinct())
 
@@ -354,7 +404,9 @@ def links(docs: DataFrame, percent: int = 80, n: int = 5, sets: Sets | None = No
     roots = components(sure)
     known = crowded.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     several = known.groupBy("token").agg((F.min("root") < F.max("root")).alias("mixed")).filter("mixed").select("token")
-    more = known.join(several, "token", "left_semi").groupBy("token").applyInArrow(_across(percent), _PAIRS)
+    open_ = store(known.join(several, "token", "left_semi"))
+    marks = kept.join(open_.select("node").distinct(), "node", "left_semi").mapInArrow(_marks, "node long, mark binary")
+    more = open_.join(marks, "node").groupBy("token").applyInArrow(_across(percent), _PAIRS)
     rest = summed(summed(more).unionByName(few.filter(~enough))).filter(enough).select("a", "b").join(chosen, ["a", "b"], "left_anti")
     return nodes, sure.unionByName(verified(rest))
 
