@@ -72,6 +72,25 @@ def test_quality_verdicts():
         quality.Limits and quality.score(None, quality.Limits(repeat_words=2))
 
 
+def test_repeats_reject_texts_that_pass_the_base_rules():
+    rng = random.Random(8)
+    unique = lambda n: " ".join(f"w{rng.random()}" for _ in range(n))
+    limits = quality.Limits()
+    long, short = unique(480), unique(40)
+    for text, kept in (
+        (f"{long} {unique(4000)} {long}", False),  # 19.4% repeated
+        (f"{unique(9)} {long} {unique(40000)} {long}", False),  # 2.3%: the passage alone is too long
+        (f"{short} {unique(430)} {short}", False),  # 15.7% repeated, in short passages
+        (f"{short} {unique(800)} {short}", True),
+        (f"{unique(100)} {short} {unique(5000)} {short}", True),
+        (" ".join(f"{unique(40)} it is as we have said" for _ in range(9)), True),  # phrases under 8 words
+        (unique(500), True),
+    ):
+        *_, failed, got = quality.measure(text, limits)
+        assert not failed
+        assert got == kept
+
+
 def test_mixing_matches_sql_and_targets(spark, tmp_path):
     rng = random.Random(5)
     rows = [(i, prose(rng, rng.choice((0, 3, 10, 50, 400))) if i % 17 else None, rng.choice(["b", "a", None, "c c", "z"]) if i % 3 else "a") for i in range(400)]
