@@ -82,6 +82,32 @@ def test_licenses_are_found_and_prose_is_not(spark):
     assert license_scan.scan(table(spark, rows).limit(0)).count() == 0
 
 
+def test_adjacent_license_copies_are_each_found():
+    index = license_scan.Templates.build(NOTICES)
+    rng = random.Random(4)
+    for name, text in NOTICES:
+        n = len(license_scan.shingles(text)) + license_scan.SHINGLE - 1
+        for copies in (1, 2, 3):
+            for between in ("\n", f"\n{prose(rng, 3)}\n"):
+                gap = len(between.split())
+                got = [m[1:] for m in license_scan.matches(f"{prose(rng, 20)}\n{between.join([text] * copies)}\n{prose(rng, 9)}", index) if m[0] == name and m[2] - m[1] == n]
+                assert got == [(20 + i * (n + gap), 20 + i * (n + gap) + n, 1.0) for i in range(copies)], (name, copies)
+
+
+def test_edited_adjacent_copies_and_moved_parts():
+    index = license_scan.Templates.build(NOTICES)
+    name, text = max(NOTICES, key=lambda x: len(license_scan.shingles(x[1])))
+    words = text.split()
+    edited = " ".join([*words[: len(words) // 2], "changed", *words[len(words) // 2 + 1 :]])
+    both = [m for m in license_scan.matches(f"{edited} {text} {edited}", index) if m[0] == name]
+    assert len(both) == 3
+    assert both[1][3] == 1.0
+    assert all(a[2] <= b[1] for a, b in zip(both, both[1:], strict=False))
+    moved = [m for m in license_scan.matches(" ".join([*words[-len(words) // 8 :], *words[: -len(words) // 8]]), index) if m[0] == name]
+    assert len(moved) == 1
+    assert moved[0][3] > 1 - 5 / len(index.sets[index.names.index(name)])
+
+
 def test_url_rules(spark):
     urls = ["http://EXAMPLE.com/en/7x?q#f", "https://a.b.example.com/en/8", "http://shop.net/de/1", "x://example.net/de/8/9", "http://wexample.org/es/2", "http://org.example/es/", None, "", "no scheme", "http://host?x=/en/", "://h/p"]
     pages = spark.createDataFrame([(i, u, "<p>", "clash") for i, u in enumerate(urls)], "page_id long, url string, html string, host string")

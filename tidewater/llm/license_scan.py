@@ -3,7 +3,8 @@
 Texts and templates are words in lower case without punctuation, as five-word shingles.  A window is so many consecutive shingles;
 windows of a text start every half window, those of a template at every shingle, so a copy always has a window that starts where one
 of the template's does.  With rows and bands below, windows of likeness 0.8 share a band with a probability of over 0.9999.  Templates
-shorter than a window are looked up by windows of one shingle.  What is retrieved counts if the text around holds at least 0.8 of the template's distinct shingles.
+shorter than a window are looked up by windows of one shingle.  What is retrieved counts if the text around holds at least 0.8 of the template's distinct shingles;
+of copies that stand side by side each counts.
 Templates are a fixed table; their index goes to each task with its code.
 """
 
@@ -49,10 +50,14 @@ def band_keys(found: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass(frozen=True)
 class Templates:
-    """Index of the templates: band keys and, for short templates, shingles, sorted, with the template each belongs to."""
+    """Index of the templates: band keys and, for short templates, shingles, sorted, with the template each belongs to.
+
+    spots: for each template, the places of each of its shingles.
+    """
 
     names: tuple[str, ...]
     sets: tuple[np.ndarray, ...]
+    spots: tuple[dict[int, list[int]], ...]
     lengths: tuple[int, ...]
     keys: np.ndarray
     key_of: np.ndarray
@@ -76,7 +81,11 @@ class Templates:
         join = lambda x, kind: np.concatenate([*x, np.zeros(0, kind)]).astype(kind)
         k, o, f, s, t = join(keys, A.U64), join(owner, np.int64), join(offset, np.int64), join(short, A.U64), join(short_of, np.int64)
         a, b = np.argsort(k, kind="stable"), np.argsort(s, kind="stable")
-        return cls(tuple(n for n, _ in notices), tuple(np.unique(x) for x in all_), tuple(len(x) for x in all_), k[a], o[a], f[a], s[b], t[b])
+        spots: list[dict[int, list[int]]] = [{} for _ in all_]
+        for found, at in zip(all_, spots, strict=True):
+            for i, h in enumerate(found.tolist()):
+                at.setdefault(h, []).append(i)
+        return cls(tuple(n for n, _ in notices), tuple(np.unique(x) for x in all_), tuple(spots), tuple(len(x) for x in all_), k[a], o[a], f[a], s[b], t[b])
 
 
 def _hits(sorted_keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -87,8 +96,62 @@ def _hits(sorted_keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.n
     return i, np.repeat(low, count) + np.arange(len(i)) - np.repeat(np.cumsum(count) - count, count)
 
 
+def _copies(found: np.ndarray, places: np.ndarray, spots: dict[int, list[int]], members: np.ndarray, length: int, contained: float) -> list[tuple[int, int, float]]:
+    """First and last shingle and containment of each copy of a template around the retrieved places; no two share a word.
+
+    What the text around the places shares with the template is cut into runs that follow it shingle by shingle.  A copy is a stretch
+    of whole runs no longer than a place's surroundings.  Stretches that go back in the template least often come first, so of adjacent
+    copies each is a find; a find then takes the runs beside it that no other has, if they add to it.
+    """
+    slack = length // 4 + SHINGLE
+    around = np.flatnonzero(A.covered(np.maximum(places - slack, 0), places + length + slack, len(found)))
+    around = around[np.isin(found[around], members)]
+    runs: list[list[int]] = []  # first and last shingle, and their places in the template
+    for i, h in zip(around.tolist(), found[around].tolist(), strict=True):
+        at = spots[h]
+        if runs and runs[-1][1] == i - 1 and runs[-1][3] + 1 in at:
+            runs[-1][1], runs[-1][3] = i, runs[-1][3] + 1
+        else:
+            here = next((x for x in at if runs and x > runs[-1][3]), at[0])
+            runs.append([i, i, here, here])
+    parts = [set(found[r[0] : r[1] + 1].tolist()) for r in runs]
+    most = length + 2 * slack
+    stretches = []
+    for a in range(len(runs)):
+        seen: set[int] = set()
+        backs = 0
+        for b in range(a, len(runs)):
+            if runs[b][1] - runs[a][0] >= most:
+                break
+            grown = len(seen)
+            seen |= parts[b]
+            backs += b > a and runs[b][2] <= runs[b - 1][3]
+            if len(seen) > grown and len(seen) / len(spots) >= contained:
+                stretches.append((backs, -len(seen), runs[b][1] - runs[a][0], a, b))
+    owner = np.zeros(len(found) + SHINGLE, dtype=np.int64)  # of words; 0: none
+    finds = []
+    for _, _, _, a, b in sorted(stretches):
+        words = owner[runs[a][0] : runs[b][1] + SHINGLE]
+        if not words.any():
+            finds.append((a, b))
+            words[:] = len(finds)
+    out = []
+    for name, (a, b) in enumerate(finds, 1):
+        seen = set().union(*parts[a : b + 1])
+        for step in (-1, 1):
+            while 0 <= (c := a - 1 if step < 0 else b + 1) < len(runs):
+                words = owner[runs[c][0] : runs[c][1] + SHINGLE]
+                if parts[c] <= seen or ((words != 0) & (words != name)).any() or runs[max(b, c)][1] - runs[min(a, c)][0] >= most:
+                    break
+                words[:] = name
+                seen |= parts[c]
+                a, b = min(a, c), max(b, c)
+        out.append((runs[a][0], runs[b][1], len(seen) / len(spots)))
+    return out
+
+
 def matches(text: str | None, index: Templates, contained: float = CONTAINED) -> list[tuple[str, int, int, float]]:
-    """(name, first word, end word, containment) of each verified template, in order; overlapping finds of one template are one."""
+    """(name, first word, end word, containment) of each copy of each verified template, in order; overlapping finds of one template are one."""
     found = shingles(text)
     places: dict[int, set[int]] = {}
     bands, starts = band_keys(found, WINDOW // 2)
@@ -98,22 +161,11 @@ def matches(text: str | None, index: Templates, contained: float = CONTAINED) ->
     i, j = _hits(index.short, found)
     for t, at in zip(index.short_of[j].tolist(), i.tolist(), strict=True):
         places.setdefault(t, set()).add(at)
-    out: dict[tuple[int, int], tuple[str, int, int, float]] = {}
+    out = []
     for t, ats in places.items():
-        slack = index.lengths[t] // 4 + SHINGLE
-        done = -1
-        for at in sorted(ats):
-            # Windows of one copy retrieve nearly one place
-            a = max(0, at - slack, done)
-            part = found[a : at + index.lengths[t] + slack]
-            inside = np.flatnonzero(np.isin(part, index.sets[t]))
-            if not len(inside):
-                continue
-            share = len(np.unique(part[inside])) / len(index.sets[t])
-            if share >= contained:
-                done = a + int(inside[-1]) + 1
-                out[(t, a + int(inside[0]))] = (index.names[t], a + int(inside[0]), a + int(inside[-1]) + SHINGLE, share)
-    return sorted(out.values(), key=lambda x: (x[1], x[2], x[0]))
+        copies = _copies(found, np.array(sorted(ats), dtype=np.int64), index.spots[t], index.sets[t], index.lengths[t], contained)
+        out += [(index.names[t], first, last + SHINGLE, share) for first, last, share in copies]
+    return sorted(out, key=lambda x: (x[1], x[2], x[0]))
 
 
 _FOUND = "array<struct<license:string,first_word:long,end_word:long,containment:double>>"
