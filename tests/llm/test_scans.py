@@ -135,3 +135,42 @@ def test_url_models_tell_held_out_urls_apart(spark):
     right = sum((r.verdict == "allow") == (r.page_id % 2 == 1) for r in got)
     assert len(got) == 300
     assert right >= 285
+
+
+def test_url_model_counts_are_exact(spark):
+    rng = random.Random(9)
+    urls = [("".join(chr(rng.randrange(33, 1500)) for _ in range(40)), i % 3 == 0) for i in range(6000)] + [("aaaa", False), ("aaab", True)] * 3
+    want = [{}, {}]
+    for text, blocked in urls:
+        data = b"\x02" * 4 + text.encode() + b"\x03"
+        for i in range(4, len(data)):
+            for order in range(5):
+                key = (order, data[i - order : i + 1])
+                want[blocked][key] = want[blocked].get(key, 0) + 1
+    model = url_filter.train(spark.createDataFrame(urls, "shown string, blocked boolean").repartition(3))
+    got = [{}, {}]
+    for r in model.collect():
+        for side, n in enumerate((r.allow, r.block)):
+            if n:
+                got[side][(r.order, r.joint.to_bytes(r.order + 1, "big"))] = n
+    assert got == want
+    assert len({k for side in want for k in side}) > 1 << 19
+
+    def log_ratio(text):
+        data = b"\x02" * 4 + text.encode() + b"\x03"
+        total = 0.0
+        for i in range(4, len(data)):
+            for side, sign in ((0, -1), (1, 1)):
+                chance = 1 / 256
+                for order in range(5):
+                    context = data[i - order : i]
+                    seen = sum(want[side].get((order, context + bytes([c])), 0) for c in range(256))
+                    chance = (want[side].get((order, data[i - order : i + 1]), 0) + 2 * chance) / (seen + 2)
+                total += sign * np.log(chance)
+        return total / (len(data) - 4)
+
+    asked = ["aaab", "aaaa", "zz/ü", urls[0][0], "", None, "aaab"]
+    scored = url_filter.score(spark.createDataFrame(list(enumerate(asked)), "page_id long, shown string"), model).collect()
+    assert sorted(r.page_id for r in scored) == list(range(7))
+    for r in scored:
+        assert abs(r.score - (log_ratio(asked[r.page_id]) if asked[r.page_id] else 0.0)) < 1e-9

@@ -2,30 +2,31 @@
 
 URLs that a rule judges are the labelled ones: those allowed train the accepting model, those blocked the rejecting one.  Each is a
 Markov model of variable order: the probability of a byte after its last few bytes, smoothed by that after one byte fewer, down to a
-uniform one.  Counts of all labelled URLs are kept in tables of a fixed number of slots.  A URL is blocked if the difference of its
+uniform one.  Counts are exact, one row of a Spark table for each context and byte that labelled URLs have, so the model grows with them.  A URL is blocked if the difference of its
 log-likelihoods, divided by its length, is above a threshold that is set on labelled URLs left out of the training.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import arrays as A
+from .store import store
 
 ORDER = 4
-SLOT_BITS = 19
-SLICES = 32
+#: Most URLs that are scored at a time.
+BLOCK = 4096
 #: Weight of the shorter context, in observations.
 SMOOTH = 2.0
 HELD_OUT = 5
 BINS, SPAN = 1024, 4.0
-_KINDS = 2  # contexts, contexts with the byte after them
-_ODD = A.U64(0x9E3779B97F4A7C15)
+_CLASSES = ("allow", "block")
 
 
 def split_url(url: Column) -> tuple[Column, Column]:
@@ -48,66 +49,97 @@ def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -> Col
     return F.coalesce(*fits)
 
 
-def _slots(text: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Slots of the contexts of length 0 to ORDER before each byte of a text, and of them with the byte: [order, place]."""
-    codes = np.frombuffer(b"\x02" * ORDER + text + b"\x03", dtype=np.uint8).astype(A.U64)
-    n = len(text) + 1
-    context = np.zeros(n, dtype=A.U64)
-    contexts, joint = [], []
-    for order in range(ORDER + 1):
-        if order:
-            context = context * _ODD + codes[ORDER - order : ORDER - order + n] + A.U64(1)
-        salted = A.mix(context + A.U64(order * 0x632BE59BD9B4E019 % 2**64))
-        contexts.append(salted)
-        joint.append(A.mix(salted * _ODD + codes[ORDER:] + A.U64(1)))
-    shift = A.U64(64 - SLOT_BITS)
-    return np.stack(contexts) >> shift, np.stack(joint) >> shift
-
-
-def _counts_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of a partition's labelled URLs, in slices; class 0 is allowed, 1 blocked."""
-    total = np.zeros((2, _KINDS, 1 << SLOT_BITS), dtype=np.uint32)
+def _grams(text: bytes) -> np.ndarray:
+    """The ORDER bytes before each byte of a text and the byte, as one number, the last byte lowest; an end mark is a byte, too."""
+    codes = np.frombuffer(b"\x02" * ORDER + text + b"\x03", dtype=np.uint8).astype(np.int64)
+    out = np.zeros(len(text) + 1, dtype=np.int64)
+    for i in range(ORDER + 1):
+        out = out << 8 | codes[i : i + len(out)]
+    return out
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Grams of a batch of labelled URLs with their numbers, of allowed and of blocked ones."""
+    for batch in batches:
+        if batch.num_rows:
+            found = [_grams(A.as_bytes(t)) for t in batch.column("shown").to_pylist()]
+            blocked = np.repeat(np.array(batch.column("blocked").to_pylist(), dtype=bool), [len(f) for f in found])
+            grams, at = np.unique(np.concatenate(found), return_inverse=True)
+            sums = [np.bincount(at[mask], minlength=len(grams)).astype(np.int64) for mask in (~blocked, blocked)]
+            yield pa.RecordBatch.from_arrays([pa.array(grams), *map(pa.array, sums)], names=["gram", *_CLASSES])
+
+
+def _levels() -> Column:
+    """For each context length, the gram cut to it: order, joint and context (joint without the last byte)."""
+    cut = [F.col("gram").bitwiseAND(F.lit((1 << 8 * (k + 1)) - 1)) for k in range(ORDER + 1)]
+    return F.explode(F.array(*[F.struct(F.lit(k).alias("order"), c.alias("joint"), F.shiftright(c, 8).alias("context")) for k, c in enumerate(cut)]))
+
+
+def train(labelled: DataFrame) -> DataFrame:
+    """The model: for each context length and gram cut to it, the exact counts in allowed and blocked URLs (shown, blocked)."""
+    grams = labelled.mapInArrow(_counted, "gram long, allow long, block long").groupBy("gram").agg(*[F.sum(c).alias(c) for c in _CLASSES])
+    cut = grams.select(_levels().alias("at"), *_CLASSES).groupBy("at.order", "at.joint", "at.context")
+    return cut.agg(*[F.sum(c).alias(c) for c in _CLASSES])
+
+
+def ratios(grams: DataFrame, model: DataFrame) -> DataFrame:
+    """gram and its ratio: the log-probability of its last byte after the others under the rejecting model less that under the accepting one."""
+    totals = model.groupBy("order", "context").agg(*[F.sum(c).alias(f"{c}_seen") for c in _CLASSES])
+    parts = grams.select("gram", _levels().alias("at")).select("gram", "at.*")
+    found = parts.join(model.drop("context"), ["order", "joint"], "left").join(totals, ["order", "context"], "left")
+    names = [n for c in _CLASSES for n in (c, f"{c}_seen")]
+    wide = found.groupBy("gram").agg(*[F.coalesce(F.max(F.when(F.col("order") == k, F.col(n))), F.lit(0)).alias(f"{n}_{k}") for k in range(ORDER + 1) for n in names])
+    logs = []
+    for c in _CLASSES:
+        chance = F.lit(1.0 / 256)
+        for k in range(ORDER + 1):
+            chance = (F.col(f"{c}_{k}") + F.lit(SMOOTH) * chance) / (F.col(f"{c}_seen_{k}") + F.lit(SMOOTH))
+        logs.append(F.log(chance))
+    return wide.select("gram", (logs[1] - logs[0]).alias("ratio"))
+
+
+def _blocked_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with the block they are scored in: a batch of a partition."""
+    part = TaskContext.get().partitionId()  # type: ignore[union-attr]
+    at = 0
+    for whole in batches:
+        for batch in A.slices(whole, BLOCK):
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(batch.num_rows, part << 32 | at))], names=[*batch.schema.names, "block"])
+            at += 1
+
+
+def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct grams of each block's URLs among those of a batch."""
     for batch in batches:
-        for text, blocked in zip(batch.column("shown").to_pylist(), batch.column("blocked").to_pylist(), strict=True):
-            for kind, slots in enumerate(_slots(A.as_bytes(text))):
-                np.add.at(total[int(blocked), kind], slots.ravel().astype(np.int64), 1)
-    flat = total.reshape(SLICES, -1)
-    for i in range(SLICES):
-        at = np.flatnonzero(flat[i]).astype(np.uint32)
-        if len(at):
-            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([at.tobytes()], pa.binary()), pa.array([flat[i][at].tobytes()], pa.binary())], names=["slice", "at", "counts"])
-
-
-def _summed(table: pa.Table) -> pa.Table:
-    total = np.zeros(2 * _KINDS * (1 << SLOT_BITS) // SLICES, dtype=np.uint32)
-    for at, counts in zip(table.column("at").to_pylist(), table.column("counts").to_pylist(), strict=True):
-        total[np.frombuffer(at, dtype=np.uint32)] += np.frombuffer(counts, dtype=np.uint32)
-    return pa.table({"slice": table.column("slice").slice(0, 1), "counts": pa.array([total.tobytes()], pa.binary())})
-
-
-def log_ratio(text: str | None, counts: np.ndarray) -> float:
-    """Log-likelihood under the rejecting model less that under the accepting one, for each byte; 0 for an empty text."""
-    data = A.as_bytes(text)
-    if not data:
-        return 0.0
-    contexts, joint = (x.astype(np.int64) for x in _slots(data))
-    total = []
-    for model in counts:
-        chance = np.full(joint.shape[1], 1.0 / 256)
-        for order in range(ORDER + 1):
-            seen, both = model[0][contexts[order]].astype(np.float64), model[1][joint[order]].astype(np.float64)
-            chance = (np.minimum(both, seen) + SMOOTH * chance) / (seen + SMOOTH)
-        total.append(float(np.log(chance).sum()))
-    return (total[1] - total[0]) / joint.shape[1]
-
-
-def _scores(counts: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            got = [log_ratio(t, counts) for t in batch.column("shown").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got, pa.float64())], names=[*batch.schema.names, "score"])
-
-    return run
+        of: dict[int, list[np.ndarray]] = {}
+        for block, text in zip(batch.column("block").to_pylist(), batch.column("shown").to_pylist(), strict=True):
+            if text:
+                of.setdefault(block, []).append(_grams(A.as_bytes(text)))
+        for block, found in of.items():
+            grams = np.unique(np.concatenate(found))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(grams), block)), pa.array(grams)], names=["block", "gram"])
+
+
+def _summed(rows: pa.Table, known: pa.Table) -> pa.Table:
+    """The score of each URL of a block: the mean of its grams' ratios; 0 for an empty text."""
+    grams, ratio = known.column("gram").to_numpy(), known.column("ratio").to_numpy()
+    order = np.argsort(grams)
+    grams, ratio = grams[order], ratio[order]
+    scores = [float(ratio[np.searchsorted(grams, _grams(A.as_bytes(t)))].mean()) if t else 0.0 for t in rows.column("shown").to_pylist()]
+    return rows.drop_columns(["block"]).append_column("score", pa.array(scores, pa.float64()))
+
+
+def score(rows: DataFrame, model: DataFrame) -> DataFrame:
+    """All columns of rows and the score of each row's shown.
+
+    Rows are scored in blocks of bounded size.  A block sends its distinct grams, whose ratios come from a join with the model; no
+    table is held whole anywhere.
+    """
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+    blocks = store(rows.mapInArrow(_blocked_out, f"{fields}, block long"))
+    pairs = store(blocks.select("block", "shown").mapInArrow(_distinct, "block long, gram long").distinct())
+    known = pairs.join(ratios(pairs.select("gram").distinct(), model), "gram").select("block", "gram", "ratio")
+    return blocks.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(_summed, f"{fields}, score double")
 
 
 def _threshold(scored: DataFrame) -> float:
@@ -136,18 +168,13 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str]]) -> DataFrame:
     rows = rows.select("page_id", "host", "path", F.col("found.rule").alias("rule"), F.col("found.verdict").alias("verdict"), F.concat("host", "path").alias("shown"))
     labelled = rows.filter(F.col("rule").isNotNull()).select("shown", (F.col("verdict") == "block").alias("blocked"))
     held_out = F.pmod(F.xxhash64("shown"), F.lit(HELD_OUT)) == 0
-    counts = np.zeros((SLICES, 2 * _KINDS * (1 << SLOT_BITS) // SLICES), dtype=np.uint32)
-    # The tables have a fixed size: 8 MB
-    trained = labelled.filter(~held_out).mapInArrow(_counts_out, "slice int, at binary, counts binary").groupBy("slice").applyInArrow(_summed, "slice int, counts binary")
-    for row in trained.collect():
-        counts[row["slice"]] = np.frombuffer(row["counts"], dtype=np.uint32)
-    counts = counts.reshape(2, _KINDS, 1 << SLOT_BITS)
-    fields = "page_id {}, host string, path string, rule string, verdict string, shown string, score double".format(pages.schema["page_id"].dataType.simpleString())
-    scored = rows.mapInArrow(_scores(counts), fields)
-    if not counts[0].any() or not counts[1].any():
+    model = store(train(labelled.filter(~held_out)))
+    scored = store(score(rows, model))
+    seen = model.filter(F.col("order") == 0).agg(*[F.sum(c) for c in _CLASSES]).first()
+    if not all(seen):
         cut = float("inf")
     else:
-        cut = _threshold(labelled.filter(held_out).mapInArrow(_scores(counts), "shown string, blocked boolean, score double"))
+        cut = _threshold(scored.filter(F.col("rule").isNotNull() & held_out).select((F.col("verdict") == "block").alias("blocked"), "score"))
     blocked = (F.col("shown") != "") & (F.col("score") > cut)
     verdict = F.coalesce("verdict", F.when(blocked, "block").otherwise("allow"))
     return scored.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "score")
