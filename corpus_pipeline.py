@@ -10,9 +10,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tidewater.llm import jaccard_join, mixing, packing, quality, secret_scan
+from tidewater.llm.store import store
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -23,10 +23,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents that of least doc_id, and of rows that repeat it one."""
-    kept = jaccard_join.classes(docs, percent=80, n=5).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("_key")
-    return docs.select(*COLUMNS, key).join(kept.select(key).distinct(), "_key", "left_semi").dropDuplicates(["_key"]).select(*COLUMNS)
+    """Of each group of linked documents that of least doc_id, and every text that is linked with none, whatever its doc_id."""
+    return jaccard_join.one_of_each(docs.select(*COLUMNS), percent=80, n=5)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,8 +54,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of sf_dir."""
+    """All stages over the documents of sf_dir; each is written and read back, so the next ones see one result."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+        docs = store(stage(spark, docs, sf_dir))
     return docs

@@ -76,9 +76,9 @@ def _sets_out(sets: Sets) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
                     slots = (shingles >> A.U64(64 - SKETCH_BITS)).astype(np.int64)
                     counts[slots] += counts[slots] < 65535
             none = [None] * len(nodes)
-            yield pa.RecordBatch.from_arrays([batch.column("k"), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(none, pa.int32()), pa.array(none, pa.binary())], names=["k", "node", "size", "slice", "counts"])
+            yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("h"), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(none, pa.int32()), pa.array(none, pa.binary())], names=["k", "h", "node", "size", "slice", "counts"])
         for i, part in enumerate(np.split(counts, SLICES) if counts.any() else []):
-            yield pa.RecordBatch.from_arrays([*[pa.array([None], pa.int64())] * 3, pa.array([i], pa.int32()), pa.array([part.tobytes()], pa.binary())], names=["k", "node", "size", "slice", "counts"])
+            yield pa.RecordBatch.from_arrays([*[pa.array([None], pa.int64())] * 4, pa.array([i], pa.int32()), pa.array([part.tobytes()], pa.binary())], names=["k", "h", "node", "size", "slice", "counts"])
 
     return run
 
@@ -359,11 +359,16 @@ def _alike(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
     return run
 
 
+def _texts(docs: DataFrame) -> DataFrame:
+    """Texts with their key, as for ``keyed``, but with 64 bits of hash: very many different texts may have no id."""
+    return keyed(docs).withColumn("h", F.xxhash64("text"))
+
+
 def links(docs: DataFrame, percent: int = 80, n: int = 5, sets: Sets | None = None, many: int = MANY, bytes_per_shard: int = 2 << 20) -> tuple[DataFrame, DataFrame]:
-    """(k, node, size) of every row of docs, and verified links (a, b) between nodes whose components are those of all links."""
-    docs, make = keyed(docs), sets or partial(shingle_set, n=n)
-    found = store(docs.mapInArrow(_sets_out(make), "k long, node long, size long, slice int, counts binary"))
-    nodes = found.filter(F.col("slice").isNull()).select("k", "node", "size")
+    """(k, h, node, size) of every row of docs, and verified links (a, b) between nodes whose components are those of all links."""
+    docs, make = _texts(docs), sets or partial(shingle_set, n=n)
+    found = store(docs.mapInArrow(_sets_out(make), "k long, h long, node long, size long, slice int, counts binary"))
+    nodes = found.filter(F.col("slice").isNull()).select("k", "h", "node", "size")
     levels = np.zeros((SLICES, (1 << SKETCH_BITS) // SLICES), dtype=np.uint8)
     # The sketch has a fixed size: 8 MB
     for row in found.filter(F.col("slice").isNotNull()).select("slice", "counts").groupBy("slice").applyInArrow(_levels, "slice int, levels binary").collect():
@@ -390,8 +395,8 @@ def links(docs: DataFrame, percent: int = 80, n: int = 5, sets: Sets | None = No
 
     # The sets of all nodes that may still be compared
     wanted = chosen.select(F.col("a").alias("node")).unionByName(chosen.select(F.col("b").alias("node"))).unionByName(crowded.select("node")).distinct()
-    owners = nodes.groupBy("node").agg(F.min("k").alias("k")).join(wanted, "node", "left_semi").select("k")
-    kept = store(docs.join(owners, "k", "left_semi").mapInArrow(_blobs(make), "node long, shingles binary").dropDuplicates(["node"]))
+    owners = nodes.groupBy("node").agg(F.min(F.struct("k", "h")).alias("of")).join(wanted, "node", "left_semi").select("of.*")
+    kept = store(docs.join(owners, ["k", "h"], "left_semi").mapInArrow(_blobs(make), "node long, shingles binary").dropDuplicates(["node"]))
 
     def verified(pairs: DataFrame) -> DataFrame:
         left = kept.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
@@ -429,3 +434,20 @@ def classes(docs: DataFrame, percent: int = 80, n: int = 5, sets: Sets | None =
         F.when(F.col("k") != null, F.col("k")).alias("doc_id"), F.col("size").alias("n_shingles"),
         F.when(F.coalesce("component_id", "k") != null, F.coalesce("component_id", "k")).alias("component_id"),
     )
+
+
+def one_of_each(docs: DataFrame, percent: int = 80, n: int = 5) -> DataFrame:
+    """Of each component that links form, the row of least doc_id; and every text that is linked with nothing.
+
+    Rows are one only if they are equal in doc_id and text, or linked.  Of equal rows the least of their other columns stays, and of linked texts
+    of one doc_id that of least hash, so the choice is the same in every run.
+    """
+    nodes, edges = links(docs, percent, n)
+    some = nodes.filter(F.col("size") > 0).join(components(edges), "node", "left")
+    first = some.groupBy(F.coalesce("root", "node")).agg(F.min(F.struct("k", "h")).alias("of")).select(F.col("of.k").alias("_k"), F.col("of.h").alias("_h"))
+    alone = nodes.filter(F.col("size") == 0).select(F.col("k").alias("_k"), F.col("h").alias("_h"))
+    k, text = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select("*", k.alias("_k"), F.xxhash64(text).alias("_h")).join(first.unionByName(alone).distinct(), ["_k", "_h"], "left_semi")
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    equal = Window.partitionBy("_k", "_h", "text").orderBy(*others)
+    return rows.withColumn("_at", F.row_number().over(equal)).filter("_at = 1").select(*docs.columns)
