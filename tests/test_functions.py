@@ -118,3 +118,24 @@ def test_conflicts_leave_one_pole_and_settle_once(spark):
     assert set(a["t"]) == {"직원친절", "청결"}
     assert a["t"]["직원친절"]["negative"] == [] and a["t"]["청결"]["positive"] == []
     assert b["t"]["청결"]["positive"] == []  # two negative words outweigh a concession
+
+
+def test_markdown_strip_takes_every_document(spark, tmp_path):
+    import re
+
+    from tidewater.plans import catalogue
+
+    passes = (
+        (r"(?m)^#{1,6}\s+", ""), (r"\*\*([^*]+)\*\*", r"\1"), (r"\*([^*]+)\*", r"\1"), (r"`([^`]+)`", r"\1"),
+        (r"\[([^\]]+)\]\([^)]+\)", r"\1"), (r"(?m)^[-*+]\s+", ""), (r"(?m)^>\s?", ""), (r"(?m)^-{3,}$", ""),
+    )
+    rows = [None, "", "plain", "# Head\ntext", "- a\n- b", "> quoted\n> more", "one\n---\ntwo", "see [this](http://x.y/z) and **b** `c` *d*", "### A\n\n* x\n+ y\n>z\n----"]
+    spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+
+    def plain(t):
+        for pattern, new in passes:
+            t = re.sub(pattern, new, t)
+        return t.strip(" ")
+
+    got = {r.doc_id: r.plain for r in catalogue.markdown_strip(spark, str(tmp_path)).collect()}
+    assert got == {i: None if t is None else plain(t) for i, t in enumerate(rows)}

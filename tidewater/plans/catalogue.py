@@ -426,8 +426,8 @@ def sentence_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(r"SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(text, '\*\*([^*]+)\*\*', '\1', 'g'), '\*([^*]+)\*', '\1', 'g'), '`([^`]+)`', '\1', 'g'), ' ') AS plain FROM documents WHERE NOT regexp_matches(text, '(?m)^(#{1,6}\s|[-*+]\s|>|-{3,}$)') AND text NOT LIKE '%](%'")
 def markdown_strip(spark: SparkSession, folder: str) -> DataFrame:
-    """Emphasis and code marks of texts without headings, lists, quotes and links."""
-    docs = table(spark, folder, "documents").filter(~F.col("text").rlike(r"(?m)^(#{1,6}\s|[-*+]\s|>|-{3,}$)") & ~F.contains("text", F.lit("](")))
+    """Every document without its Markdown marks; the SQL covers only texts without headings, lists, quotes, rules and links."""
+    docs = table(spark, folder, "documents")
     return docs.select("doc_id", text.strip_markdown(F.col("text")).alias("plain"))
 
 
