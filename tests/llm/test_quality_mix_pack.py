@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -59,6 +60,16 @@ def test_longest_repeats_against_brute_force():
         assert np.array_equal(arrays.covered(a, b, n), mask)
 
 
+def test_very_repetitive_text_in_bounded_memory():
+    phrase = np.random.Generator(np.random.PCG64(6)).integers(1, 2**62, 500).astype(np.uint64)
+    tracemalloc.start()
+    size = quality.longest_repeats(np.tile(phrase, 400))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert size[:3].tolist() == [200_000 - 500, 200_000 - 501, 200_000 - 502]
+    assert peak < 200_000 * 8 * 20  # arrays of the text's length, whatever it repeats
+
+
 def test_quality_verdicts():
     rng = random.Random(3)
     unique = lambda n: " ".join(f"w{rng.random()}" for _ in range(n))
@@ -155,6 +166,18 @@ def test_packing_round_trip(spark):
     assert packing.pack(table(spark, rows).limit(0), PATH).count() == 0
 
 
+def test_tokenizers_that_depend_on_white_space_encode_whole_texts(spark):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    rows = ["a b  c\nd", None, "İ. İ, ..? x\u0301 \u0301y. E\u0301! 한국. don't.", "Σς. ΑΣ! " * 3, prose(random.Random(2), 50)]
+    for file in (path, PATH):
+        plain = Tokenizer.from_file(file)
+        got = {r.doc_id: r for r in packing.pack(table(spark, rows), file).collect()}
+        for i, text in enumerate(rows):
+            ids = np.array([*plain.encode(text or "", add_special_tokens=False).ids, 0], dtype="<u4")
+            assert (got[7 * i].length, got[7 * i].ids_crc32) == (len(ids), zlib.crc32(ids))
+    assert [packing.Encoder(f).by_word for f in (path, PATH)] == [False, True]
+
+
 def test_sum_of_squares_choice():
     rng = np.random.Generator(np.random.PCG64(4))
     sizes = rng.integers(1, 64, 300)

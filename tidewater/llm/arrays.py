@@ -99,6 +99,30 @@ def gram_hashes(units: np.ndarray, n: int) -> np.ndarray:
     return mix((total[n:] - total[:-n]) * inverse[: len(units) - n + 1] + U64(n))
 
 
+def span_hashes(units: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of each run of units from first to before end."""
+    power, inverse = _tables(len(units) + 1)
+    total = np.zeros(len(units) + 1, dtype=U64)
+    np.cumsum(units * power[: len(units)], out=total[1:])
+    return mix((total[end] - total[first]) * inverse[first] + (end - first).astype(U64))
+
+
+def shared_prefix(units: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Length of the longest common prefix of the runs of units that start at a and at b, by hashes of halving lengths."""
+    n = len(units)
+    power, inverse = _tables(n + 1)
+    total = np.zeros(n + 1, dtype=U64)
+    np.cumsum(units * power[:n], out=total[1:])
+    out = np.zeros(len(a), dtype=np.int64)
+    most = n - np.maximum(a, b)
+    for level in range(int(most.max(initial=0)).bit_length() - 1, -1, -1):
+        step = 1 << level
+        at = np.flatnonzero(out + step <= most)
+        x, y = a[at] + out[at], b[at] + out[at]
+        out[at] += step * ((total[x + step] - total[x]) * inverse[x] == (total[y + step] - total[y]) * inverse[y])
+    return out
+
+
 def sliding_min(keys: np.ndarray, w: int) -> np.ndarray:
     """Minimum of each window of w keys, in linear time."""
     n = len(keys)
@@ -157,3 +181,8 @@ def by_key(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     got = keys[order]
     first = np.flatnonzero(np.concatenate([[True], got[1:] != got[:-1]])) if len(got) else np.zeros(0, np.int64)
     return order, first, np.diff(np.concatenate([first, [len(got)]]))
+
+
+def ramp(counts: np.ndarray) -> np.ndarray:
+    """0, 1 ... for each count."""
+    return np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)

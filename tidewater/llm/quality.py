@@ -19,7 +19,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import arrays as A
-from .suffix_dedup import common_prefix, suffix_order
 
 _SYMBOL = np.zeros(256, dtype=bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
@@ -45,14 +44,31 @@ _COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"
 _SCHEMA = ", ".join(f"{c} long" for c in _COUNTS) + ", base_failed boolean, kept boolean"
 
 
+def suffix_array(symbols: np.ndarray) -> np.ndarray:
+    """Suffix array by prefix doubling.  One level of ranks is held, so memory is in proportion to the text however repetitive it is."""
+    n = len(symbols)
+    rank = np.unique(symbols, return_inverse=True)[1].astype(np.int64)
+    order, width = np.argsort(rank), 1
+    while width < n and rank.max() < n - 1:
+        rank *= n + 1
+        rank[: n - width] += rank[width:] // (n + 1) + 1
+        order = np.argsort(rank)
+        new = np.zeros(n, dtype=np.int64)
+        got = rank[order]
+        new[1:] = got[1:] != got[:-1]
+        rank[order] = np.cumsum(new)
+        width *= 2
+    return order
+
+
 def longest_repeats(hashes: np.ndarray) -> np.ndarray:
     """For each word, how many words of the longest repeat that starts there; the other occurrence may overlap it."""
     n = len(hashes)
     out = np.zeros(n, dtype=np.int64)
     if n < 2:
         return out
-    order, ranks = suffix_order(hashes, n)
-    shared = common_prefix(ranks, order[:-1], order[1:])
+    order = suffix_array(hashes)
+    shared = A.shared_prefix(hashes, order[:-1], order[1:])
     out[order[:-1]] = shared
     out[order[1:]] = np.maximum(out[order[1:]], shared)
     return out
