@@ -6,8 +6,8 @@ for each whole number that its sum crosses.  As neighbours in the order are of l
 document of the target.
 
 The running sum needs no window over a whole source: documents fall into cells by source, size level and a hash, cells are counted,
-the counts are summed in order, and only ranks inside a cell need its rows together.  A source of a third of all rows has as many
-cells as any other.
+the counts are summed in order, and only ranks inside a cell need its rows together.  There are as many cells to each source and level
+as the table has millions of rows, so a source of a third of all rows has its rows in small cells, too.
 """
 
 from __future__ import annotations
@@ -17,7 +17,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-CELLS = 16
+#: Least cells of a source and size level, and rows for each cell of the whole table.
+CELLS, CELL_ROWS = 16, 1_000_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -27,9 +28,11 @@ def _level(size: Column) -> Column:
     return bits * 8 + F.floor(size * 16 / F.pow(F.lit(2.0), bits)).cast("long") - 8
 
 
-def _cell(doc_id: Column) -> Column:
-    spread = F.pmod(F.pmod(F.coalesce(doc_id.cast("long"), F.lit(0)), F.lit(1000003)) * 7919, F.lit(1000003))
-    return F.pmod(spread, F.lit(CELLS))
+def _cell(doc_id: Column, text: Column, cells: int) -> Column:
+    """A hash of the id, or of the text where there is none."""
+    value = F.coalesce(doc_id.cast("long"), F.conv(F.substring(F.md5(F.coalesce(text.cast("string"), F.lit(""))), 1, 8), 16, 10).cast("long"))
+    spread = F.pmod(F.pmod(value, F.lit(1000003)) * 7919, F.lit(1000003))
+    return F.pmod(spread, F.lit(cells))
 
 
 def targets(sizes: DataFrame, weights: Sequence[float], share: float = 1.5, limit: float = 2.0) -> DataFrame:
@@ -56,11 +59,11 @@ def copies(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float =
     """All columns of docs and size, source_size, target, copies and taken (words the mix takes of the row, repeats counted).
 
     Size is the number of words; a null or empty text has size 0 and takes 0 words however often it comes.  Null is a source of its
-    own.  Ties of size stand in order of doc_id; equal rows are alike.  Columns of docs that clash with the new ones are replaced.
+    own.  Ties of size stand in order of doc_id and a hash of the text; equal rows are alike.  Columns of docs that clash with the new ones are replaced.
     The offsets depend on seed and source alone, so reruns agree.
     """
     size = F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
-    new = {"size": size, "_level": _level(F.col("size")), "_cell": _cell(F.col("doc_id"))}
+    new = {"size": size, "_level": _level(F.col("size")), "_cell": _cell(F.col("doc_id"), F.col("text"), max(CELLS, -(-docs.count() // CELL_ROWS)))}
     dealt = docs.drop("size", "source_size", "target", "copies", "taken")
     for name, value in new.items():
         dealt = dealt.withColumn(name, value)
@@ -73,7 +76,7 @@ def copies(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float =
     cells = cells.select(F.col("source").alias("_s"), F.col("_level").alias("_l"), F.col("_cell").alias("_c"), "_before")
     wanted = wanted.select(F.col("source").alias("_t"), "source_size", "target")
     cells = cells.join(wanted, F.col("_s").eqNullSafe(F.col("_t"))).drop("_t")
-    inside = Window.partitionBy(*key).orderBy("size", "doc_id")
+    inside = Window.partitionBy(*key).orderBy("size", "doc_id", F.xxhash64("text"))
     ranked = dealt.withColumn("_rank", F.row_number().over(inside)).join(cells, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_level") == F.col("_l")) & (F.col("_cell") == F.col("_c")))
     offset = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce("source", F.lit("\0")))), 1, 5), 16, 10).cast("double") / 1048576.0
     expected = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
@@ -91,10 +94,11 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.
 
 ORACLE = r"""
 WITH sized AS (
-  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+    CAST('0x' || substr(md5(coalesce(text, '')), 1, 8) AS BIGINT) AS digest FROM documents
 ), leveled AS (
   SELECT *, length(bin(size)) * 8 + CAST(floor(size * 16 / pow(2.0, length(bin(size)))) AS BIGINT) - 8 AS lvl,
-    (((coalesce(doc_id, 0) % 1000003 + 1000003) % 1000003) * 7919 % 1000003) % 16 AS cell FROM sized
+    (((coalesce(doc_id, digest) % 1000003 + 1000003) % 1000003) * 7919 % 1000003) % (SELECT greatest(16, (count(*) + 999999) // 1000000) FROM documents) AS cell FROM sized
 ), sources AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM leveled GROUP BY source),
 ranked AS (
   SELECT *, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 3.0 WHEN 1 THEN 1.0 ELSE 2.0 END::DOUBLE AS weight, 2.0::DOUBLE * source_size AS bound FROM sources
