@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import re
+import time
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tidewater.llm import arrays, repeats, substring_dedup, suffix_dedup
@@ -73,9 +75,64 @@ def test_automaton_shards_are_streamed_through_each(monkeypatch, spark):
     monkeypatch.setattr(substring_dedup, "AUTOMATON_WORDS", 40)
     words = [b"a b c d e f g h", b"c d e f g h i j", b"x c d e f g y"]
     got = substring_dedup._kernel(4)(np.zeros(3, np.int64), words, np.array([1, 2, 3]), np.ones(3, np.int64))
-    assert got[0] is None
-    assert got[1][:, 0].tolist() == [0, 1, 2]
-    assert got[2][:, 0].tolist() == [1, 2]
+    assert [g.tolist() for g in got] == [[1] * 5, [1, 1, 1, 2, 2], [3, 1, 1, 3]]
+
+
+def test_known_reference_is_broadcast(monkeypatch, spark):
+    monkeypatch.setattr(substring_dedup, "AUTOMATON_WORDS", 60)
+    rows, known = texts(), [t for t in texts()[60:90]]
+    windows = {tuple(w[a : a + 13]) for t in known for w in [SPACE.findall((t or "").encode())] for a in range(len(w) - 12)}
+    got = {r.doc_id: r for r in substring_dedup.remove_known(table(spark, rows), table(spark, known)).collect()}
+    for i, text in enumerate(rows):
+        words = SPACE.findall((text or "").encode())
+        gone = {b for a in range(len(words) - 12) if tuple(words[a : a + 13]) in windows for b in range(a, a + 13)}
+        assert (got[7 * i].n_removed, got[7 * i].kept) == (len(gone), b" ".join(w for b, w in enumerate(words) if b not in gone).decode())
+    with pytest.raises(ValueError, match="bytes"):
+        substring_dedup.remove_known(table(spark, rows), table(spark, known), most_bytes=10)
+
+
+def test_nothing_but_the_kernel_removes(spark):
+    """With kernels that know nothing, no word and no byte goes."""
+    docs = table(spark, texts())
+    nobody = lambda n, value: lambda anchors, contents, ids, times: [np.full(len(c) + 1, value) for c in contents]  # noqa: ARG005, E731
+    for rule, value in ((repeats.Rule(words=True, n=13, m=5, earlier=True), substring_dedup.NOBODY), (repeats.Rule(words=False, n=60, m=20, earlier=False), 1)):
+        assert repeats.repeated_windows(docs, rule, nobody(rule.n, value)).filter("spans is not null").count() == 0
+
+
+def test_split_anchors(monkeypatch, spark):
+    """A passage that many texts have between words of their own: its anchors are split, and nothing changes."""
+    monkeypatch.setattr(repeats, "HOT", 3)
+    rows = [(i, f"own{i} w{i} {' '.join(f'p{x}' for x in range(40))} tail{i} v{i % 3} z z z z z z z z z z z z") for i in range(40)] + list(zip([7 * i % 1009 + 50 for i in range(500)], texts(), strict=False))
+    docs = table(spark, [t for _, t in rows], [i for i, _ in rows])
+    same(substring_dedup.remove_repeats(docs).collect(), words_left(rows, 13))
+    got = suffix_dedup.remove_long_repeats(docs, n=60, m=20).collect()
+    same([(r[0], r[1], r[2], r[3], bytes(r[4])) for r in got], bytes_left(rows, 60))
+
+
+def test_many_shards_and_texts_without_ids(spark):
+    """Work follows the shards that are there, and texts of one id, or of none, are told apart."""
+    rows = [(None, t) for t in texts()] + [(4, t) for t in texts(2)]
+    docs = table(spark, [t for _, t in rows], [i for i, _ in rows])
+    rule = repeats.Rule(words=True, n=13, m=5, earlier=True)
+    run = repeats.anchors_out(rule, 10**6, np.zeros(0, np.uint64))
+    batch = pa.RecordBatch.from_pydict({"text": [t or "" for _, t in rows], "j": list(range(len(rows)))})
+    began = time.perf_counter()
+    assert sum(b.num_rows for b in run(iter([batch]))) > 1000
+    assert time.perf_counter() - began < 10
+    same(substring_dedup.remove_repeats(docs).collect(), words_left(rows, 13))
+    got = suffix_dedup.remove_long_repeats(docs, n=60, m=20).collect()
+    same([(r[0], r[1], r[2], r[3], bytes(r[4])) for r in got], bytes_left(rows, 60))
+
+
+def test_very_long_text(spark):
+    """Over a million code points, so that chunks of hashes are joined, with a passage of a short text far inside."""
+    rng = np.random.Generator(np.random.PCG64(2))
+    words = [f"w{x}" for x in rng.integers(0, 10**9, 150_000)]
+    rows = [(1, " ".join(words[70_000:70_040])), (2, " ".join(words)), (3, " ".join(words[149_000:]))]
+    got = {r.doc_id: r for r in substring_dedup.remove_repeats(table(spark, [t for _, t in rows], [1, 2, 3])).collect()}
+    assert [(got[i].n_words, got[i].n_removed) for i in (1, 2, 3)] == [(40, 0), (150_000, 40), (1000, 1000)]
+    found = {r.doc_id: r for r in suffix_dedup.remove_long_repeats(table(spark, [t for _, t in rows], [1, 2, 3])).collect()}
+    assert [(found[i].n_spans, found[i].n_removed) for i in (1, 2, 3)] == [(1, len(rows[0][1])), (2, len(rows[0][1]) + len(rows[2][1])), (1, len(rows[2][1]))]
 
 
 def test_bytes(spark):
@@ -95,25 +152,20 @@ def test_empty_table(spark, run):
     assert run(table(spark, ["a"]).limit(0)).count() == 0
 
 
-def test_large_group_is_cut_by_windows(monkeypatch):
-    rng = np.random.Generator(np.random.PCG64(3))
-    shared = bytes(rng.integers(97, 101, 40).tolist())
-    contents = [bytes(rng.integers(97, 123, 15).tolist()) + shared + bytes(rng.integers(97, 123, 15).tolist()) for _ in range(30)]
-    whole = suffix_dedup._kernel(30, 8)(np.zeros(30, np.int64), contents, np.arange(30), np.ones(30, np.int64))
-    monkeypatch.setattr(suffix_dedup, "INDEX_BYTES", 300)
-    cut = suffix_dedup._kernel(30, 8)(np.zeros(30, np.int64), contents, np.arange(30), np.ones(30, np.int64))
-    assert [w.tolist() for w in whole] == [c.tolist() for c in cut]
-
-
-def test_run_length_index_matching_statistics():
+def test_run_length_index_against_brute_force():
     rng = np.random.Generator(np.random.PCG64(5))
-    for _ in range(20):
-        text = rng.integers(0, 3, 60)
-        index = suffix_dedup.RunLengthIndex.build(np.concatenate([text + 1, [0]]), 64)
-        got = index.matching(np.arange(60))
-        for i in range(60):
-            best = max(next((k for k in range(60) if max(i, j) + k >= 60 or text[i + k] != text[j + k]), 60) for j in range(60) if j != i)
-            assert got[i] == best
+    for _ in range(40):
+        contents = list({bytes(rng.integers(97, 100, rng.integers(1, 40)).tolist()) for _ in range(rng.integers(1, 6))})
+        times = rng.integers(1, 4, len(contents))
+        every = [c for c, t in zip(contents, times, strict=True) for _ in range(t)]
+        count = lambda p: sum(c[i : i + len(p)] == p for c in every for i in range(len(c) - len(p) + 1))  # noqa: B023, E731
+        index = suffix_dedup.RunLengthIndex.build(contents, times)
+        for length in (1, 3, 8):
+            patterns = [bytes(rng.integers(97, 101, length).tolist()) for _ in range(15)]
+            assert index.occurrences(patterns).tolist() == [count(p) for p in patterns]
+        for n in (2, 5, 9):
+            got = suffix_dedup._indexed(contents, times, n)
+            assert [g.tolist() for g in got] == [[min(2, count(c[a : a + n])) for a in range(len(c) - n + 1)] for c in contents]
 
 
 def test_equal_windows_have_equal_anchors():

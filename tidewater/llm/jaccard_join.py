@@ -19,6 +19,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -65,6 +66,7 @@ def _sets_out(sets: Sets) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << SKETCH_BITS, dtype=np.uint16)
         seen: set[int] = set()
+        task = TaskContext.get().partitionId()  # type: ignore[union-attr]
         for batch in (part for whole in batches for part in A.slices(whole)):
             nodes, sizes = [], []
             for text in batch.column("text").to_pylist():
@@ -76,22 +78,47 @@ def _sets_out(sets: Sets) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
                     slots = (shingles >> A.U64(64 - SKETCH_BITS)).astype(np.int64)
                     counts[slots] += counts[slots] < 65535
             none = [None] * len(nodes)
-            yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("h"), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(none, pa.int32()), pa.array(none, pa.binary())], names=["k", "h", "node", "size", "slice", "counts"])
+            yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("h"), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(none, pa.int32()), pa.array(none, pa.int32()), pa.array(none, pa.binary())], names=["k", "h", "node", "size", "slice", "part", "counts"])
         for i, part in enumerate(np.split(counts, SLICES) if counts.any() else []):
-            yield pa.RecordBatch.from_arrays([*[pa.array([None], pa.int64())] * 4, pa.array([i], pa.int32()), pa.array([part.tobytes()], pa.binary())], names=["k", "h", "node", "size", "slice", "counts"])
+            yield pa.RecordBatch.from_arrays([*[pa.array([None], pa.int64())] * 4, pa.array([i], pa.int32()), pa.array([task], pa.int32()), pa.array([part.tobytes()], pa.binary())], names=["k", "h", "node", "size", "slice", "part", "counts"])
 
     return run
 
 
-def _levels(table: pa.Table) -> pa.Table:
-    """Twice the logarithm of a slice's total counts, and their sum."""
+_TREE = 64  # sketches of a slice that are added in one task
+
+
+def _total(table: pa.Table) -> np.ndarray:
     total = np.zeros((1 << SKETCH_BITS) // SLICES, dtype=np.uint64)
     for blob in table.column("counts").to_pylist():
-        total += np.frombuffer(blob, dtype=np.uint16)
-    levels = np.floor(2 * np.log2(total.astype(np.float64) + 1)).astype(np.uint8)
+        total += np.frombuffer(blob, dtype=np.uint16 if len(blob) == 2 * len(total) else np.uint32)
+    return np.minimum(total, 2**32 - 1)
+
+
+def _added(table: pa.Table) -> pa.Table:
+    """Of a slice, the sum of some tasks' sketches."""
+    return pa.table({"slice": table.column("slice").slice(0, 1), "part": pa.array([table.column("part")[0].as_py() // _TREE], pa.int32()), "counts": pa.array([_total(table).astype(np.uint32).tobytes()], pa.binary())})
+
+
+def _levels(table: pa.Table) -> pa.Table:
+    """Twice the logarithm of a slice's total counts, and their sum."""
+    levels = np.floor(2 * np.log2(_total(table).astype(np.float64) + 1)).astype(np.uint8)
     return pa.table({"slice": table.column("slice").slice(0, 1).cast(pa.int32()), "levels": pa.array([levels.tobytes()], pa.binary())})
 
 
+def _frequencies(sketches: DataFrame) -> np.ndarray:
+    """Levels of the counts of all tasks' sketches, added as a tree: no task adds more than some dozens."""
+    most = sketches.agg(F.max("part")).first()[0] or 0
+    while most >= _TREE:
+        sketches = sketches.groupBy("slice", F.floor(F.col("part") / _TREE)).applyInArrow(_added, "slice int, part int, counts binary")
+        most //= _TREE
+    levels = np.zeros((SLICES, (1 << SKETCH_BITS) // SLICES), dtype=np.uint8)
+    # The sketch has a fixed size: 8 MB
+    for row in sketches.groupBy("slice").applyInArrow(_levels, "slice int, levels binary").collect():
+        levels[row["slice"]] = np.frombuffer(row["levels"], dtype=np.uint8)
+    return levels.ravel()
+
+
 def prefix(shingles: np.ndarray, levels: np.ndarray, noise: float, percent: int) -> tuple[np.ndarray, int]:
     """The published prefix of a set in the global order, and its l."""
     size = len(shingles)
@@ -113,15 +140,11 @@ def _postings_out(sets: Sets, percent: int, levels: np.ndarray, noise: float, sh
         node = np.repeat(np.fromiter(held, np.int64), times)
         size = np.repeat(np.array([x[1] for x in held.values()], dtype=np.uint32), times)
         least = np.repeat(np.array([x[2] for x in held.values()], dtype=np.uint8), times)
-        shard = (tokens % A.U64(shards)).astype(np.int64)
-        order = np.argsort(shard, kind="stable")
+        order, first, count = A.by_key((tokens % A.U64(shards)).astype(np.int64))
         tokens, node, size, least, place = tokens[order], node[order], size[order], least[order], place[order]
-        cuts = np.searchsorted(shard[order], np.arange(shards + 1))
-        some = [(s, a, b) for s, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if a < b]
-        # Six bytes of a shingle tell enough: what collides is a candidate that fails
-        short = tokens.view(np.uint8).reshape(-1, 8)[:, 2:]
+        cuts = list(zip(first.tolist(), (first + count).tolist(), strict=True))  # of the shards that are there
         return pa.RecordBatch.from_arrays(
-            [pa.array([s for s, _, _ in some], pa.int32()), pa.array([short[a:b].tobytes() for _, a, b in some], pa.binary()), *[pa.array([x[a:b].tobytes() for _, a, b in some], pa.binary()) for x in (node, size, least, place)]],
+            [pa.array((tokens[first] % A.U64(shards)).astype(np.int32)), *[pa.array([x[a:b].tobytes() for a, b in cuts], pa.binary()) for x in (tokens, node, size, least, place)]],
             names=["shard", "tokens", "nodes", "sizes", "least", "places"],
         )
 
@@ -152,10 +175,7 @@ _PACKED = (("nodes", np.int64), ("sizes", np.uint32), ("least", np.uint8), ("pla
 
 def _groups(table: pa.Table) -> pa.Table:
     """Of one shard, the postings of the shingles that several nodes have, in order of shingle, size and node."""
-    tokens = np.concatenate([np.frombuffer(x, dtype=np.uint8).reshape(-1, 6) for x in table.column("tokens").to_pylist()])
-    wide = np.zeros((len(tokens), 8), dtype=np.uint8)
-    wide[:, 2:] = tokens
-    key = wide.view(np.uint64).ravel()
+    key = np.concatenate([np.frombuffer(x, dtype=np.uint64) for x in table.column("tokens").to_pylist()])
     node, size, least, place = (np.concatenate([np.frombuffer(x, dtype=kind) for x in table.column(c).to_pylist()]) for c, kind in _PACKED)
     order = np.lexsort((node, size, key))
     key, node, size, least, place = key[order], node[order], size[order], least[order], place[order]
@@ -209,7 +229,7 @@ def _few_pairs(percent: int, many: int) -> Callable[[Iterator[pa.RecordBatch]],
                 left = []
                 for step in range(1, many):  # neighbours at each distance
                     ok = (count > step) & (count < many)
-                    i = np.repeat(first[ok], count[ok] - step) + _ramp(count[ok] - step)
+                    i = np.repeat(first[ok], count[ok] - step) + A.ramp(count[ok] - step)
                     left.append(np.stack([i, i + step]))
                 x, y = np.concatenate(left, axis=1)
                 keep = _close(size[x], size[y], percent) & (node[x] != node[y])
@@ -219,12 +239,6 @@ def _few_pairs(percent: int, many: int) -> Callable[[Iterator[pa.RecordBatch]],
     return run
 
 
-def _ramp(counts: np.ndarray) -> np.ndarray:
-    """0, 1 ... for each count."""
-    total = int(counts.sum())
-    return np.arange(total) - np.repeat(np.cumsum(counts) - counts, counts)
-
-
 def _stars(percent: int) -> Callable[[pa.Table], pa.Table]:
     """Of one shingle, a chain by size, and pairs with those nodes of the same and the next smaller band of sizes that have fewest shingles of their own."""
 
@@ -359,21 +373,12 @@ def _alike(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
     return run
 
 
-def _texts(docs: DataFrame) -> DataFrame:
-    """Texts with their key, as for ``keyed``, but with 64 bits of hash: very many different texts may have no id."""
-    return keyed(docs).withColumn("h", F.xxhash64("text"))
-
-
 def links(docs: DataFrame, percent: int = 80, n: int = 5, sets: Sets | None = None, many: int = MANY, bytes_per_shard: int = 2 << 20) -> tuple[DataFrame, DataFrame]:
     """(k, h, node, size) of every row of docs, and verified links (a, b) between nodes whose components are those of all links."""
-    docs, make = _texts(docs), sets or partial(shingle_set, n=n)
-    found = store(docs.mapInArrow(_sets_out(make), "k long, h long, node long, size long, slice int, counts binary"))
+    docs, make = keyed(docs), sets or partial(shingle_set, n=n)
+    found = store(docs.mapInArrow(_sets_out(make), "k long, h long, node long, size long, slice int, part int, counts binary"))
     nodes = found.filter(F.col("slice").isNull()).select("k", "h", "node", "size")
-    levels = np.zeros((SLICES, (1 << SKETCH_BITS) // SLICES), dtype=np.uint8)
-    # The sketch has a fixed size: 8 MB
-    for row in found.filter(F.col("slice").isNotNull()).select("slice", "counts").groupBy("slice").applyInArrow(_levels, "slice int, levels binary").collect():
-        levels[row["slice"]] = np.frombuffer(row["levels"], dtype=np.uint8)
-    levels = levels.ravel()
+    levels = _frequencies(found.filter(F.col("slice").isNotNull()).select("slice", "part", "counts"))
     noise = float(np.median(2.0 ** (levels / 2.0)))
     shards = shards_for(docs, bytes_per_shard)
     postings = docs.mapInArrow(_postings_out(make, percent, levels, noise, shards), _GROUPS)

@@ -5,11 +5,13 @@ lie in segments of one anchor (see ``arrays.segments``).  Three exchanges follow
 
 1. anchors meet by hash; those of one occurrence are dropped, the others go back to their texts;
 2. the segments of the remaining anchors, with their units, meet by anchor, where a kernel (a suffix automaton, or a run-length
-   index) finds the windows that occur elsewhere;
-3. the spans found meet their text, which is dealt out once, by id, for both joins.
+   index) tells of each window who else has it; nothing but the kernel decides what is repeated;
+3. the spans found meet their text, which is dealt out once, by a hash of id and text, for both joins.
 
-Before 1 and 2 each task joins equal anchors and equal segments of its own batch and sends one row for them, so a passage in a third
-of all texts sends one row for each batch, not one for each text.  No table is broadcast and nothing is collected but one sum.
+Before 1 and 2 each task joins equal anchors and equal segments of its own batch, lets the kernel decide among them, and sends one
+row for them, so a passage in a third of all texts sends one row for each batch, not one for each text.  An anchor with more than HOT such rows, as
+where a passage of very many texts meets their own words, is split: its windows are anchors themselves, so each goes where its own
+hash leads, and those that occur once are dropped before their units are sent.  Collected are one sum and the split anchors, at most MOST_HOT.
 """
 
 from __future__ import annotations
@@ -23,12 +25,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import arrays as A
+from .store import store
 
 BATCH_BYTES = 48 << 20
-_FOUND = "k long, h int, spans binary"
+#: Segments of one anchor that meet in one group; an anchor of more is split.
+HOT, MOST_HOT = 1 << 14, 1 << 20
+_FOUND = "j long, h long, spans binary"
 _LOCAL = -(2**63) + 1  # of an anchor that several texts of one batch have
-#: Kernel: (anchors, contents, ids, times) of a shard's distinct segments by anchor -> for each the windows found elsewhere.
-Kernel = Callable[[np.ndarray, list[bytes], np.ndarray, np.ndarray], list[np.ndarray | None]]
+#: Kernel: (anchors, contents, least ids, times) of distinct segments -> for each a number for every window: the least id that has it
+#: (of a rule for earlier texts), or how often it occurs, where 2 stands for more, too.
+Kernel = Callable[[np.ndarray, list[bytes], np.ndarray, np.ndarray], list[np.ndarray]]
 
 
 @dataclass(frozen=True)
@@ -49,6 +55,10 @@ class Rule:
             return A.byte_units(buf), data
         return A.word_hashes(buf, *A.word_bounds(buf)), data.split()
 
+    def repeated(self, known: np.ndarray, k: int) -> np.ndarray:
+        """Which windows are repeated for a text of id k, by the kernel's numbers."""
+        return known < k if self.earlier else known > 1
+
     def content(self, parts: list[bytes] | bytes, a: int, b: int) -> bytes:
         return b" ".join(parts[a:b]) if self.words else parts[a:b]  # type: ignore[arg-type, return-value]
 
@@ -56,7 +66,7 @@ class Rule:
 def keyed(docs: DataFrame) -> DataFrame:
     """Texts with their key: k (the id; null is the least) and h (a hash of the text, to tell different texts of one id apart)."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select("doc_id", text.alias("text")).withColumns({"k": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), "h": F.hash("text")})
+    return docs.select("doc_id", text.alias("text")).withColumns({"k": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), "h": F.xxhash64("text")})
 
 
 def shards_for(docs: DataFrame, bytes_per_shard: int) -> int:
@@ -88,109 +98,166 @@ def _flushes(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
         yield held
 
 
-def _deal(shard: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
-    order = np.argsort(shard, kind="stable")
-    cuts = np.searchsorted(shard[order], np.arange(n + 1))
-    for s in range(n):
-        if cuts[s] < cuts[s + 1]:
-            yield s, order[cuts[s] : cuts[s + 1]]
+def _cut(rule: Rule, units: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Segments of a text's units; those of split anchors are cut into their windows, each an anchor itself."""
+    grams, first, last = A.segments(units, rule.n, rule.m)
+    split = _among(hot, grams)
+    if not split.any():
+        return grams, first, last
+    windows = np.repeat(first[split], last[split] - first[split] + 1) + A.ramp(last[split] - first[split] + 1)
+    own = A.gram_hashes(units, rule.n)[windows]
+    return np.concatenate([grams[~split], own]), np.concatenate([first[~split], windows]), np.concatenate([last[~split], windows])
+
+
+def _among(known: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which keys are among the sorted known ones."""
+    return known[np.minimum(np.searchsorted(known, keys), len(known) - 1)] == keys if len(known) else np.zeros(len(keys), dtype=bool)
+
 
+_ANCHORS = "kind int, shard int, anchors binary, js binary, times binary"
 
-def anchors_out(rule: Rule, shards: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+
+def anchors_out(rule: Rule, shards: int, hot: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Anchors of each batch by shard; what the batch itself shows to be repeated goes to the texts at once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _flushes(batches):
-            got = [A.segments(rule.units(A.as_bytes(r["text"]))[0], rule.n, rule.m)[0] for r in rows]
+            got, whole = [], []
+            for r in rows:
+                units = rule.units(A.as_bytes(r["text"]))[0]
+                grams, a, b = _cut(rule, units, hot)
+                got.append(grams)
+                whole.append(A.span_hashes(units, a, b + rule.n))
             owner = np.repeat(np.arange(len(rows)), [len(x) for x in got])
-            anchors = np.concatenate([*got, np.zeros(0, A.U64)])
-            ids = np.array([r["k"] for r in rows], dtype=np.int64)
-            order, first, size = A.by_key(anchors)
-            anchors, owner = anchors[order], owner[order]
+            anchors, content = np.concatenate([*got, np.zeros(0, A.U64)]), np.concatenate([*whole, np.zeros(0, A.U64)])
+            js = np.array([r["j"] for r in rows], dtype=np.int64)
+            order = np.lexsort((content, anchors))
+            anchors, owner, content = anchors[order], owner[order], content[order]
+            _, first, size = A.by_key(anchors)
+            new = np.ones(len(anchors), dtype=np.int64)  # a row is sent for each different segment
+            new[1:] = (anchors[1:] != anchors[:-1]) | (content[1:] != content[:-1])
+            different = np.add.reduceat(new, first) if len(first) else new
             many = size > 1
             inside = np.repeat(many, size)
-            out: dict[str, list] = {"shard": [], "anchors": [], "k": []}
+            out: dict[str, list] = {c: [] for c in ("shard", "anchors", "js", "times")}
             sent, local = anchors[first], np.where(many, -1, owner[first])
-            for s, at in _deal((sent % A.U64(shards)).astype(np.int64), shards):
+            back, start, count = A.by_key((sent % A.U64(shards)).astype(np.int64))
+            for a, c in zip(start.tolist(), count.tolist(), strict=True):
+                at = back[a : a + c]
                 who = local[at]
-                out["shard"].append(s)
-                out["anchors"].append(sent[at].tobytes())
-                out["k"].append(np.where(who < 0, _LOCAL, ids[who]).tobytes())
-            yield _batch(kind=([0] * len(out["shard"]), pa.int32()), shard=(out["shard"], pa.int32()), anchors=(out["anchors"], pa.binary()), ks=(out["k"], pa.binary()))
+                for name, v in zip(out, (int(sent[at[0]] % A.U64(shards)), sent[at].tobytes(), np.where(who < 0, _LOCAL, js[who]).tobytes(), different[at].astype(np.uint32).tobytes()), strict=True):
+                    out[name].append(v)
+            yield _batch(kind=([0] * len(out["shard"]), pa.int32()), shard=(out["shard"], pa.int32()), anchors=(out["anchors"], pa.binary()), js=(out["js"], pa.binary()), times=(out["times"], pa.binary()))
             if inside.any():
                 own, grams = owner[inside], anchors[inside]
                 back, start, count = A.by_key(own)
+                whose = js[own[back][start]]
                 yield _batch(
-                    kind=([1] * len(start), pa.int32()), shard=([int(x) for x in own[back][start] % shards], pa.int32()),
-                    anchors=([grams[back[a : a + c]].tobytes() for a, c in zip(start, count, strict=True)], pa.binary()),
-                    ks=([ids[own[back[a]]].tobytes() for a in start], pa.binary()),
+                    kind=([1] * len(start), pa.int32()), shard=((whose % shards).tolist(), pa.int32()),
+                    anchors=([np.unique(grams[back[a : a + c]]).tobytes() for a, c in zip(start, count, strict=True)], pa.binary()),
+                    js=([x.tobytes() for x in whose], pa.binary()), times=([b""] * len(start), pa.binary()),
                 )
 
     return run
 
 
+_WANTED = "j long, anchors binary, total long, gram long, times long"
+
+
 def repeated_anchors(table: pa.Table) -> pa.Table:
-    """Of one shard: for each id, those of its anchors that occur more than once."""
-    anchors, ks, sure = [], [], []
-    for kind, a, k in zip(*(table.column(c).to_pylist() for c in ("kind", "anchors", "ks")), strict=True):
+    """Of one shard: for each text, those of its anchors that occur more than once; the number of all, and the anchors of very many."""
+    anchors, js, times, sure = [], [], [], []
+    for kind, a, j, t in zip(*(table.column(c).to_pylist() for c in ("kind", "anchors", "js", "times")), strict=True):
         grams = np.frombuffer(a, dtype=A.U64)
         anchors.append(grams)
-        ks.append(np.resize(np.frombuffer(k, dtype=np.int64), len(grams)))
+        js.append(np.resize(np.frombuffer(j, dtype=np.int64), len(grams)))
+        times.append(np.frombuffer(t, dtype=np.uint32) if kind == 0 else np.zeros(len(grams), np.uint32))
         sure.append(np.full(len(grams), kind == 1))
-    grams, k, direct = (np.concatenate(x) for x in (anchors, ks, sure))
+    grams, j, times, direct = (np.concatenate(x) for x in (anchors, js, times, sure))
     found = np.zeros(len(grams), dtype=bool)
     at = np.flatnonzero(~direct)
-    order, _, size = A.by_key(grams[at])
+    order, first, size = A.by_key(grams[at])
     several = np.zeros(len(at), dtype=bool)
     several[order] = np.repeat(size > 1, size)
-    found[at] = several & (k[at] != _LOCAL)
+    found[at] = several & (j[at] != _LOCAL)
+    total = np.add.reduceat(times[at][order].astype(np.int64), first) if len(first) else np.zeros(0, np.int64)
+    hot = total > HOT
+    crowded, number = grams[at][order][first][hot], total[hot]
     keep = found | direct
-    grams, k = grams[keep], k[keep]
-    order, first, size = A.by_key(k)
-    grams, k = grams[order], k[order]
-    return pa.table({"k": pa.array(k[first], pa.int64()), "anchors": pa.array([grams[a : a + n].tobytes() for a, n in zip(first, size, strict=True)], pa.binary())})
+    grams, j = grams[keep], j[keep]
+    order, first, size = A.by_key(j)
+    grams, j = grams[order], j[order]
+    none = lambda n: [None] * n
+    n, m = len(first), len(crowded)
+    columns = (
+        [*j[first].tolist(), *none(m + 1)], [*[grams[a : a + c].tobytes() for a, c in zip(first, size, strict=True)], *none(m + 1)],
+        [*none(n), int(total.sum()), *none(m)], [*none(n + 1), *crowded.view(np.int64).tolist()], [*none(n + 1), *number.tolist()],
+    )
+    return pa.table([pa.array(x, pa.binary() if i == 1 else pa.int64()) for i, x in enumerate(columns)], names=["j", "anchors", "total", "gram", "times"])
+
 
+_SENT = "shard int, anchor long, content binary, j long, h long, k long, times long, at long"
 
-def segments_out(rule: Rule, shards: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """The segments of repeated anchors: one row for equal segments of a batch; what is settled inside the batch goes on as spans."""
+
+def segments_out(rule: Rule, kernel: Kernel, shards: int, hot: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The segments of repeated anchors: one row for equal segments of a batch; what the kernel finds inside the batch goes on as spans."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _flushes(batches):
-            seen: dict[tuple[int, bytes], list[tuple[int, int, int]]] = {}
+            seen: dict[tuple[int, bytes], list[tuple[int, int]]] = {}
             for i, r in enumerate(rows):
                 wanted = np.unique(np.frombuffer(b"".join(r["anchors"]), dtype=A.U64))
                 units, parts = rule.units(A.as_bytes(r["text"]))
-                grams, first, last = A.segments(units, rule.n, rule.m)
-                near = np.minimum(np.searchsorted(wanted, grams), len(wanted) - 1)
-                for j in np.flatnonzero(wanted[near] == grams).tolist():
-                    a, b = int(first[j]), int(last[j])
-                    seen.setdefault((int(grams[j]), rule.content(parts, a, b + rule.n)), []).append((i, a, b))
-            out: dict[str, list] = {c: [] for c in ("shard", "anchor", "content", "k", "h", "times", "at")}
+                grams, first, last = _cut(rule, units, hot)
+                on = np.flatnonzero(_among(wanted, grams))
+                for gram, a, b in zip(grams[on].view(np.int64).tolist(), first[on].tolist(), last[on].tolist(), strict=True):
+                    seen.setdefault((gram, rule.content(parts, a, b + rule.n)), []).append((i, a))
+            out: dict[str, list] = {c.split()[0]: [] for c in _SENT.split(", ")}
+            ks = [r["k"] for r in rows]
+            leasts = {key: min(ks[i] for i, _ in places) for key, places in seen.items() if len(places) > 1}
+            crowd = [key for key in leasts if not rule.earlier or any(ks[i] > leasts[key] for i, _ in seen[key])]
             spans: dict[int, list[tuple[int, int]]] = {}
+            for key, runs in zip(crowd, _asked(rule, kernel, crowd, [leasts[c] for c in crowd], [len(seen[c]) for c in crowd]), strict=True):
+                for i, a in seen[key]:
+                    for x, y in runs(ks[i]):
+                        spans.setdefault(i, []).append((a + x, a + y))
             for (gram, content), places in seen.items():
-                least = min(rows[i]["k"] for i, _, _ in places)
-                send = places
-                if not rule.earlier and len(places) > 1:
-                    for i, a, b in places:
-                        spans.setdefault(i, []).append((a, b))
-                    send = places[:1]
-                elif rule.earlier:
-                    for i, a, b in places:
-                        if rows[i]["k"] > least:
-                            spans.setdefault(i, []).append((a, b))
-                    send = [p for p in places if rows[p[0]]["k"] == least]
-                for i, a, _ in send:
-                    for c, v in zip(out, (gram % shards, gram - (1 << 63), content, rows[i]["k"], rows[i]["h"], len(places), a), strict=True):
+                send = places[:1]
+                if rule.earlier and len(places) > 1:
+                    send = [p for p in places if ks[p[0]] == leasts[gram, content]]
+                for i, a in send:
+                    for c, v in zip(out, (gram % shards, gram, content, rows[i]["j"], rows[i]["h"], ks[i], len(places), a), strict=True):
                         out[c].append(v)
             for i, got in spans.items():
-                for c, v in zip(out, (rows[i]["h"] % shards, 0, merged(np.array(got, dtype=np.int64)).tobytes(), rows[i]["k"], rows[i]["h"], 0, -1), strict=True):
+                for c, v in zip(out, (rows[i]["j"] % shards, 0, merged(np.array(got, dtype=np.int64)).tobytes(), rows[i]["j"], rows[i]["h"], 0, 0, -1), strict=True):
                     out[c].append(v)
-            kinds = (pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.int64(), pa.int64())
-            yield _batch(**{c: (v, kind) for (c, v), kind in zip(out.items(), kinds, strict=True)})
+            kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+            yield _batch(**{c: (out[c], kinds[kind]) for c, kind in (x.split() for x in _SENT.split(", "))})
 
     return run
 
 
+def _asked(rule: Rule, kernel: Kernel, keys: list[tuple[int, bytes]], leasts: list[int], times: list[int]) -> Iterator[Callable[[int], list[tuple[int, int]]]]:
+    """For each segment, what gives the runs of its windows that are repeated for an id, as pairs of first and last window."""
+    if not keys:
+        return
+    got = kernel(np.array([g for g, _ in keys], dtype=np.int64), [c for _, c in keys], np.array(leasts, dtype=np.int64), np.array(times, dtype=np.int64))
+    at = np.cumsum([0, *[len(x) for x in got[:-1]]])
+    joined = np.concatenate(got)
+    # Most segments are repeated from end to end or not at all
+    for known, low, high in zip(got, np.minimum.reduceat(joined, at).tolist(), np.maximum.reduceat(joined, at).tolist(), strict=True):
+
+        def runs(k: int, known: np.ndarray = known, low: int = low, high: int = high) -> list[tuple[int, int]]:
+            if high < k if rule.earlier else low > 1:
+                return [(0, len(known) - 1)]
+            if low >= k if rule.earlier else high <= 1:
+                return []
+            first, end = A.runs(rule.repeated(known, k))
+            return list(zip(first.tolist(), (end - 1).tolist(), strict=True))
+
+        yield runs
+
+
 def merged(windows: np.ndarray) -> np.ndarray:
     """Pairs of first and last window with those that touch or overlap joined."""
     windows = windows[np.argsort(windows[:, 0], kind="stable")]
@@ -203,49 +270,49 @@ def spans_of(rule: Rule, kernel: Kernel) -> Callable[[pa.Table], pa.Table]:
     """Of one shard: the windows of each text that are repeated, as pairs of first and last window."""
 
     def run(table: pa.Table) -> pa.Table:
-        anchor, content, k, h, times, at = (table.column(c).to_pylist() for c in ("anchor", "content", "k", "h", "times", "at"))
-        found: dict[tuple[int, int], list[np.ndarray]] = {}
+        anchor, content, j, h, k, times, at = (table.column(c).to_pylist() for c in ("anchor", "content", "j", "h", "k", "times", "at"))
+        found: dict[tuple[int, int], list[tuple[int, int]]] = {}
         groups: dict[int, dict[bytes, list[int]]] = {}
         for i, a in enumerate(at):
             if a < 0:
-                found.setdefault((k[i], h[i]), []).append(np.frombuffer(content[i], dtype=np.int64).reshape(-1, 2))
+                found.setdefault((j[i], h[i]), []).extend(map(tuple, np.frombuffer(content[i], dtype=np.int64).reshape(-1, 2).tolist()))
             else:
                 groups.setdefault(anchor[i], {}).setdefault(content[i], []).append(i)
-        open_: list[tuple[int, bytes, int, int, list[int]]] = []
-        for gram, contents in groups.items():
-            for text, rows in contents.items():
-                least = min(k[i] for i in rows)
-                total = sum(times[i] for i in rows)
-                width = (text.count(b" ") + 1 if rule.words else len(text)) - rule.n
-                sure = [i for i in rows if (k[i] > least if rule.earlier else total > 1)]
-                for i in sure:
-                    found.setdefault((k[i], h[i]), []).append(np.array([[at[i], at[i] + width]]))
-                if len(contents) > 1:
-                    open_.append((gram, text, least, total, [i for i in rows if k[i] == least] if rule.earlier else [] if sure else rows))
-        if open_:
-            got = kernel(np.array([x[0] for x in open_], dtype=np.int64), [x[1] for x in open_], np.array([x[2] for x in open_], dtype=np.int64), np.array([x[3] for x in open_], dtype=np.int64))
-            for (_, _, _, _, rows), windows in zip(open_, got, strict=True):
-                if windows is not None and len(windows):
-                    for i in rows:
-                        found.setdefault((k[i], h[i]), []).append(windows + at[i])
-        keys = list(found)
-        return pa.table({"k": pa.array([x[0] for x in keys], pa.int64()), "h": pa.array([x[1] for x in keys], pa.int32()), "spans": pa.array([merged(np.concatenate(found[x]).astype(np.int64)).tobytes() for x in keys], pa.binary())})
+        keys = [(gram, text) for gram, contents in groups.items() for text, rows in contents.items() if len(contents) > 1 or len(rows) > 1]
+        rows_of = [groups[gram][text] for gram, text in keys]
+        for rows, runs in zip(rows_of, _asked(rule, kernel, keys, [min(k[i] for i in rows) for rows in rows_of], [sum(times[i] for i in rows) for rows in rows_of]), strict=True):
+            for i in rows:
+                for x, y in runs(k[i]):
+                    found.setdefault((j[i], h[i]), []).append((at[i] + x, at[i] + y))
+        texts = list(found)
+        return pa.table({"j": pa.array([x[0] for x in texts], pa.int64()), "h": pa.array([x[1] for x in texts], pa.int64()), "spans": pa.array([merged(np.array(found[x], dtype=np.int64)).tobytes() for x in texts], pa.binary())})
 
     return run
 
 
+def _met(docs: DataFrame, rule: Rule, shards: int, hot: np.ndarray) -> DataFrame:
+    return docs.select("text", "j").mapInArrow(anchors_out(rule, shards, hot), _ANCHORS).groupBy("shard").applyInArrow(repeated_anchors, _WANTED)
+
+
 def repeated_windows(docs: DataFrame, rule: Rule, kernel: Kernel, bytes_per_shard: int = 1 << 20) -> DataFrame:
     """Each row of docs with doc_id, text and spans: packed int64 pairs of first and last repeated window, null where there are none."""
-    docs = keyed(docs)
+    docs = keyed(docs).withColumn("j", F.xxhash64("k", "text"))
     shards = shards_for(docs, bytes_per_shard)
-    anchors = docs.mapInArrow(anchors_out(rule, shards), "kind int, shard int, anchors binary, ks binary")
-    wanted = anchors.groupBy("shard").applyInArrow(repeated_anchors, "k long, anchors binary").groupBy("k").agg(F.collect_list("anchors").alias("anchors"))
-    dealt = docs.repartition("k")
-    chosen = dealt.join(wanted.hint("shuffle_hash"), "k", "left").filter(F.col("anchors").isNotNull())
-    parts = chosen.mapInArrow(segments_out(rule, shards), "shard int, anchor long, content binary, k long, h int, times long, at long")
-    found = parts.groupBy("shard").applyInArrow(spans_of(rule, kernel), _FOUND).groupBy("k").agg(F.collect_list(F.struct("h", "spans")).alias("found"))
+    hot = np.zeros(0, A.U64)
+    met = store(_met(docs, rule, shards, hot))
+    total = met.agg(F.sum("total")).first()[0] or 0
+    # So at most MOST_HOT anchors are split
+    crowded = met.filter(F.col("times") > total // MOST_HOT).select("gram").collect()
+    if crowded:
+        hot = np.sort(np.array([r["gram"] for r in crowded], dtype=np.int64).view(A.U64))
+        met = store(_met(docs, rule, shards, hot))
+    wanted = met.filter(F.col("j").isNotNull()).groupBy("j").agg(F.collect_list("anchors").alias("anchors"))
+    dealt = docs.repartition("j")
+    chosen = dealt.join(wanted.hint("shuffle_hash"), "j", "left").filter(F.col("anchors").isNotNull())
+    parts = chosen.mapInArrow(segments_out(rule, kernel, shards, hot), _SENT)
+    found = parts.groupBy("shard").applyInArrow(spans_of(rule, kernel), _FOUND).groupBy("j").agg(F.collect_list(F.struct("h", "spans")).alias("found"))
     mine = F.transform(F.filter("found", lambda x: x["h"] == F.col("h")), lambda x: x["spans"])
-    return dealt.join(found.hint("shuffle_hash"), "k", "left").select("doc_id", "text", mine.alias("spans"))
+    return dealt.join(found.hint("shuffle_hash"), "j", "left").select("doc_id", "text", mine.alias("spans"))
 
 
 def window_mask(spans: list[bytes] | None, n: int, length: int) -> np.ndarray:

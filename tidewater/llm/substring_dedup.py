@@ -3,24 +3,27 @@
 Reference shards are the segments that meet by anchor (see ``repeats``).  For each shard a generalised suffix automaton over words is
 built from its distinct segments in order of document id; every state keeps the smallest id among its occurrences.  The segments
 are then streamed through it for matching statistics: where the longest match ends with at least n words, the state that holds
-its last n words tells whether a smaller document has them.  Automata are not broadcast whole: over a corpus that is its own
-reference their size grows with the input and every text would meet every shard, so each text visits only the shards of its anchors.
+its last n words tells whether a smaller document has them.  Automata of a bounded reference are broadcast (``remove_known``).  Over a
+corpus that is its own reference they would grow with the input and every text would meet every shard, so each text visits only
+the shards of its anchors.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from . import arrays as A
 from . import repeats as R
 
-#: Words of an automaton; a larger shard makes several, and all its segments are streamed through each.
-AUTOMATON_WORDS = 150_000
+#: Words of an automaton that groups of segments share; and of one, where a single group has more: it makes several, and all its
+#: later segments are streamed through each.
+SHARED_WORDS, AUTOMATON_WORDS = 10_000, 150_000
+NOBODY = 2**63 - 1
 
 
 class SuffixAutomaton:
@@ -30,46 +33,46 @@ class SuffixAutomaton:
         self.next: list[dict[int, int]] = [{}]
         self.link, self.length, self.least = [-1], [0], [0]
 
-    def _state(self, length: int, link: int, edges: dict[int, int], least: int) -> int:
-        self.next.append(edges)
-        self.link.append(link)
-        self.length.append(length)
-        self.least.append(least)
-        return len(self.next) - 1
-
-    def _split(self, p: int, symbol: int, q: int) -> int:
-        """The state of the longest word of p followed by symbol, made from q where q also holds longer ones."""
-        if self.length[q] == self.length[p] + 1:
-            return q
-        clone = self._state(self.length[p] + 1, self.link[q], dict(self.next[q]), self.least[q])
-        while p >= 0 and self.next[p].get(symbol) == q:
-            self.next[p][symbol] = clone
-            p = self.link[p]
-        self.link[q] = clone
+    def _clone(self, p: int, symbol: int, q: int) -> int:
+        """A state for the longest word of p followed by symbol, where q also holds longer ones."""
+        nexts, links = self.next, self.link
+        clone = len(nexts)
+        nexts.append(nexts[q].copy())
+        links.append(links[q])
+        self.length.append(self.length[p] + 1)
+        self.least.append(self.least[q])
+        while p >= 0 and nexts[p].get(symbol) == q:
+            nexts[p][symbol] = clone
+            p = links[p]
+        links[q] = clone
         return clone
 
     def add(self, symbols: list[int], owner: int) -> None:
         """Add a sequence; owners must not decrease."""
+        nexts, links, lengths, leasts = self.next, self.link, self.length, self.least
         last = 0
         for symbol in symbols:
-            q = self.next[last].get(symbol)
+            q = nexts[last].get(symbol)
             if q is not None:
-                last = self._split(last, symbol, q)
+                last = q if lengths[q] == lengths[last] + 1 else self._clone(last, symbol, q)
                 continue
-            cur = self._state(self.length[last] + 1, 0, {}, owner)
-            p = last
-            while p >= 0 and symbol not in self.next[p]:
-                self.next[p][symbol] = cur
-                p = self.link[p]
-            if p >= 0:
-                self.link[cur] = self._split(p, symbol, self.next[p][symbol])
+            cur = len(nexts)
+            nexts.append({})
+            lengths.append(lengths[last] + 1)
+            leasts.append(owner)
+            p, q = last, cur
+            while p >= 0 and (q := nexts[p].setdefault(symbol, cur)) == cur:
+                p = links[p]
+            links.append(0 if p < 0 else q if lengths[q] == lengths[p] + 1 else -1)
+            if links[cur] < 0:
+                links[cur] = self._clone(p, symbol, q)
             last = cur
 
-    def earlier(self, symbols: list[int], n: int, owner: int) -> list[int]:
-        """Starts of the n-symbol windows that a sequence of smaller owner holds."""
+    def first_owners(self, symbols: list[int], n: int) -> list[int]:
+        """For each n-symbol window, the least owner of a sequence that holds it, by matching statistics; NOBODY where none does."""
         nexts, links, lengths = self.next, self.link, self.length
         state = size = 0
-        out = []
+        out = [NOBODY] * max(0, len(symbols) - n + 1)
         for i, symbol in enumerate(symbols):
             while state and symbol not in nexts[state]:
                 state = links[state]
@@ -79,24 +82,29 @@ class SuffixAutomaton:
             while state and lengths[links[state]] >= n:
                 state = links[state]
                 size = lengths[state]
-            if size >= n and self.least[state] < owner:
-                out.append(i - n + 1)
+            if size >= n:
+                out[i - n + 1] = self.least[state]
         return out
 
 
 def _kernel(n: int) -> R.Kernel:
-    def run(anchors: np.ndarray, contents: list[bytes], ids: np.ndarray, times: np.ndarray) -> list[np.ndarray | None]:
+    def run(anchors: np.ndarray, contents: list[bytes], ids: np.ndarray, times: np.ndarray) -> list[np.ndarray]:
         names: dict[bytes, int] = {}
         words = [[names.setdefault(w, len(names)) for w in c.split()] for c in contents]
-        found: list[set[int]] = [set() for _ in contents]
+        found = [np.full(len(w) - n + 1, NOBODY, dtype=np.int64) for w in words]
         order = np.lexsort((ids, anchors))
-        groups = np.split(order, np.flatnonzero(np.diff(anchors[order])) + 1)
+        groups = []
+        for group in np.split(order, np.flatnonzero(np.diff(anchors[order])) + 1):
+            if len(group) > 1:
+                groups.append(group)
+            else:  # a sequence that meets no other: matched against itself, all of it has its own id
+                found[int(group[0])][:] = ids[group[0]]
         # Whole groups share an automaton while there is room; a group that is larger alone goes in parts, all streamed through each.
         at = 0
         while at < len(groups):
             held, size = [groups[at]], sum(len(words[i]) for i in groups[at])
             at += 1
-            while at < len(groups) and size + (more := sum(len(words[i]) for i in groups[at])) <= AUTOMATON_WORDS:
+            while at < len(groups) and size + (more := sum(len(words[i]) for i in groups[at])) <= SHARED_WORDS:
                 held.append(groups[at])
                 size += more
                 at += 1
@@ -110,13 +118,16 @@ def _kernel(n: int) -> R.Kernel:
                     used += len(words[members[stop]])
                     stop += 1
                 for i in members[start:]:
-                    found[i].update(automaton.earlier(words[i], n, int(ids[i])))
+                    found[i] = np.minimum(found[i], automaton.first_owners(words[i], n))
                 start = stop
-        return [np.array(sorted(x), dtype=np.int64)[:, None].repeat(2, axis=1) if x else None for x in found]
+        return found
 
     return run
 
 
+_CLEAN = "doc_id long, n_words long, n_removed long, kept string"
+
+
 def _clean(n: int):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -143,9 +154,37 @@ def remove_repeats(docs: DataFrame, n: int = 13) -> DataFrame:
     Texts of fewer than n words stay whole; windows are judged on the input.  Other columns are ignored.
     """
     rule = R.Rule(words=True, n=n, m=5, earlier=True)
-    return R.repeated_windows(docs, rule, _kernel(n)).mapInArrow(_clean(n), "doc_id long, n_words long, n_removed long, kept string")
+    return R.repeated_windows(docs, rule, _kernel(n)).mapInArrow(_clean(n), _CLEAN)
+
+
+def remove_known(docs: DataFrame, reference: DataFrame, n: int = 13, most_bytes: int = 64 << 20) -> DataFrame:
+    """Remove each word in a window of n words that a text of a small reference has: its automata are broadcast, and documents streamed through.
 
+    The reference's bytes are summed first; above most_bytes this raises, and ``remove_repeats`` over both tables is the way.
+    Columns, nulls and short texts are as there; a document that is itself in the reference goes whole.
+    """
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    size = reference.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    if size > most_bytes:
+        raise ValueError(f"the reference has {size} bytes, more than {most_bytes}")
+    known = docs.sparkSession.sparkContext.broadcast([A.as_bytes(r[0]) for r in reference.select(text).distinct().collect()])
 
-def digest(text: str) -> str:
-    """Lower-case hex SHA-256 of a text's UTF-8 bytes."""
-    return hashlib.sha256(A.as_bytes(text)).hexdigest()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names: dict[bytes, int] = {}
+        shards, used = [SuffixAutomaton()], 0
+        for data in known.value:
+            if used > AUTOMATON_WORDS:
+                shards, used = [*shards, SuffixAutomaton()], 0
+            words = data.split()
+            shards[-1].add([names.setdefault(w, len(names)) for w in words], 0)
+            used += len(words)
+        for batch in batches:
+            spans = []
+            for data in batch.column("text").to_pylist():
+                words = [names.get(w, -1) for w in A.as_bytes(data).split()]
+                first, end = A.runs(np.min([np.full(max(0, len(words) - n + 1), NOBODY), *[s.first_owners(words, n) for s in shards]], axis=0) < NOBODY)
+                spans.append([np.stack([first, end - 1], axis=1).astype(np.int64).tobytes()])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), pa.array(spans, pa.list_(pa.binary()))], names=["doc_id", "text", "spans"])
+
+    matched = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).mapInArrow(run, "doc_id long, text string, spans array<binary>")
+    return matched.mapInArrow(_clean(n), _CLEAN)
