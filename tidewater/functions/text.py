@@ -5,7 +5,7 @@ Java's patterns get ``(?U)(?d)`` where white space is meant as Unicode's and the
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -39,6 +39,51 @@ def strip_markdown(text: Column) -> Column:
     return F.trim(text)
 
 
+def strip_report_marks(text: Column) -> Column:
+    """A report without section brackets, bold and italic stars, bullets, numbers at line starts, headings, and surplus blank lines and spaces."""
+    passes = (
+        (r"\[([^\]]+)\]", "$1"), (r"\*\*([^*]+)\*\*", "$1"), (r"(?<!\w)\*([^*]+)\*(?!\w)", "$1"), (r"(?m)^\s*[-*•]\s+", ""),
+        (r"(?m)^\s*\d+\.\s+", ""), (r"(?m)^#+\s+", ""), (r"\n{2,}", "\n"), (r"  +", " "), (r"^\s+|\s+$", ""),
+    )
+    for pattern, new in passes:
+        text = F.regexp_replace(text, _UNICODE + pattern, new)
+    return text
+
+
+def replaced(text: Column, names: Mapping[str, str]) -> Column:
+    """Each name replaced by its new one, in order; texts without any are left as they are."""
+    out = text
+    for old, new in names.items():
+        out = F.replace(out, F.lit(old), F.lit(new))
+    return F.when(text.rlike(quoted(list(names))), out).otherwise(text)
+
+
+def first_non_blank(*texts: Column) -> Column:
+    """The first text that has more than white space."""
+    return F.coalesce(*[F.when(t.rlike(_UNICODE + r"\S"), t) for t in texts])
+
+
+def split_brand(model: Column, brands: Sequence[tuple[str, str]]) -> Column:
+    """A model's name with its brand apart: the first prefix of (prefix, brand) that isn't the whole name."""
+    cases = [F.when(F.startswith(model, F.lit(p)) & (F.length(model) > len(p)), F.concat(F.lit(b + " "), F.ltrim(F.substr(model, F.lit(len(p) + 1))))) for p, b in brands]
+    return F.coalesce(*cases, model)
+
+
+def corrected_numbers(text: Column, known: Column, unit: str = "건", off: float = 0.05, least: int = 10) -> Column:
+    """Counts such as ``1,234건`` that are within a share of a known number, and none themselves, replaced by the nearest, the smaller of equals."""
+    between, found = F.split(text, f"[0-9,]+{unit}", -1), F.regexp_extract_all(text, F.lit(f"([0-9,]+){unit}"), F.lit(1))
+    valid = F.filter(known.cast("array<bigint>"), lambda n: n >= least)
+
+    def one(raw: Column) -> Column:
+        n = F.replace(raw, F.lit(","), F.lit("")).try_cast("bigint")
+        near = F.array_min(F.transform(F.filter(valid, lambda c: F.abs(n - c) / c <= off), lambda c: F.struct(F.abs(n - c).alias("far"), c.alias("c"))))["c"]
+        shown = F.when(F.contains(raw, F.lit(",")), F.format_number(near, 0)).otherwise(near.cast("string"))
+        return F.concat(F.when((n >= least) & ~F.array_contains(valid, n) & near.isNotNull(), shown).otherwise(raw), F.lit(unit))
+
+    pieces = F.zip_with(between, F.transform(found, one), lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
+    return F.when(F.size(found) == 0, text).otherwise(F.array_join(pieces, ""))
+
+
 def keywords(text: Column, pattern: str = "[가-힣]{2,}", stop: Sequence[str] = (), least: int = 2) -> Column:
     """Matches of a pattern, in order, without stop words and shorter ones."""
     found = F.filter(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda w: F.length(w) >= least)

@@ -152,10 +152,12 @@ def incremental_average(spark: SparkSession, folder: str) -> DataFrame:
 
 # Keywords
 
+LETTERS = r"\p{L}{4,}"
+
 
 def _words(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("source", "text")
-    return agg.keyword_counts(docs, text.keywords(F.lower("text"), "[a-z]{4,}"), None, "source")
+    return agg.keyword_counts(docs, text.keywords(F.lower("text"), LETTERS), None, "source")
 
 
 @query("SELECT source, keyword, count(*) AS count FROM words GROUP BY source, keyword", "words")
@@ -168,9 +170,9 @@ def keyword_topn(spark: SparkSession, folder: str) -> DataFrame:
     return ranking.top_n(_words(spark, folder), ["source"], [F.desc("count"), F.asc("keyword")], 5)
 
 
-@query("SELECT keyword, count(*) AS count FROM words WHERE keyword NOT IN (SELECT unnest(regexp_extract_all(lower(text), '[a-z]{4,}')) FROM benchmark) GROUP BY keyword ORDER BY count DESC, keyword LIMIT 50", "words")
+@query("SELECT keyword, count(*) AS count FROM words WHERE keyword NOT IN (SELECT unnest(regexp_extract_all(lower(text), '\\p{L}{4,}')) FROM benchmark) GROUP BY keyword ORDER BY count DESC, keyword LIMIT 50", "words")
 def unmapped_keywords(spark: SparkSession, folder: str) -> DataFrame:
-    mapped = table(spark, folder, "benchmark").select(F.explode(text.keywords(F.lower("text"), "[a-z]{4,}")).alias("keyword"))
+    mapped = table(spark, folder, "benchmark").select(F.explode(text.keywords(F.lower("text"), LETTERS)).alias("keyword"))
     return agg.unmapped_keywords(_words(spark, folder), mapped).orderBy(F.desc("count"), "keyword").limit(50)
 
 
@@ -204,22 +206,23 @@ def dedup_keep_first(spark: SparkSession, folder: str) -> DataFrame:
     return filters.keep_first(rows, ["l_orderkey", "l_linenumber"], order).drop("l_extendedprice", "l_shipdate")
 
 
-@query("SELECT o_orderkey FROM orders WHERE o_orderkey % 5 <> 0 EXCEPT SELECT o_orderkey FROM orders WHERE o_orderkey % 7 <> 0")
+@query("SELECT o_orderkey FROM orders EXCEPT SELECT l_orderkey FROM lineitem")
 def ghost_ids(spark: SparkSession, folder: str) -> DataFrame:
+    """Orders of which the line items know nothing."""
     orders = table(spark, folder, "orders").select("o_orderkey")
-    return merge.ghosts(orders.filter("o_orderkey % 5 <> 0"), orders.filter("o_orderkey % 7 <> 0"), ["o_orderkey"])
+    return merge.ghosts(orders, table(spark, folder, "lineitem").select(F.col("l_orderkey").alias("o_orderkey")), ["o_orderkey"])
 
 
 @query(
-    """WITH base AS (SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderkey % 3 <> 0), delta AS (SELECT o_orderkey, o_orderpriority AS o_orderstatus, o_totalprice * 2 AS o_totalprice FROM orders WHERE o_orderkey % 2 = 0)
+    """WITH base AS (SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderdate < TIMESTAMP '1997-01-01'), delta AS (SELECT o_orderkey, o_orderpriority AS o_orderstatus, o_totalprice * 2 AS o_totalprice FROM orders WHERE o_orderdate >= TIMESTAMP '1995-01-01')
     SELECT coalesce(b.o_orderkey, d.o_orderkey) AS o_orderkey, CASE WHEN b.o_orderkey IS NULL THEN d.o_orderstatus ELSE b.o_orderstatus END AS o_orderstatus, coalesce(d.o_totalprice, b.o_totalprice) AS o_totalprice
     FROM base b FULL JOIN delta d ON b.o_orderkey = d.o_orderkey"""
 )
 def merge_upsert(spark: SparkSession, folder: str) -> DataFrame:
     """Prices are overwritten, states of known orders are not."""
-    orders = table(spark, folder, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice", "o_orderpriority")
-    base = orders.filter("o_orderkey % 3 <> 0").drop("o_orderpriority")
-    delta = orders.filter("o_orderkey % 2 = 0").select("o_orderkey", F.col("o_orderpriority").alias("o_orderstatus"), (F.col("o_totalprice") * 2).alias("o_totalprice"))
+    orders = table(spark, folder, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice", "o_orderpriority", "o_orderdate")
+    base = orders.filter(F.col("o_orderdate") < F.lit("1997-01-01").cast("timestamp_ntz")).drop("o_orderpriority", "o_orderdate")
+    delta = orders.filter(F.col("o_orderdate") >= F.lit("1995-01-01").cast("timestamp_ntz")).select("o_orderkey", F.col("o_orderpriority").alias("o_orderstatus"), (F.col("o_totalprice") * 2).alias("o_totalprice"))
     return merge.upsert(base, delta, ["o_orderkey"], ["o_totalprice"])
 
 

@@ -54,7 +54,7 @@ CTES = {
     "tagged": "tagged AS (SELECT d.*, t.car_model, t.category, t.tag FROM (SELECT *, unnest(string_split(part_name, ' ')) AS tag FROM parts) t JOIN reviews d USING (part_id))",
     "branches": """branches AS (SELECT s_suppkey AS branch_id, s_name AS branch_name, n_name AS nation, r_name AS region, CAST(round(s_acctbal / 100) AS BIGINT) AS rating
       FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)""",
-    "words": "words AS (SELECT source, unnest(regexp_extract_all(lower(text), '[a-z]{4,}')) AS keyword FROM documents)",
+    "words": r"words AS (SELECT source, unnest(regexp_extract_all(lower(text), '\p{L}{4,}')) AS keyword FROM documents)",
 }
 _NEEDS = {"described": ("reviews", "parts"), "tagged": ("reviews", "parts")}
 

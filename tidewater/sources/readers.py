@@ -4,15 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import text
+
 # Upload headers, Korean and English.
 UPLOAD_HEADERS = {
-    "리뷰번호": "review_id", "지점번호": "branch_id", "리뷰내용": "content", "지점명": "branch_name", "회사명": "company_name",
-    "차량모델": "car_model", "작성일": "review_date",
+    "리뷰번호": "review_id", "지점번호": "branch_id", "리뷰내용": "content", "예약_지점명": "branch_name", "예약_업체명": "company_name",
+    "지점평점(친절/편의성)": "rating_service", "차량평점": "rating_car", "인수/반납편의성": "rating_convenience", "도움돼요수": "helpful_count",
+    "등록일시": "review_date", "리뷰상태": "status", "차량모델": "car_type", "렌트타입": "rent_type",
 }
+STATUSES = {"정상": "normal", "블라인드": "blind", "삭제": "deleted"}
 REQUIRED = ("review_id", "branch_id")
 
 
@@ -26,12 +30,12 @@ def csv(spark: SparkSession, path: str) -> DataFrame:
     return df.toDF(*[c.lstrip("﻿").strip() for c in df.columns])
 
 
-def excel(spark: SparkSession, path: str) -> DataFrame:
-    """The first sheet of a small workbook as trimmed strings, without empty rows; needs a workbook engine for pandas."""
-    import pandas as pd
-
-    sheet = pd.read_excel(path, dtype=str).apply(lambda c: c.str.strip()).dropna(how="all")
-    return spark.createDataFrame(sheet.astype(object).where(sheet.notna(), None), T.StructType([T.StructField(str(c), T.StringType()) for c in sheet.columns]))
+def numbered(df: DataFrame, name: str, first: int = 0) -> DataFrame:
+    """Rows with their place in the order of the partitions.  Places inside a partition are its own; only one row a partition is summed in one task."""
+    spread = df.withColumn("_m", F.monotonically_increasing_id()).withColumns({"_p": F.shiftright("_m", 33), "_i": F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))})
+    ahead = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    counts = spread.groupBy("_p").count().select("_p", F.coalesce(F.sum("count").over(ahead), F.lit(0)).alias("_before"))
+    return spread.join(counts, "_p").withColumn(name, F.col("_before") + F.col("_i") + first).drop("_m", "_p", "_i", "_before")
 
 
 def renamed(df: DataFrame, headers: Mapping[str, str] = UPLOAD_HEADERS, required: Sequence[str] = REQUIRED) -> DataFrame:
@@ -51,6 +55,34 @@ def checked(df: DataFrame, required: Sequence[str] = REQUIRED) -> DataFrame:
     return df.withColumn("error", error).withColumns({c: F.expr(f"try_cast(trim(`{c}`) AS BIGINT)") for c in required})
 
 
+def upload(df: DataFrame) -> DataFrame:
+    """An uploaded table under the common names, with row (the header is row 1) and error: null, or which id is missing.
+
+    Ids stay strings here.  Contents lose tags and NUL; statuses get their English names; under Korean headers other columns are trimmed
+    and a missing count of helpful marks is 0.
+    """
+    korean = "리뷰번호" in df.columns
+    rows = renamed(numbered(df, "row", 2))
+    new = {"content": text.strip_html(F.coalesce("content", F.lit("")))} if "content" in rows.columns else {}
+    if korean:
+        for c in (c for c in rows.columns if c not in ("row", "content")):
+            new[c] = F.trim(F.coalesce(c, F.lit("0" if c == "helpful_count" else "")))
+        if "helpful_count" in new:
+            new["helpful_count"] = F.when(new["helpful_count"] == "", "0").otherwise(new["helpful_count"])
+        if "status" in new:
+            new["status"] = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in STATUSES.items() for x in pair]), new["status"]), new["status"])
+    out = rows.withColumns(new)
+    error = F.lit(None).cast("string")
+    for c in reversed(REQUIRED):
+        error = F.when(F.trim(F.coalesce(c, F.lit(""))) == "", F.lit(f"{c} is missing")).otherwise(error)
+    return out.withColumn("error", error)
+
+
+def active_ids(df: DataFrame, key: str, status: str, active: object = "1") -> DataFrame:
+    """Distinct ids, as numbers, of the rows of one status; ids that don't parse go."""
+    return df.filter(F.col(status) == F.lit(active)).select(F.expr(f"try_cast(`{key}` AS BIGINT)").alias(key)).filter(F.col(key).isNotNull()).distinct()
+
+
 def split_errors(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     return df.filter(F.col("error").isNull()).drop("error"), df.filter(F.col("error").isNotNull())
 
