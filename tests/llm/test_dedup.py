@@ -114,7 +114,7 @@ def test_many_shards_and_texts_without_ids(spark):
     rows = [(None, t) for t in texts()] + [(4, t) for t in texts(2)]
     docs = table(spark, [t for _, t in rows], [i for i, _ in rows])
     rule = repeats.Rule(words=True, n=13, m=5, earlier=True)
-    run = repeats.anchors_out(rule, 10**6, np.zeros(0, np.uint64))
+    run = repeats.anchors_out(rule, 10**6)
     batch = pa.RecordBatch.from_pydict({"text": [t or "" for _, t in rows], "j": list(range(len(rows)))})
     began = time.perf_counter()
     assert sum(b.num_rows for b in run(iter([batch]))) > 1000

@@ -49,19 +49,25 @@ class Rule:
     m: int
     earlier: bool
 
-    def units(self, data: bytes) -> tuple[np.ndarray, list[bytes] | bytes]:
+    def units(self, data: bytes) -> np.ndarray:
         buf = np.frombuffer(data, dtype=np.uint8)
+        return A.word_hashes(buf, *A.word_bounds(buf)) if self.words else A.byte_units(buf)
+
+    def contents(self, data: bytes, first: np.ndarray, last: np.ndarray) -> list[bytes]:
+        """Bytes of segments by their first and last window; words are joined by one space."""
         if not self.words:
-            return A.byte_units(buf), data
-        return A.word_hashes(buf, *A.word_bounds(buf)), data.split()
+            return [data[a:b] for a, b in zip(first.tolist(), (last + self.n).tolist(), strict=True)]
+        buf = np.frombuffer(data, dtype=np.uint8)
+        starts, ends = A.word_bounds(buf)
+        odd = np.concatenate([[0], np.cumsum((starts[1:] - ends[:-1] != 1) | (buf[ends[:-1]] != 32))])  # gaps that aren't one space
+        last = last + self.n - 1
+        whole = (odd[last] == odd[first]).tolist()
+        return [data[a:b] if ok else b" ".join(data[a:b].split()) for a, b, ok in zip(starts[first].tolist(), ends[last].tolist(), whole, strict=True)]
 
     def repeated(self, known: np.ndarray, k: int) -> np.ndarray:
         """Which windows are repeated for a text of id k, by the kernel's numbers."""
         return known < k if self.earlier else known > 1
 
-    def content(self, parts: list[bytes] | bytes, a: int, b: int) -> bytes:
-        return b" ".join(parts[a:b]) if self.words else parts[a:b]  # type: ignore[arg-type, return-value]
-
 
 def keyed(docs: DataFrame) -> DataFrame:
     """Texts with their key: k (the id; null is the least) and h (a hash of the text, to tell different texts of one id apart)."""
@@ -98,15 +104,18 @@ def _flushes(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
         yield held
 
 
-def _cut(rule: Rule, units: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Segments of a text's units; those of split anchors are cut into their windows, each an anchor itself."""
+_Segments = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def _split(rule: Rule, units: np.ndarray, hot: np.ndarray) -> tuple[_Segments, _Segments]:
+    """Segments of a text's units but those of split anchors, and the windows of these, each an anchor itself."""
     grams, first, last = A.segments(units, rule.n, rule.m)
     split = _among(hot, grams)
     if not split.any():
-        return grams, first, last
+        none = np.zeros(0, np.int64)
+        return (grams, first, last), (np.zeros(0, A.U64), none, none)
     windows = np.repeat(first[split], last[split] - first[split] + 1) + A.ramp(last[split] - first[split] + 1)
-    own = A.gram_hashes(units, rule.n)[windows]
-    return np.concatenate([grams[~split], own]), np.concatenate([first[~split], windows]), np.concatenate([last[~split], windows])
+    return (grams[~split], first[~split], last[~split]), (A.gram_hashes(units, rule.n)[windows], windows, windows)
 
 
 def _among(known: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -117,26 +126,33 @@ def _among(known: np.ndarray, keys: np.ndarray) -> np.ndarray:
 _ANCHORS = "kind int, shard int, anchors binary, js binary, times binary"
 
 
-def anchors_out(rule: Rule, shards: int, hot: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Anchors of each batch by shard; what the batch itself shows to be repeated goes to the texts at once."""
+def anchors_out(rule: Rule, shards: int, hot: np.ndarray | None = None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Anchors of each batch by shard; what the batch itself shows to be repeated goes to the texts at once.
+
+    hot: only the windows of these anchors' segments, as anchors.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _flushes(batches):
             got, whole = [], []
             for r in rows:
-                units = rule.units(A.as_bytes(r["text"]))[0]
-                grams, a, b = _cut(rule, units, hot)
+                units = rule.units(A.as_bytes(r["text"]))
+                grams, a, b = A.segments(units, rule.n, rule.m) if hot is None else _split(rule, units, hot)[1]
                 got.append(grams)
                 whole.append(A.span_hashes(units, a, b + rule.n))
             owner = np.repeat(np.arange(len(rows)), [len(x) for x in got])
             anchors, content = np.concatenate([*got, np.zeros(0, A.U64)]), np.concatenate([*whole, np.zeros(0, A.U64)])
             js = np.array([r["j"] for r in rows], dtype=np.int64)
-            order = np.lexsort((content, anchors))
+            order, first, size = A.by_key(anchors)
             anchors, owner, content = anchors[order], owner[order], content[order]
-            _, first, size = A.by_key(anchors)
-            new = np.ones(len(anchors), dtype=np.int64)  # a row is sent for each different segment
-            new[1:] = (anchors[1:] != anchors[:-1]) | (content[1:] != content[:-1])
-            different = np.add.reduceat(new, first) if len(first) else new
+            different = size.copy()  # a row is sent for each different segment
+            shared = np.flatnonzero(np.repeat(size > 1, size))
+            if len(shared):
+                group = np.repeat(np.arange(len(size)), size)[shared]
+                pairs = np.lexsort((content[shared], group))
+                of, what = group[pairs], content[shared][pairs]
+                new = np.concatenate([[True], (of[1:] != of[:-1]) | (what[1:] != what[:-1])])
+                different[size > 1] = np.bincount(of[new], minlength=len(size))[size > 1]
             many = size > 1
             inside = np.repeat(many, size)
             out: dict[str, list] = {c: [] for c in ("shard", "anchors", "js", "times")}
@@ -207,11 +223,12 @@ def segments_out(rule: Rule, kernel: Kernel, shards: int, hot: np.ndarray) -> Ca
             seen: dict[tuple[int, bytes], list[tuple[int, int]]] = {}
             for i, r in enumerate(rows):
                 wanted = np.unique(np.frombuffer(b"".join(r["anchors"]), dtype=A.U64))
-                units, parts = rule.units(A.as_bytes(r["text"]))
-                grams, first, last = _cut(rule, units, hot)
+                data = A.as_bytes(r["text"])
+                grams, first, last = (np.concatenate(x) for x in zip(*_split(rule, rule.units(data), hot), strict=True))
                 on = np.flatnonzero(_among(wanted, grams))
-                for gram, a, b in zip(grams[on].view(np.int64).tolist(), first[on].tolist(), last[on].tolist(), strict=True):
-                    seen.setdefault((gram, rule.content(parts, a, b + rule.n)), []).append((i, a))
+                if len(on):
+                    for gram, content, a in zip(grams[on].view(np.int64).tolist(), rule.contents(data, first[on], last[on]), first[on].tolist(), strict=True):
+                        seen.setdefault((gram, content), []).append((i, a))
             out: dict[str, list] = {c.split()[0]: [] for c in _SENT.split(", ")}
             ks = [r["k"] for r in rows]
             leasts = {key: min(ks[i] for i, _ in places) for key, places in seen.items() if len(places) > 1}
@@ -290,8 +307,8 @@ def spans_of(rule: Rule, kernel: Kernel) -> Callable[[pa.Table], pa.Table]:
     return run
 
 
-def _met(docs: DataFrame, rule: Rule, shards: int, hot: np.ndarray) -> DataFrame:
-    return docs.select("text", "j").mapInArrow(anchors_out(rule, shards, hot), _ANCHORS).groupBy("shard").applyInArrow(repeated_anchors, _WANTED)
+def _met(docs: DataFrame, rule: Rule, shards: int, hot: np.ndarray | None = None) -> DataFrame:
+    return store(docs.select("text", "j").mapInArrow(anchors_out(rule, shards, hot), _ANCHORS).groupBy("shard").applyInArrow(repeated_anchors, _WANTED))
 
 
 def repeated_windows(docs: DataFrame, rule: Rule, kernel: Kernel, bytes_per_shard: int = 1 << 20) -> DataFrame:
@@ -299,13 +316,13 @@ def repeated_windows(docs: DataFrame, rule: Rule, kernel: Kernel, bytes_per_shar
     docs = keyed(docs).withColumn("j", F.xxhash64("k", "text"))
     shards = shards_for(docs, bytes_per_shard)
     hot = np.zeros(0, A.U64)
-    met = store(_met(docs, rule, shards, hot))
+    met = _met(docs, rule, shards)
     total = met.agg(F.sum("total")).first()[0] or 0
     # So at most MOST_HOT anchors are split
     crowded = met.filter(F.col("times") > total // MOST_HOT).select("gram").collect()
     if crowded:
         hot = np.sort(np.array([r["gram"] for r in crowded], dtype=np.int64).view(A.U64))
-        met = store(_met(docs, rule, shards, hot))
+        met = _met(docs, rule, shards)
     wanted = met.filter(F.col("j").isNotNull()).groupBy("j").agg(F.collect_list("anchors").alias("anchors"))
     dealt = docs.repartition("j")
     chosen = dealt.join(wanted.hint("shuffle_hash"), "j", "left").filter(F.col("anchors").isNotNull())

@@ -90,13 +90,14 @@ class SuffixAutomaton:
 def _kernel(n: int) -> R.Kernel:
     def run(anchors: np.ndarray, contents: list[bytes], ids: np.ndarray, times: np.ndarray) -> list[np.ndarray]:
         names: dict[bytes, int] = {}
-        words = [[names.setdefault(w, len(names)) for w in c.split()] for c in contents]
-        found = [np.full(len(w) - n + 1, NOBODY, dtype=np.int64) for w in words]
+        words: dict[int, list[int]] = {}
+        found = [np.full(c.count(b" ") + 2 - n, NOBODY, dtype=np.int64) for c in contents]
         order = np.lexsort((ids, anchors))
         groups = []
         for group in np.split(order, np.flatnonzero(np.diff(anchors[order])) + 1):
             if len(group) > 1:
                 groups.append(group)
+                words |= {i: [names.setdefault(w, len(names)) for w in contents[i].split()] for i in group.tolist()}
             else:  # a sequence that meets no other: matched against itself, all of it has its own id
                 found[int(group[0])][:] = ids[group[0]]
         # Whole groups share an automaton while there is room; a group that is larger alone goes in parts, all streamed through each.
