@@ -10,7 +10,7 @@ lie in segments of one anchor (see ``arrays.segments``).  Three exchanges follow
 
 Before 1 and 2 each task joins equal anchors and equal segments of its own batch, lets the kernel decide among them, and sends one
 row for them, so a passage in a third of all texts sends one row for each batch, not one for each text.  An anchor with more than HOT such rows, as
-where a passage of very many texts meets their own words, is split: its windows are anchors themselves, so each goes where its own
+where a passage of very many texts meets their own words, is split: its windows go to as many parts as it takes, each where its own
 hash leads, and those that occur once are dropped before their units are sent.  Collected are one sum and the split anchors, at most MOST_HOT.
 """
 
@@ -104,18 +104,30 @@ def _flushes(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
         yield held
 
 
-_Segments = tuple[np.ndarray, np.ndarray, np.ndarray]
-
-
-def _split(rule: Rule, units: np.ndarray, hot: np.ndarray) -> tuple[_Segments, _Segments]:
-    """Segments of a text's units but those of split anchors, and the windows of these, each an anchor itself."""
-    grams, first, last = A.segments(units, rule.n, rule.m)
-    split = _among(hot, grams)
-    if not split.any():
-        none = np.zeros(0, np.int64)
-        return (grams, first, last), (np.zeros(0, A.U64), none, none)
-    windows = np.repeat(first[split], last[split] - first[split] + 1) + A.ramp(last[split] - first[split] + 1)
-    return (grams[~split], first[~split], last[~split]), (A.gram_hashes(units, rule.n)[windows], windows, windows)
+@dataclass(frozen=True)
+class Split:
+    """Anchors of very many segments, sorted, and the number of parts of each: its windows go to parts by their hash."""
+
+    anchors: np.ndarray
+    parts: np.ndarray
+    shards: int
+
+    def windows(self, rule: Rule, units: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Segments of other anchors (anchor, first and last window), and of these the windows (a hash, the place and the part's anchor).
+
+        The hash of a window leads to the shard of its part, so a text sends one row for each part and not for each window.
+        """
+        grams, first, last = A.segments(units, rule.n, rule.m)
+        split = _among(self.anchors, grams)
+        count = last[split] - first[split] + 1
+        windows = np.repeat(first[split], count) + A.ramp(count)
+        if not len(windows):
+            return grams, first, last, np.zeros(0, A.U64), windows, np.zeros(0, A.U64)
+        own = A.gram_hashes(units, rule.n)[windows]
+        of = np.searchsorted(self.anchors, np.repeat(grams[split], count))
+        part = A.mix(self.anchors[of] + own % self.parts[of].astype(A.U64) * A.U64(0x9E3779B97F4A7C15))
+        led = own - own % A.U64(self.shards) + part % A.U64(self.shards)
+        return grams[~split], first[~split], last[~split], led, windows, part
 
 
 def _among(known: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -126,10 +138,10 @@ def _among(known: np.ndarray, keys: np.ndarray) -> np.ndarray:
 _ANCHORS = "kind int, shard int, anchors binary, js binary, times binary"
 
 
-def anchors_out(rule: Rule, shards: int, hot: np.ndarray | None = None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def anchors_out(rule: Rule, shards: int, hot: Split | None = None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Anchors of each batch by shard; what the batch itself shows to be repeated goes to the texts at once.
 
-    hot: only the windows of these anchors' segments, as anchors.
+    hot: only the windows of these anchors' segments, by their hashes.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,9 +149,13 @@ def anchors_out(rule: Rule, shards: int, hot: np.ndarray | None = None) -> Calla
             got, whole = [], []
             for r in rows:
                 units = rule.units(A.as_bytes(r["text"]))
-                grams, a, b = A.segments(units, rule.n, rule.m) if hot is None else _split(rule, units, hot)[1]
+                if hot is None:
+                    grams, a, b = A.segments(units, rule.n, rule.m)
+                    whole.append(A.span_hashes(units, a, b + rule.n))
+                else:
+                    grams = hot.windows(rule, units)[3]
+                    whole.append(grams)
                 got.append(grams)
-                whole.append(A.span_hashes(units, a, b + rule.n))
             owner = np.repeat(np.arange(len(rows)), [len(x) for x in got])
             anchors, content = np.concatenate([*got, np.zeros(0, A.U64)]), np.concatenate([*whole, np.zeros(0, A.U64)])
             js = np.array([r["j"] for r in rows], dtype=np.int64)
@@ -180,42 +196,46 @@ def anchors_out(rule: Rule, shards: int, hot: np.ndarray | None = None) -> Calla
 _WANTED = "j long, anchors binary, total long, gram long, times long"
 
 
-def repeated_anchors(table: pa.Table) -> pa.Table:
-    """Of one shard: for each text, those of its anchors that occur more than once; the number of all, and the anchors of very many."""
-    anchors, js, times, sure = [], [], [], []
-    for kind, a, j, t in zip(*(table.column(c).to_pylist() for c in ("kind", "anchors", "js", "times")), strict=True):
-        grams = np.frombuffer(a, dtype=A.U64)
-        anchors.append(grams)
-        js.append(np.resize(np.frombuffer(j, dtype=np.int64), len(grams)))
-        times.append(np.frombuffer(t, dtype=np.uint32) if kind == 0 else np.zeros(len(grams), np.uint32))
-        sure.append(np.full(len(grams), kind == 1))
-    grams, j, times, direct = (np.concatenate(x) for x in (anchors, js, times, sure))
-    found = np.zeros(len(grams), dtype=bool)
-    at = np.flatnonzero(~direct)
-    order, first, size = A.by_key(grams[at])
-    several = np.zeros(len(at), dtype=bool)
-    several[order] = np.repeat(size > 1, size)
-    found[at] = several & (j[at] != _LOCAL)
-    total = np.add.reduceat(times[at][order].astype(np.int64), first) if len(first) else np.zeros(0, np.int64)
-    hot = total > HOT
-    crowded, number = grams[at][order][first][hot], total[hot]
-    keep = found | direct
-    grams, j = grams[keep], j[keep]
-    order, first, size = A.by_key(j)
-    grams, j = grams[order], j[order]
-    none = lambda n: [None] * n
-    n, m = len(first), len(crowded)
-    columns = (
-        [*j[first].tolist(), *none(m + 1)], [*[grams[a : a + c].tobytes() for a, c in zip(first, size, strict=True)], *none(m + 1)],
-        [*none(n), int(total.sum()), *none(m)], [*none(n + 1), *crowded.view(np.int64).tolist()], [*none(n + 1), *number.tolist()],
-    )
-    return pa.table([pa.array(x, pa.binary() if i == 1 else pa.int64()) for i, x in enumerate(columns)], names=["j", "anchors", "total", "gram", "times"])
+def repeated_anchors(limit: int) -> Callable[[pa.Table], pa.Table]:
+    """Of one shard: for each text, those of its anchors that occur more than once; the number of all, and the anchors of more than limit segments."""
+
+    def run(table: pa.Table) -> pa.Table:
+        anchors, js, times, sure = [], [], [], []
+        for kind, a, j, t in zip(*(table.column(c).to_pylist() for c in ("kind", "anchors", "js", "times")), strict=True):
+            grams = np.frombuffer(a, dtype=A.U64)
+            anchors.append(grams)
+            js.append(np.resize(np.frombuffer(j, dtype=np.int64), len(grams)))
+            times.append(np.frombuffer(t, dtype=np.uint32) if kind == 0 else np.zeros(len(grams), np.uint32))
+            sure.append(np.full(len(grams), kind == 1))
+        grams, j, times, direct = (np.concatenate(x) for x in (anchors, js, times, sure))
+        found = np.zeros(len(grams), dtype=bool)
+        at = np.flatnonzero(~direct)
+        order, first, size = A.by_key(grams[at])
+        several = np.zeros(len(at), dtype=bool)
+        several[order] = np.repeat(size > 1, size)
+        found[at] = several & (j[at] != _LOCAL)
+        total = np.add.reduceat(times[at][order].astype(np.int64), first) if len(first) else np.zeros(0, np.int64)
+        hot = total > limit
+        crowded, number = grams[at][order][first][hot], total[hot]
+        keep = found | direct
+        grams, j = grams[keep], j[keep]
+        order, first, size = A.by_key(j)
+        grams, j = grams[order], j[order]
+        none = lambda n: [None] * n
+        n, m = len(first), len(crowded)
+        columns = (
+            [*j[first].tolist(), *none(m + 1)], [*[grams[a : a + c].tobytes() for a, c in zip(first, size, strict=True)], *none(m + 1)],
+            [*none(n), int(total.sum()), *none(m)], [*none(n + 1), *crowded.view(np.int64).tolist()], [*none(n + 1), *number.tolist()],
+        )
+        return pa.table([pa.array(x, pa.binary() if i == 1 else pa.int64()) for i, x in enumerate(columns)], names=["j", "anchors", "total", "gram", "times"])
+
+    return run
 
 
 _SENT = "shard int, anchor long, content binary, j long, h long, k long, times long, at long"
 
 
-def segments_out(rule: Rule, kernel: Kernel, shards: int, hot: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def segments_out(rule: Rule, kernel: Kernel, shards: int, hot: Split) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """The segments of repeated anchors: one row for equal segments of a batch; what the kernel finds inside the batch goes on as spans."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,10 +244,16 @@ def segments_out(rule: Rule, kernel: Kernel, shards: int, hot: np.ndarray) -> Ca
             for i, r in enumerate(rows):
                 wanted = np.unique(np.frombuffer(b"".join(r["anchors"]), dtype=A.U64))
                 data = A.as_bytes(r["text"])
-                grams, first, last = (np.concatenate(x) for x in zip(*_split(rule, rule.units(data), hot), strict=True))
-                on = np.flatnonzero(_among(wanted, grams))
-                if len(on):
-                    for gram, content, a in zip(grams[on].view(np.int64).tolist(), rule.contents(data, first[on], last[on]), first[on].tolist(), strict=True):
+                grams, first, last, led, windows, part = hot.windows(rule, rule.units(data))
+                on = _among(wanted, grams)
+                grams, first, last = grams[on], first[on], last[on]
+                windows, part = windows[_among(wanted, led)], part[_among(wanted, led)]
+                if len(windows):  # neighbours of one part go together
+                    new = np.flatnonzero(np.concatenate([[True], (windows[1:] != windows[:-1] + 1) | (part[1:] != part[:-1])]))
+                    grams, first = np.concatenate([grams, part[new]]), np.concatenate([first, windows[new]])
+                    last = np.concatenate([last, windows[np.append(new[1:], len(windows)) - 1]])
+                if len(grams):
+                    for gram, content, a in zip(grams.view(np.int64).tolist(), rule.contents(data, first, last), first.tolist(), strict=True):
                         seen.setdefault((gram, content), []).append((i, a))
             out: dict[str, list] = {c.split()[0]: [] for c in _SENT.split(", ")}
             ks = [r["k"] for r in rows]
@@ -307,22 +333,21 @@ def spans_of(rule: Rule, kernel: Kernel) -> Callable[[pa.Table], pa.Table]:
     return run
 
 
-def _met(docs: DataFrame, rule: Rule, shards: int, hot: np.ndarray | None = None) -> DataFrame:
-    return store(docs.select("text", "j").mapInArrow(anchors_out(rule, shards, hot), _ANCHORS).groupBy("shard").applyInArrow(repeated_anchors, _WANTED))
+def _met(docs: DataFrame, rule: Rule, shards: int, hot: Split | None = None) -> DataFrame:
+    return store(docs.select("text", "j").mapInArrow(anchors_out(rule, shards, hot), _ANCHORS).groupBy("shard").applyInArrow(repeated_anchors(HOT), _WANTED))
 
 
 def repeated_windows(docs: DataFrame, rule: Rule, kernel: Kernel, bytes_per_shard: int = 1 << 20) -> DataFrame:
     """Each row of docs with doc_id, text and spans: packed int64 pairs of first and last repeated window, null where there are none."""
     docs = keyed(docs).withColumn("j", F.xxhash64("k", "text"))
     shards = shards_for(docs, bytes_per_shard)
-    hot = np.zeros(0, A.U64)
     met = _met(docs, rule, shards)
     total = met.agg(F.sum("total")).first()[0] or 0
     # So at most MOST_HOT anchors are split
-    crowded = met.filter(F.col("times") > total // MOST_HOT).select("gram").collect()
+    crowded = sorted((r["gram"] % 2**64, r["times"]) for r in met.filter(F.col("times") > total // MOST_HOT).select("gram", "times").collect())
+    hot = Split(np.array([g for g, _ in crowded], dtype=A.U64), np.array([-(-n // HOT) for _, n in crowded], dtype=np.int64), shards)
     if crowded:
-        hot = np.sort(np.array([r["gram"] for r in crowded], dtype=np.int64).view(A.U64))
-        met = _met(docs, rule, shards)
+        met = met.unionByName(_met(docs, rule, shards, hot))
     wanted = met.filter(F.col("j").isNotNull()).groupBy("j").agg(F.collect_list("anchors").alias("anchors"))
     dealt = docs.repartition("j")
     chosen = dealt.join(wanted.hint("shuffle_hash"), "j", "left").filter(F.col("anchors").isNotNull())
