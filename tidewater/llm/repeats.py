@@ -11,7 +11,8 @@ lie in segments of one anchor (see ``arrays.segments``).  Three exchanges follow
 Before 1 and 2 each task joins equal anchors and equal segments of its own batch, lets the kernel decide among them, and sends one
 row for them, so a passage in a third of all texts sends one row for each batch, not one for each text.  An anchor with more than HOT such rows, as
 where a passage of very many texts meets their own words, is split: its windows go to as many parts as it takes, each where its own
-hash leads, and those that occur once are dropped before their units are sent.  Collected are one sum and the split anchors, at most MOST_HOT.
+hash leads, and those that occur once are dropped before their units are sent.  For that only the texts that have such an anchor are read
+again.  Collected are one sum and the split anchors, at most MOST_HOT.
 """
 
 from __future__ import annotations
@@ -333,6 +334,17 @@ def spans_of(rule: Rule, kernel: Kernel) -> Callable[[pa.Table], pa.Table]:
     return run
 
 
+def _having(known: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The j of rows that have one of the sorted anchors."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            mine = [_among(known, np.frombuffer(x, dtype=A.U64)).any() for x in batch.column("anchors").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("j").filter(pa.array(mine, pa.bool_()))], names=["j"])
+
+    return run
+
+
 def _met(docs: DataFrame, rule: Rule, shards: int, hot: Split | None = None) -> DataFrame:
     return store(docs.select("text", "j").mapInArrow(anchors_out(rule, shards, hot), _ANCHORS).groupBy("shard").applyInArrow(repeated_anchors(HOT), _WANTED))
 
@@ -347,7 +359,9 @@ def repeated_windows(docs: DataFrame, rule: Rule, kernel: Kernel, bytes_per_shar
     crowded = sorted((r["gram"] % 2**64, r["times"]) for r in met.filter(F.col("times") > total // MOST_HOT).select("gram", "times").collect())
     hot = Split(np.array([g for g, _ in crowded], dtype=A.U64), np.array([-(-n // HOT) for _, n in crowded], dtype=np.int64), shards)
     if crowded:
-        met = met.unionByName(_met(docs, rule, shards, hot))
+        # The texts that have split anchors, as a stored table of keys: Spark broadcasts it if its size allows, and shuffles if not
+        having = store(met.filter(F.col("j").isNotNull()).select("j", "anchors").mapInArrow(_having(hot.anchors), "j long"))
+        met = met.unionByName(_met(docs.join(having, "j", "left_semi"), rule, shards, hot))
     wanted = met.filter(F.col("j").isNotNull()).groupBy("j").agg(F.collect_list("anchors").alias("anchors"))
     dealt = docs.repartition("j")
     chosen = dealt.join(wanted.hint("shuffle_hash"), "j", "left").filter(F.col("anchors").isNotNull())
