@@ -102,11 +102,21 @@ def test_nothing_but_the_kernel_removes(spark):
 def test_split_anchors(monkeypatch, spark):
     """A passage that many texts have between words of their own: its anchors are split, and nothing changes."""
     monkeypatch.setattr(repeats, "HOT", 3)
+    split, having = [], repeats._having
+    monkeypatch.setattr(repeats, "_having", lambda known: (split.append(len(known)), having(known))[1])
     rows = [(i, f"own{i} w{i} {' '.join(f'p{x}' for x in range(40))} tail{i} v{i % 3} z z z z z z z z z z z z") for i in range(40)] + list(zip([7 * i % 1009 + 50 for i in range(500)], texts(), strict=False))
     docs = table(spark, [t for _, t in rows], [i for i, _ in rows])
     same(substring_dedup.remove_repeats(docs).collect(), words_left(rows, 13))
     got = suffix_dedup.remove_long_repeats(docs, n=60, m=20).collect()
     same([(r[0], r[1], r[2], r[3], bytes(r[4])) for r in got], bytes_left(rows, 60))
+    assert len(split) == 2 and min(split) > 3
+
+
+def test_texts_are_dealt_once(spark):
+    """The exchange of the texts serves both joins."""
+    out = repeats.repeated_windows(table(spark, texts()), repeats.Rule(words=True, n=13, m=5, earlier=True), substring_dedup._kernel(13))
+    out.collect()
+    assert "ReusedExchange" in out._jdf.queryExecution().executedPlan().toString()
 
 
 def test_many_shards_and_texts_without_ids(spark):

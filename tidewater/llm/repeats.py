@@ -22,7 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import arrays as A
@@ -70,10 +70,15 @@ class Rule:
         return known < k if self.earlier else known > 1
 
 
+def id_of() -> Column:
+    """The id that counts; null is the least."""
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
+
+
 def keyed(docs: DataFrame) -> DataFrame:
     """Texts with their key: k (the id; null is the least) and h (a hash of the text, to tell different texts of one id apart)."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select("doc_id", text.alias("text")).withColumns({"k": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), "h": F.xxhash64("text")})
+    return docs.select("doc_id", text.alias("text")).withColumns({"k": id_of(), "h": F.xxhash64("text")})
 
 
 def shards_for(docs: DataFrame, bytes_per_shard: int) -> int:
@@ -351,7 +356,7 @@ def _met(docs: DataFrame, rule: Rule, shards: int, hot: Split | None = None) ->
 
 def repeated_windows(docs: DataFrame, rule: Rule, kernel: Kernel, bytes_per_shard: int = 1 << 20) -> DataFrame:
     """Each row of docs with doc_id, text and spans: packed int64 pairs of first and last repeated window, null where there are none."""
-    docs = keyed(docs).withColumn("j", F.xxhash64("k", "text"))
+    docs = keyed(docs).select("doc_id", "text", "h", F.xxhash64("k", "text").alias("j"))
     shards = shards_for(docs, bytes_per_shard)
     met = _met(docs, rule, shards)
     total = met.agg(F.sum("total")).first()[0] or 0
@@ -364,7 +369,8 @@ def repeated_windows(docs: DataFrame, rule: Rule, kernel: Kernel, bytes_per_shar
         met = met.unionByName(_met(docs.join(having, "j", "left_semi"), rule, shards, hot))
     wanted = met.filter(F.col("j").isNotNull()).groupBy("j").agg(F.collect_list("anchors").alias("anchors"))
     dealt = docs.repartition("j")
-    chosen = dealt.join(wanted.hint("shuffle_hash"), "j", "left").filter(F.col("anchors").isNotNull())
+    # Both joins take the same columns of dealt, so that its exchange is made once and used again
+    chosen = dealt.join(wanted.hint("shuffle_hash"), "j", "left").filter(F.col("anchors").isNotNull()).select("text", "j", "h", id_of().alias("k"), "anchors")
     parts = chosen.mapInArrow(segments_out(rule, kernel, shards, hot), _SENT)
     found = parts.groupBy("shard").applyInArrow(spans_of(rule, kernel), _FOUND).groupBy("j").agg(F.collect_list(F.struct("h", "spans")).alias("found"))
     mine = F.transform(F.filter("found", lambda x: x["h"] == F.col("h")), lambda x: x["spans"])
