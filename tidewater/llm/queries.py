@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard_join, license_scan, mixing, packing, quality, secret_scan, spotsigs, substring_dedup, suffix_dedup, url_filter
+from . import decontam, jaccard_join, license_scan, mixing, packing, quality, secret_scan, spotsigs, substring_dedup, suffix_dedup, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -82,3 +82,13 @@ URL_RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("block", "net
 @_query
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(_table(spark, sf_dir, "pages"), URL_RULES)
+
+
+@_query
+def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = decontam.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), n=10)
+    hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["last"] - x["first"] + 1)
+    return got.select("doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"))
+
+
+ORACLE_SQL["op13_decontamination"] = decontam.ORACLE
