@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, jaccard_join, license_scan, mixing, packing, quality, secret_scan, spotsigs, substring_dedup, suffix_dedup, url_filter
+from . import decontam, jaccard_join, license_scan, mixing, packing, quality, secret_scan, spotsigs, substring_dedup, suffix_dedup, url_filter, vector_codes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -84,6 +84,19 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(_table(spark, sf_dir, "pages"), URL_RULES)
 
 
+@_query
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, codebooks = vector_codes.encode(_table(spark, sf_dir, "embeddings"), "embedding", parts=4, entries=256, rounds=4)
+    totals = coded.groupBy(F.col("label").alias("_label")).agg(F.sum("error").alias("label_error"))
+    code = F.array_join(F.transform("codes", lambda c: F.lower(F.lpad(F.hex(c), 2, "0"))), "")
+    joined = coded.join(totals, F.col("label").eqNullSafe(F.col("_label")), "left")
+    digest = F.sha2(F.lit(vector_codes.listed(codebooks)), 256)
+    return joined.select("vec_id", code.alias("code"), "error", "label_error", digest.alias("codebooks_sha256"))
+
+
+ORACLE_SQL["op12_vector_codes"] = vector_codes.ORACLE
+
+
 @_query
 def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = decontam.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), n=10)
