@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, jaccard_join, license_scan, mixing, packing, quality, secret_scan, spotsigs, substring_dedup, suffix_dedup, url_filter, vector_codes
+from . import decontam, jaccard_join, license_scan, mixing, packing, prefix_trie, quality, secret_scan, spotsigs, substring_dedup, suffix_dedup, url_filter, vector_codes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -84,6 +84,15 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(_table(spark, sf_dir, "pages"), URL_RULES)
 
 
+@_query
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = prefix_trie.nodes(prefix_trie.sequences(_table(spark, sf_dir, "conversations"), family=5, most=9))
+    return got.withColumnRenamed("ends", "ends_sha256")
+
+
+ORACLE_SQL["op11_prefix_trie"] = prefix_trie.ORACLE
+
+
 @_query
 def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded, codebooks = vector_codes.encode(_table(spark, sf_dir, "embeddings"), "embedding", parts=4, entries=256, rounds=4)
