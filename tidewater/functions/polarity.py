@@ -295,3 +295,8 @@ def unified(text: Column, registry: Registry) -> Column:
     got = _let(facts, lambda f: S.combined(f["rule"]["sentiment"], f["rule"]["confidence"], f["tags"]["sentiment"], f["tags"]["confidence"]))
     blank = text.isNull() | ~text.rlike(_U + r"\S")
     return F.when(blank, F.struct(F.lit("neutral").alias("sentiment"), F.lit(0.0).alias("confidence"), F.lit("empty").alias("method"))).otherwise(got)
+
+
+def rated(text: Column, registry: Registry, *ratings: Column) -> Column:
+    """struct(sentiment, confidence, method) of a text and its ratings in one: ``unified``, corrected by the ratings that aren't null."""
+    return _let(unified(text, registry), lambda u: F.when(S.mean_rating(*ratings).isNull(), u).otherwise(S.with_ratings(u["sentiment"], u["confidence"], *ratings)))
