@@ -87,3 +87,27 @@ def histogram(df: DataFrame, column: str, edges: Sequence[float]) -> DataFrame:
     pairs = list(zip(edges[:-1], edges[1:], strict=True))
     cond = [(F.col(column) >= a) & ((F.col(column) <= b) if b == edges[-1] else (F.col(column) < b)) for a, b in pairs]
     return df.agg(*[F.count_if(c).alias(f"bucket_{i}") for i, c in enumerate(cond)])
+
+
+def with_totals(df: DataFrame, keys: Sequence[str], aggregates: Sequence[Column], prefixes: bool = False) -> DataFrame:
+    """Aggregates by all keys (level 0) and of all rows, with prefixes by each shorter list of keys, too, from one pass and one shuffle.
+
+    level is the number of keys left out, from the right; a key that is null in the data stays at its level.
+    """
+    sets = [list(keys[:n]) for n in range(len(keys), -1, -1) if prefixes or n in (0, len(keys))]
+    level = F.bit_count(F.grouping_id()).cast("int")
+    return df.groupingSets([[F.col(k) for k in s] for s in sets], *[F.col(k) for k in keys]).agg(*aggregates, level.alias("level"))
+
+
+def page_with_totals(df: DataFrame, keys: Sequence[str], aggregates: Sequence[Column], order: Sequence[Column], offset: int, limit: int) -> DataFrame:
+    """A page of groups, each with the number of groups and every aggregate of all rows (as total_...), one pass over df.
+
+    Page and totals read the same groups, which are scanned and shuffled once: both take all columns, and the page's filter stands on a count, so that it
+    isn't pushed below the shuffle on one side only.
+    """
+    groups = with_totals(df, keys, [*aggregates, F.count(F.lit(1)).alias("_n")])
+    names = [c for c in groups.columns if c not in (*keys, "_n", "level")]
+    single = F.col("level") < F.least(F.col("_n"), F.lit(1))
+    overall = groups.agg(F.count_if(single).alias("groups"), *[F.max(F.when(~single, F.col(c))).alias(f"total_{c}") for c in names])
+    page = groups.filter(single).drop("level", "_n").orderBy(*order).offset(offset).limit(limit)
+    return page.join(F.broadcast(overall), how="cross")

@@ -49,9 +49,9 @@ def enriched(df: DataFrame, known: DataFrame, on: str, column: str) -> DataFrame
     return df.join(right, F.col(on) == F.col("_on"), "left").withColumn(column, F.coalesce("_known", column)).drop("_on", "_known")
 
 
-def resolved(df: DataFrame, dim: DataFrame, name: str, key: str, as_key: str) -> DataFrame:
+def resolved(df: DataFrame, dim: DataFrame, name: str, key: str, as_key: str, dim_name: str = "name") -> DataFrame:
     """Names replaced by keys; rows of unknown names go."""
-    return df.join(dim.select(F.col("name").alias(name), F.col(key).alias(as_key)), name).drop(name)
+    return df.join(dim.select(F.col(dim_name).alias(name), F.col(key).alias(as_key)), name).drop(name)
 
 
 def aligned(now: DataFrame, before: DataFrame, key: str, values: Sequence[str]) -> DataFrame:
@@ -74,3 +74,8 @@ def mismatched(reviews: DataFrame, summaries: DataFrame) -> DataFrame:
     first = F.split_part(F.col("_name"), F.lit(" "), F.lit(1))
     apart = ~F.expr("_name ILIKE concat('%', company_name, '%')") & ~F.contains(F.lower("company_name"), F.lower(first))
     return reviews.join(s, F.col("branch_id") == F.col("_b")).filter(apart).drop("_b")
+
+
+def purged(reviews: DataFrame, summaries: DataFrame, key: str = "review_id") -> DataFrame:
+    """Reviews without those that ``mismatched`` names; a review stays where company or name is null, or its branch has no summary."""
+    return reviews.join(mismatched(reviews, summaries).select(key).distinct(), key, "left_anti")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -102,3 +104,40 @@ def assembled(head: DataFrame, key: str, parts: dict[str, DataFrame]) -> DataFra
         rows = part.groupBy(F.col(key).alias("_key")).agg(F.sort_array(F.collect_list(F.struct(*columns))).alias(name))
         out = out.join(rows, F.col(key) == F.col("_key"), "left").drop("_key")
     return out.select(key, F.to_json(F.struct(*[c for c in out.columns if c != key])).alias("report"))
+
+
+def windows(reviews: DataFrame, branch: str, date: str, months: Mapping[str, int]) -> DataFrame:
+    """For each branch and label: start and end (its day after the last review) of so many months, and before, the start of the equal length ahead of it."""
+    last = reviews.filter(F.col(date).isNotNull()).groupBy(branch).agg((F.max(F.col(date).cast("date")) + F.expr("interval 1 day")).cast("date").alias("end"))
+    pairs = F.explode(F.array(*[F.struct(F.lit(label).alias("label"), F.lit(n).alias("months")) for label, n in months.items()]))
+    spans = last.withColumn("w", pairs).select(branch, "w.label", F.add_months("end", -F.col("w.months")).alias("start"), "end")
+    return spans.withColumn("before", F.date_sub("start", F.date_diff("end", "start")))
+
+
+def window_trend(reviews: DataFrame, spans: DataFrame, branch: str, date: str, positive: Column, bucket_days: int = 32, config: EngineConfig = DEFAULT) -> DataFrame:
+    """Positive percent of each branch's windows and of the equal lengths ahead of them, with change and direction; all branches and labels in one pass.
+
+    Reviews are counted by day first; a window meets the days of its branch by buckets of days, so the join has only equal keys.  Windows are half-open.
+    Without a review ahead of it a window has null for what came before, the change and the direction; without one inside, too.
+    """
+    days = reviews.filter(F.col(date).isNotNull()).groupBy(branch, F.col(date).cast("date").alias("_day")).agg(F.count(F.lit(1)).alias("_n"), F.count_if(positive).alias("_p"))
+    bucket = lambda day: F.floor(F.datediff(day, F.lit("1970-01-01").cast("date")) / bucket_days)
+    days = days.withColumn("_bucket", bucket(F.col("_day")))
+    wide = spans.withColumn("_bucket", F.explode(F.sequence(bucket(F.col("before")), bucket(F.date_sub("end", 1)))))
+    keys = [branch, "label", "start", "end", "before"]
+    now, ahead = F.col("_day") >= F.col("start"), F.col("_day") < F.col("start")
+    met = wide.join(days, [branch, "_bucket"], "left")
+    inside = (F.col("_day") >= F.col("before")) & (F.col("_day") < F.col("end"))
+    total = lambda column, when: F.coalesce(F.sum(F.when(inside & when, F.col(column))), F.lit(0))
+    got = met.groupBy(*keys).agg(total("_n", now).alias("review_count"), total("_p", now).alias("positive_count"), total("_n", ahead).alias("before_count"), total("_p", ahead).alias("before_positive"))
+    known = (F.col("review_count") > 0) & (F.col("before_count") > 0)
+    got = got.withColumns({"ratio": numbers.percent(F.col("positive_count"), F.col("review_count")), "before_ratio": F.when(F.col("before_count") > 0, numbers.percent(F.col("before_positive"), F.col("before_count")))})
+    got = got.withColumn("change", F.when(known, F.col("ratio") - F.col("before_ratio")))
+    direction = F.when(F.col("change") >= config.trend_points, "up").when(F.col("change") <= -config.trend_points, "down").when(F.col("change").isNotNull(), "stable")
+    return got.withColumn("direction", direction)
+
+
+def recommended_window(trends: DataFrame, branch: str, months: Mapping[str, int], config: EngineConfig = DEFAULT) -> DataFrame:
+    """Of each branch the shortest window with enough reviews, else 'all'."""
+    enough = F.when(F.col("review_count") >= config.min_reviews, F.element_at(F.create_map(*[F.lit(x) for pair in months.items() for x in pair]), F.col("label")))
+    return trends.groupBy(branch).agg(F.coalesce(F.min_by("label", enough), F.lit("all")).alias("recommended"))
