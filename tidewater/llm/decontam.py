@@ -6,7 +6,7 @@ shifts by the block of the last two words of the place looked at skips places wh
 bucket of patterns that end in this block, a table by their first block picks the few that may be meant, and comparing all their words
 decides.
 
-Items reach the tasks as broadcast blocks of at most ``block_bytes`` bytes of words, measured before they are collected; documents are
+Items reach the tasks as broadcast blocks of at most ``block_bytes`` bytes of words, which the driver fills one after the other; documents are
 read once for each block, and with one block (the usual benchmark) nothing is shuffled.  Items longer than a piece are cut into pieces
 that share n - 1 words, so that no piece, and so no block, is larger than its bound.
 
@@ -145,20 +145,22 @@ def _cut(n: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch
 
 
 def blocks(items: DataFrame, n: int, block_bytes: int) -> Iterator[list[tuple[str, bytes]]]:
-    """The distinct pieces of all items in blocks of at most block_bytes (or one piece), each measured by Spark before it comes to the driver."""
+    """The distinct pieces of all items in blocks of at most block_bytes (or one piece); the last may be empty."""
     chosen = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), F.col("text").cast("string").alias("text"))
     pieces = store(chosen.mapInArrow(_cut(n), "item string, piece binary").distinct())
     size = F.octet_length("piece") + F.octet_length("item")
     total = pieces.agg(F.sum(size)).first()[0] or 0
-    count = max(1, -(-int(total) // block_bytes))
-    while True:
-        of = pieces.withColumn("block", F.pmod(F.xxhash64("item", "piece"), F.lit(count)))
-        crowded = of.groupBy("block").agg(F.sum(size).alias("size"), F.count(F.lit(1)).alias("n")).filter((F.col("size") > block_bytes) & (F.col("n") > 1))
-        if crowded.isEmpty():
-            break
-        count *= 2
-    for k in range(count):
-        yield [(r["item"], r["piece"]) for r in of.filter(F.col("block") == k).select("item", "piece").collect()]
+    # Partitions of about a block each, of which the driver holds one at a time
+    block: list[tuple[str, bytes]] = []
+    held = 0
+    for r in pieces.repartition(max(1, -(-int(total) // block_bytes)), "item", "piece").toLocalIterator():
+        more = len(r["item"].encode()) + len(r["piece"])
+        if block and held + more > block_bytes:
+            yield block
+            block, held = [], 0
+        block.append((r["item"], bytes(r["piece"])))
+        held += more
+    yield block
 
 
 _built: dict[str, Patterns] = {}

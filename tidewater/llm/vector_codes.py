@@ -151,7 +151,7 @@ def _smallest(shape: Shape, entries: int) -> Callable[[Iterator[pa.RecordBatch]]
             column = batch.column("vec_id").take(pa.array(at))
             ids = np.concatenate([ids, column.fill_null(0).to_numpy(zero_copy_only=False)])
             blank = np.concatenate([blank, column.is_null().to_numpy(zero_copy_only=False)])
-            whole = np.concatenate([whole, x.reshape(len(at), -1)])
+            whole = np.concatenate([whole, x.reshape(len(at), shape.parts * shape.width)])
             if len(ids) > entries:
                 order = np.lexsort((ids, blank))
                 last = order[entries - 1]
@@ -208,7 +208,7 @@ def _assign(shape: Shape, books: list[Codebook], first: bool, last: bool) -> Cal
             if last:
                 held = [none(pa.binary()), none(pa.bool_()), _packed(new), none(pa.binary())]
             else:
-                flat = x.reshape(n, -1)
+                flat = x.reshape(n, shape.parts * shape.width)
                 big = (np.abs(flat) >= 1 << 15).any(axis=1)
                 narrow, whole = flat.astype(np.int16), flat.astype(np.int32)
                 held = [pa.array([(whole if b else narrow)[i].tobytes() for i, b in enumerate(big.tolist())], pa.binary()), pa.array(big, pa.bool_()), _packed(new), _packed(low)]
