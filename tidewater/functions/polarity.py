@@ -297,6 +297,11 @@ def unified(text: Column, registry: Registry) -> Column:
     return F.when(blank, F.struct(F.lit("neutral").alias("sentiment"), F.lit(0.0).alias("confidence"), F.lit("empty").alias("method"))).otherwise(got)
 
 
+def corrected(judged: Column, *ratings: Column) -> Column:
+    """A judgement (sentiment, confidence, method) corrected by the ratings that aren't null."""
+    return F.when(S.mean_rating(*ratings).isNull(), judged).otherwise(S.with_ratings(judged["sentiment"], judged["confidence"], *ratings))
+
+
 def rated(text: Column, registry: Registry, *ratings: Column) -> Column:
-    """struct(sentiment, confidence, method) of a text and its ratings in one: ``unified``, corrected by the ratings that aren't null."""
-    return _let(unified(text, registry), lambda u: F.when(S.mean_rating(*ratings).isNull(), u).otherwise(S.with_ratings(u["sentiment"], u["confidence"], *ratings)))
+    """struct(sentiment, confidence, method) of a text and its ratings in one: ``unified``, corrected by them."""
+    return _let(unified(text, registry), lambda u: corrected(u, *ratings))

@@ -48,12 +48,16 @@ def newest_job(jobs: DataFrame, key: Sequence[str], status: str, states: Sequenc
 
 
 def new_or_all(reviews: DataFrame, branch: str, is_new: str, order: Sequence[Column], offset: int, limit: int) -> DataFrame:
-    """A page of each branch's new reviews, or of all where it has none, with the number of those (total) and whether it fell back."""
-    of = Window.partitionBy(branch)
-    some = F.coalesce(F.max(F.col(is_new).cast("int")).over(of), F.lit(0)) == 1
-    shown = reviews.withColumn("fell_back", ~some).filter(F.col(is_new) | F.col("fell_back"))
-    ranked = shown.withColumns({"total": F.count(F.lit(1)).over(of), "place": F.row_number().over(of.orderBy(*order))})
-    return ranked.filter((F.col("place") > offset) & (F.col("place") <= offset + limit))
+    """A page of each branch's new reviews, or of all where it has none, with the number of those (total) and whether it fell back.
+
+    Branches are counted first and joined back; the rank alone is a window, which Spark cuts to the page's end in each task before the shuffle, so a
+    frequent branch sends no more than that from a task.  A null branch is one of its own.
+    """
+    counts = reviews.groupBy(F.col(branch).alias("_branch")).agg(F.count_if(F.col(is_new)).alias("_new"), F.count(F.lit(1)).alias("_all"))
+    counts = counts.select("_branch", (F.col("_new") == 0).alias("fell_back"), F.when(F.col("_new") == 0, F.col("_all")).otherwise(F.col("_new")).alias("total"))
+    shown = reviews.join(counts, F.col(branch).eqNullSafe(F.col("_branch"))).drop("_branch").filter(F.col(is_new) | F.col("fell_back"))
+    ranked = shown.withColumn("place", F.row_number().over(Window.partitionBy(branch).orderBy(*order))).filter(F.col("place") <= offset + limit)
+    return ranked.filter(F.col("place") > offset)
 
 
 def pick(branches: DataFrame, key: str, name: str | None = None, region: str | None = None, prefix: str | None = None) -> DataFrame:

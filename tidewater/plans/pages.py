@@ -104,8 +104,8 @@ def category_mappings(spark: SparkSession, folder: str) -> DataFrame:
     """Mappings of tags whose category is among some, by a semi join."""
     tags = tpch.parts(spark, folder).select("part_id", "category", F.explode(F.split("part_name", " ")).alias("tag"))
     categories = table(spark, folder, "part").filter("p_size >= 45").select(F.col("p_type").alias("category"))
-    reviews = tpch.reviews(spark, folder).withColumn("review", F.monotonically_increasing_id())
-    got = listings.by_name(reviews.select("review", "part_id"), reviews.select("review"), tags, categories, "review", "part_id", "category")
+    reviews = tpch.reviews(spark, folder).withColumn("review", F.struct("order_id", "line"))
+    got = listings.by_name(reviews.select("review", "part_id"), reviews.select("review").distinct(), tags, categories, "review", "part_id", "category")
     return got.groupBy("tag").agg(F.count(F.lit(1)).alias("mappings"))
 
 
@@ -332,11 +332,11 @@ def report_marks(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "documents").select("doc_id", text.strip_report_marks(F.col("text")).alias("plain"))
 
 
-# Korean texts: the test tables have none, so these run over the survey's fixtures
+# Korean texts: the test tables have none, so a document's words choose, by their hashes, which of some reviews it says
 
 REVIEWS = (
-    (1, "직원분이 정말 친절하셨고 차량도 깨끗해서 만족합니다"), (2, "가격은 저렴한데 차가 너무 더러웠어요. 담배냄새가 심했습니다"), (3, "배차가 늦어서 한참을 기다렸습니다. 직원도 불친절했어요"),
-    (4, "걱정했는데 괜한 걱정이었어요. 깨끗하고 친절해서 감사합니다"), (5, "안심하고 이용했어요"), (6, "보험이 있어서 안심했어요"), (7, "처리가 빠르네요"), (8, None), (9, ""),
+    "직원분이 정말 친절하셨고 차량도 깨끗해서 만족합니다", "가격은 저렴한데 차가 너무 더러웠어요. 담배냄새가 심했습니다", "배차가 늦어서 한참을 기다렸습니다. 직원도 불친절했어요", "걱정했는데 괜한 걱정이었어요. 깨끗하고 친절해서 감사합니다",
+    "안심하고 이용했어요", "보험이 있어서 안심했어요", "처리가 빠르네요", "카톡 문의주세요", "",
 )
 #: A small registry of aspects; a full one is a parameter.
 REGISTRY = {
@@ -345,38 +345,49 @@ REGISTRY = {
 }
 
 
-def _korean(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(REVIEWS), "review_id long, content string")
+def _korean(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents, each as the reviews that its words choose, in the order of the list; a null text stays null."""
+    said = F.array(*[F.lit(r) for r in REVIEWS])
+    places = F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(r"\S+"), F.lit(0)), lambda w: F.pmod(F.length(w) * 7 + F.ascii(w), F.lit(len(REVIEWS))))))
+    return table(spark, folder, "documents").select(F.col("doc_id").alias("review_id"), F.array_join(F.transform(F.filter(places, lambda i: i % 4 != F.size(places) % 4), lambda i: F.get(said, i)), ". ").alias("content"))
 
 
-_SEEN = ((1, "positive", 0.85), (2, "negative", 0.9), (3, "negative", 0.75), (4, "positive", 0.9), (5, "negative", 0.7), (6, "negative", 0.7), (7, "positive", 0.7), (8, "neutral", 0.0), (9, "neutral", 0.0))
+def _judged_once(rows: DataFrame, judged: Column) -> DataFrame:
+    """review_id and what a column makes of content, worked out once for each different content."""
+    found = rows.select("content").distinct().withColumn("s", judged).withColumnRenamed("content", "_content")
+    return rows.join(found, F.col("content").eqNullSafe(F.col("_content"))).select("review_id", "s")
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"({i}::BIGINT, '{s}', {c}::DOUBLE)" for i, s, c in _SEEN) + ") t(review_id, sentiment, confidence)")
+@query()
 def korean_text_sentiment(spark: SparkSession, folder: str) -> DataFrame:
-    """Polarity of whole texts; the SQL holds the values worked out by hand from the rules."""
-    return _korean(spark).select("review_id", polarity.of_text(F.col("content")).alias("s")).select("review_id", "s.sentiment", F.round("s.confidence", 6).alias("confidence"))
+    """Polarity of whole texts."""
+    return _judged_once(_korean(spark, folder), polarity.of_text(F.col("content"))).select("review_id", "s.sentiment", F.round("s.confidence", 6).alias("confidence"))
+
+
+@query()
+def korean_rated_sentiment(spark: SparkSession, folder: str) -> DataFrame:
+    """Polarity of texts with their ratings: three digits of the id stand for them, 0 for none."""
+    digit = lambda n: F.when(F.floor(F.col("review_id") / n) % 6 > 0, F.floor(F.col("review_id") / n) % 6)
+    known = _judged_once(_korean(spark, folder), polarity.unified(F.col("content"), REGISTRY))
+    rated = known.select("review_id", polarity.corrected(F.col("s"), digit(1), digit(6), digit(36)).alias("s"))
+    return rated.select("review_id", "s.sentiment", F.round("s.confidence", 6).alias("confidence"), "s.method")
 
 
 @query()
 def korean_aspects(spark: SparkSession, folder: str) -> DataFrame:
     """A row for each review and aspect, with its opinion, polarity and keywords."""
-    return _korean(spark).select("review_id", F.inline(polarity.analysed(F.col("content"), REGISTRY))).withColumn("keywords", F.array_join("keywords", ","))
+    return _judged_once(_korean(spark, folder), polarity.analysed(F.col("content"), REGISTRY)).select("review_id", F.inline("s")).withColumn("keywords", F.array_join("keywords", ","))
 
 
 @query()
 def korean_tags(spark: SparkSession, folder: str) -> DataFrame:
     """Tags of each review with further keywords, and the overall polarity."""
-    words = text.keywords(F.col("content"))
-    tags = polarity.hybrid(F.col("content"), words, lambda w: polarity.rule_tag(w, w, REGISTRY), REGISTRY)
-    view = _korean(spark).select("review_id", tags.alias("tags")).withColumn("o", polarity.overview(F.col("tags")))
-    return view.select("review_id", "o.overall", "o.sentiment", "o.confidence", F.array_join("o.aspects", ",").alias("aspects"), F.size("tags").alias("n_tags"))
+    tags = polarity.hybrid(F.col("content"), text.keywords(F.col("content")), lambda w: polarity.rule_tag(w, w, REGISTRY), REGISTRY)
+    view = _judged_once(_korean(spark, folder), tags).withColumn("o", polarity.overview(F.col("s")))
+    return view.select("review_id", "o.overall", "o.sentiment", "o.confidence", F.array_join("o.aspects", ",").alias("aspects"), F.size("s").alias("n_tags"))
 
 
 @query()
 def korean_hygiene(spark: SparkSession, folder: str) -> DataFrame:
     """Reviews without abuse and advertising."""
-    rows = _korean(spark).unionByName(spark.createDataFrame([(10, "카톡 문의주세요"), (11, "미친 가격")], "review_id long, content string"))
-    return filters.without_words(rows, "content", [*packs.PROFANITY, *packs.ADVERTISING]).select("review_id")
-
-
+    return filters.without_words(_korean(spark, folder), "content", [*packs.PROFANITY, *packs.ADVERTISING]).select("review_id")

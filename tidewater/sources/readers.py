@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text
+from .versioned import work_folder
 
 # Upload headers, Korean and English.
 UPLOAD_HEADERS = {
@@ -25,14 +26,23 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def csv(spark: SparkSession, path: str) -> DataFrame:
-    """A CSV file with a header, every value a string, quotes doubled, lines inside quotes, a byte-order mark dropped."""
+    """A CSV file with a header, every value a string, quotes doubled, lines inside quotes, a byte-order mark dropped.
+
+    As lines may stand inside quotes, a file is read by one task: many rows should come as many files.
+    """
     df = spark.read.csv(path, header=True, inferSchema=False, multiLine=True, escape='"', encoding="UTF-8")
     return df.toDF(*[c.lstrip("﻿").strip() for c in df.columns])
 
 
 def numbered(df: DataFrame, name: str, first: int = 0) -> DataFrame:
-    """Rows with their place in the order of the partitions.  Places inside a partition are its own; only one row a partition is summed in one task."""
+    """Rows with their place in the order of the partitions.  Places inside a partition are its own; only one row a partition is summed in one task.
+
+    The rows are written with their places once, so that both sides of the join see the same ones.
+    """
     spread = df.withColumn("_m", F.monotonically_increasing_id()).withColumns({"_p": F.shiftright("_m", 33), "_i": F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))})
+    path = work_folder(df.sparkSession)
+    spread.write.parquet(path)
+    spread = df.sparkSession.read.schema(spread.schema).parquet(path)
     ahead = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
     counts = spread.groupBy("_p").count().select("_p", F.coalesce(F.sum("count").over(ahead), F.lit(0)).alias("_before"))
     return spread.join(counts, "_p").withColumn(name, F.col("_before") + F.col("_i") + first).drop("_m", "_p", "_i", "_before")
