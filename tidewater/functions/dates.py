@@ -82,3 +82,8 @@ def day_chunk(ts: Column) -> Column:
 def rent_class(start: Column, end: Column, short: int = 15, month: int = 30) -> Column:
     days = whole_days_between(start, end)
     return F.when(days < short, "SHORT").when(days < month, "MONTH").when(days.isNotNull(), "SUBSCRIPTION")
+
+
+def korean_day(day: Column) -> Column:
+    """A day as a report says it."""
+    return F.date_format(day, "yyyy'년' MM'월' dd'일'")

@@ -138,7 +138,7 @@ def count_of(text: Column, word: str) -> Column:
 
 def sentences(text: Column) -> Column:
     """Number of non-blank parts between full stops."""
-    return F.size(F.filter(F.split(text, r"\."), lambda s: F.trim(s) != ""))
+    return F.size(F.filter(F.split(text, r"\."), lambda s: s.rlike(_UNICODE + r"\S")))
 
 
 def first_containing(text: Column, words: Sequence[str], default: str | None = None) -> Column:

@@ -59,8 +59,9 @@ def named(df: DataFrame, column: str, keyword: str, id_column: str | None = None
 
 
 def valid_reviews(df: DataFrame, hidden: Sequence[str] = ("blind", "deleted", "블라인드", "삭제"), least: int = 5) -> DataFrame:
-    """Contents of some length that aren't hidden."""
-    return df.filter((F.length(F.trim("content")) >= least) & ~F.coalesce(F.lower(F.trim("status")).isin(list(hidden)), F.lit(False)))
+    """Contents of some length that aren't hidden, by their status or, where the table has one, by their flag."""
+    blind = F.coalesce(F.col("is_blind").cast("boolean"), F.lit(False)) if "is_blind" in df.columns else F.lit(False)
+    return df.filter((F.length(F.trim("content")) >= least) & ~blind & ~F.coalesce(F.lower(F.trim("status")).isin(list(hidden)), F.lit(False)))
 
 
 def without_words(df: DataFrame, column: str, words: Sequence[str]) -> DataFrame:
@@ -117,3 +118,8 @@ def active(df: DataFrame, column: str = "deleted_at", only: bool = True) -> Data
 def period_filter(df: DataFrame, date: str, period: str, as_of: dt.date) -> DataFrame:
     first, last = dates.resolve_period(period, as_of)
     return df.filter(dates.half_open(F.col(date), first, last + dt.timedelta(days=1)))
+
+
+def json_not_empty(document: Column) -> Column:
+    """Whether a JSON object has a key; null, broken and empty ones have none."""
+    return F.coalesce(F.size(F.json_object_keys(document)) > 0, F.lit(False))

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import numbers, text
+from ..functions import numbers, sentiment, text
 from . import aggregates as agg
 from . import merge
 
@@ -255,3 +255,55 @@ def counted_in(monthly: DataFrame, events: DataFrame, date: str, *keys: str) ->
 
 def cache_key(*parts: Column) -> Column:
     return F.sha2(F.concat_ws("\u001f", *parts), 256)
+
+
+def options(branches: DataFrame, companies: DataFrame, region: str, group: Column, key: str, name: str, company: str, order: Sequence[str]) -> DataFrame:
+    """What filters offer, as rows of kind, place, value and parent: regions by name, their groups in a given order (regions of other groups have none), companies by name, branches by name with their region.
+
+    Values that are null or empty are no options.  Places are by kind; the lists are of dimensions, not of reviews.
+    """
+    some = branches.filter(F.coalesce(F.trim(region), F.lit("")) != "")
+    place = F.coalesce(F.nullif(F.array_position(F.array(*[F.lit(g) for g in order]), F.col("value")), F.lit(0)), F.lit(0))
+    text = F.lit(None).cast("string")
+    rows = lambda df, kind, value, parent, sort: df.select(F.lit(kind).alias("kind"), value.alias("value"), parent.alias("parent"), sort.alias("_sort")).distinct()
+    regions = some.select(F.col(region).alias("_region"), group.alias("_group")).distinct()
+    groups = rows(regions, "group", F.col("_group"), text, text).withColumn("_at", place).filter(F.col("_at") > 0)
+    listed = rows(regions, "region", F.col("_region"), F.col("_group"), F.col("_region"))
+    firms = rows(companies.filter(F.coalesce(company, F.lit("")) != ""), "company", F.col(company), text, F.col(company))
+    shops = branches.filter(F.col(key).isNotNull())
+    shops = rows(shops, "branch", F.col(key).cast("string"), F.col(region), F.concat_ws("|", F.coalesce(name, F.lit("")), F.lpad(F.col(key).cast("string"), 20, "0")))
+    plain = listed.unionByName(firms).unionByName(shops).withColumn("_at", F.lit(0).cast("long"))
+    ranked = plain.unionByName(groups.withColumn("_at", F.col("_at").cast("long")))
+    return ranked.select("kind", F.row_number().over(Window.partitionBy("kind").orderBy("_at", F.asc_nulls_last("_sort"), "value")).alias("place"), "value", "parent")
+
+
+RATINGS = ("rating_service", "rating_car", "rating_convenience")
+
+
+def display_rows(df: DataFrame, judged: Column | None = None) -> DataFrame:
+    """Reviews as they are shown: names and contents '' for null, ratings as numbers, dates as ISO text, and the sentiment stored, or else worked out from ratings and text.
+
+    judged is the polarity of the text, null where it isn't known.
+    """
+    ratings = [F.col(c).cast("string").try_cast("double") for c in RATINGS]
+    shown = sentiment.shown(F.col("sentiment"), F.lit(None).cast("string") if judged is None else judged, *ratings)
+    iso = lambda c: F.date_format(F.col(c), "yyyy-MM-dd'T'HH:mm:ss")
+    return df.select(
+        "review_id", "reservation_id", "branch_id", *[F.coalesce(c, F.lit("")).alias(c) for c in ("branch_name", "company_name", "content")], shown.alias("sentiment"),
+        *[iso(c).alias(c) for c in ("review_date", "rental_date", "return_date")], *[r.alias(c) for r, c in zip(ratings, RATINGS, strict=True)], "car_model", F.coalesce("is_new", F.lit(False)).alias("is_new"),
+    )
+
+
+def samples(reviews: DataFrame, key: str, content: str, order: Sequence[Column], n: int = 8, most: int = 250) -> DataFrame:
+    """Of each key the first n contents that aren't blank, cut to some characters, as an array in order; n and most are the feature."""
+    kept = reviews.filter(F.trim(F.coalesce(content, F.lit(""))) != "")
+    ranked = kept.withColumn("_rank", F.row_number().over(Window.partitionBy(key).orderBy(*order))).filter(F.col("_rank") <= n)
+    one = F.struct("_rank", text.excerpt(F.col(content), most).alias("_text"))
+    return ranked.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(one)), lambda x: x["_text"]).alias("samples"))
+
+
+def with_company(summaries: DataFrame, companies: DataFrame, branch: str, company: str, region: str) -> DataFrame:
+    """Summaries that have an id and a name, with their branch's company and region, '' where these aren't known; companies has a branch once."""
+    right = companies.select(F.col(branch).alias("_b"), F.col(company).alias("_company"))
+    kept = summaries.filter(F.coalesce(branch, F.lit(0)) != 0).filter(F.coalesce("branch_name", F.lit("")) != "")
+    return kept.join(right, F.col(branch) == F.col("_b"), "left").select(branch, "branch_name", F.coalesce("_company", F.lit("")).alias(company), F.coalesce(region, F.lit("")).alias(region)).orderBy("branch_name", branch)

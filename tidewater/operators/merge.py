@@ -118,3 +118,24 @@ def expire_jobs(jobs: DataFrame, as_of: Column, keep_days: int = 7, stale_minute
 def decayed(branch_tags: DataFrame, rate: float = 0.01, floor: float = 0.01) -> DataFrame:
     """Weights of whole-period tags one day later."""
     return branch_tags.withColumn("weighted_score", F.when(F.col("period_type") == "all", numbers.daily_decay(F.col("weighted_score"), rate, floor)).otherwise(F.col("weighted_score")))
+
+
+def newly_read(base: DataFrame, ids: DataFrame | None = None, key: str = "review_id") -> DataFrame:
+    """One row, changed: how many rows ``mark_read`` touches with the same arguments.
+
+    Without ids these are the rows that are new; with ids all rows of them, new or not.
+    """
+    hit = base.filter(F.coalesce("is_new", F.lit(False))) if ids is None else base.join(ids.select(key).distinct(), key, "left_semi")
+    return hit.agg(F.count(F.lit(1)).alias("changed"))
+
+
+# Columns of a summary that may be set one by one.
+UPDATABLE = ("summary_all", "summary_1y", "summary_6m", "summary_3m", "summary_1m", "status", "keywords")
+
+
+def patched(base: DataFrame, values: Mapping[str, Column], when: Column, allowed: Sequence[str] = UPDATABLE) -> DataFrame:
+    """Some columns set on the rows that a condition holds for; ValueError for a column that may not be set or isn't there."""
+    if wrong := [c for c in values if c not in allowed or c not in base.columns]:
+        raise ValueError(f"not to be updated: {', '.join(wrong)}")
+    hit = F.coalesce(when, F.lit(False))
+    return base.withColumns({c: F.when(hit, v).otherwise(F.col(c)) for c, v in values.items()})

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -141,3 +141,69 @@ def recommended_window(trends: DataFrame, branch: str, months: Mapping[str, int]
     """Of each branch the shortest window with enough reviews, else 'all'."""
     enough = F.when(F.col("review_count") >= config.min_reviews, F.element_at(F.create_map(*[F.lit(x) for pair in months.items() for x in pair]), F.col("label")))
     return trends.groupBy(branch).agg(F.coalesce(F.min_by("label", enough), F.lit("all")).alias("recommended"))
+
+
+def grouped_tags(recent: DataFrame, whole: DataFrame, branch: str, config: EngineConfig = DEFAULT, n: int = 15, other: str = "기타") -> DataFrame:
+    """Of each branch its n most used tags by category, as rows of category, place and tags (name, positive and negative percent, total).
+
+    recent and whole have branch, tag, category and polarity counts, one row a tag; a branch with too few recent tags shows those of whole instead.
+    Categories stand in the order of their first tag, tags by total, then name; a null category is the other one, and tags without a name are left
+    out after the cut.
+    """
+    def summed(df: DataFrame, name: str) -> DataFrame:
+        return df.select(branch, "tag", F.coalesce("category", F.lit(other)).alias("category"), "positive_count", "negative_count", "total_count", F.lit(name).alias("_of"))
+
+    enough = recent.groupBy(branch).agg(F.count(F.lit(1)).alias("_tags")).select(F.col(branch).alias("_branch"), F.when(F.col("_tags") >= config.min_tag_rows, "recent").otherwise("whole").alias("_use"))
+    both = summed(recent, "recent").unionByName(summed(whole, "whole")).join(enough, F.col(branch).eqNullSafe(F.col("_branch")), "left")
+    rows = both.filter(F.col("_of") == F.coalesce("_use", F.lit("whole"))).drop("_branch", "_use", "_of")
+    first = top_n(rows, [branch], [F.desc("total_count"), F.asc("tag")], n).filter(F.coalesce("tag", F.lit("")) != "")
+    entry = F.struct(
+        "rank", F.struct(F.col("tag").alias("name"), numbers.percent(F.col("positive_count"), F.col("total_count")).alias("positive_ratio"), numbers.percent(F.col("negative_count"), F.col("total_count")).alias("negative_ratio"), F.col("total_count").alias("total")).alias("tag"),
+    )
+    grouped = first.groupBy(branch, "category").agg(F.min("rank").alias("_first"), F.array_sort(F.collect_list(entry)).alias("_tags"))
+    place = F.row_number().over(Window.partitionBy(branch).orderBy("_first"))
+    return grouped.select(branch, "category", place.alias("place"), F.transform("_tags", lambda x: x["tag"]).alias("tags"))
+
+
+# Classes of cars, which stand for models where none is known.
+CAR_CLASSES = ("경형", "소형", "준중형", "중형", "대형", "SUV", "RV", "수입")
+
+
+def model_ranking(tags: DataFrame, analysis: DataFrame, categories: Sequence[str], n: int = 5, per_model: int = 2, classes: Sequence[str] = CAR_CLASSES, unit: str = "건") -> DataFrame:
+    """The most liked and most disliked models: list, place, model, count, ratio (rows of the polarity) and tags.
+
+    tags has car_model, tag, category and polarity counts, one row a tag of a model; analysis has car_model, count, like_ratio, dislike_ratio, top_praise,
+    top_issue.  Of a model only tags of the given categories count, and of these those that aren't named like their category, if it has such ones.  A model's
+    count is that of analysis, unless it is 0 or missing.  Where tags are empty or know classes of cars only, everything is taken from analysis, models
+    without a name or count left out.  Equal models stand by name.
+    """
+    known = tags.agg(F.coalesce(F.bool_and(F.col("car_model").isin(*classes)), F.lit(True)).alias("_from_analysis"))
+    kept = tags.filter(F.col("category").isin(*categories) & (F.col("total_count") > 0)).withColumn("_sub", F.col("tag") != F.col("category"))
+    subs = kept.groupBy(F.col("car_model").alias("_m")).agg(F.bool_or("_sub").alias("_has_sub"))
+    shown = kept.join(subs, F.col("car_model") == F.col("_m")).filter(F.col("_sub") | ~F.col("_has_sub"))
+
+    def best(polarity: str) -> DataFrame:
+        c = f"{polarity}_count"
+        ranked = top_n(shown.filter(F.col(c) > 0), ["car_model"], [F.desc(c), F.asc("tag")], per_model)
+        label = F.concat("tag", F.lit("("), F.col(c).cast("string"), F.lit(f"{unit})"))
+        return ranked.groupBy(F.col("car_model").alias(f"_{polarity}")).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", label.alias("s")))), lambda x: x["s"]).alias(f"{polarity}_tags"))
+
+    none = F.array().cast("array<string>")
+    models = tags.groupBy("car_model").agg(F.sum("total_count").alias("_total"))
+    sums = shown.groupBy(F.col("car_model").alias("_s")).agg(F.sum("positive_count").alias("positive"), F.sum("negative_count").alias("negative"))
+    own = analysis.select(F.col("car_model").alias("_a"), F.nullif("count", F.lit(0)).alias("_count"))
+    raw = models.join(own, F.col("car_model") == F.col("_a"), "left").join(sums, F.col("car_model") == F.col("_s"), "left")
+    for p in ("positive", "negative"):
+        raw = raw.join(best(p), F.col("car_model") == F.col(f"_{p}"), "left")
+    raw = raw.select("car_model", F.coalesce("_count", "_total").alias("count"), *[F.coalesce(p, F.lit(0)).alias(p) for p in ("positive", "negative")], *[F.coalesce(f"{p}_tags", none).alias(f"{p}_tags") for p in ("positive", "negative")])
+    share = lambda ratio: F.floor(F.col("count") * F.coalesce(ratio, F.lit(0)) / 100)
+    one = lambda c: F.when(F.coalesce(c, F.lit("")) != "", F.array(c)).otherwise(none)
+    plain = analysis.filter((F.coalesce("car_model", F.lit("")) != "") & (F.coalesce("count", F.lit(0)) != 0)).select("car_model", "count", share("like_ratio").alias("positive"), share("dislike_ratio").alias("negative"), one("top_praise").alias("positive_tags"), one("top_issue").alias("negative_tags"))
+    items = raw.withColumn("_mine", F.lit(False)).unionByName(plain.withColumn("_mine", F.lit(True))).join(F.broadcast(known), how="cross").filter(F.col("_mine") == F.col("_from_analysis"))
+
+    def top(name: str, polarity: str, rows: DataFrame) -> DataFrame:
+        order = [F.desc(polarity), F.desc("count"), F.asc("car_model")]
+        first = rows.orderBy(*order).limit(n)
+        return first.select(F.lit(name).alias("list"), F.row_number().over(Window.orderBy(*order)).alias("place"), "car_model", "count", F.col(polarity).alias("ratio"), F.col(f"{polarity}_tags").alias("tags"))
+
+    return top("liked", "positive", items).unionByName(top("disliked", "negative", items.filter(F.col("negative") > 0)))

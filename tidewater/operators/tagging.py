@@ -17,6 +17,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import numbers
 from ..functions import text as T
 from ..functions.tags import OTHER, SUFFIXES
 
@@ -183,3 +184,16 @@ def roll_down(tagged: DataFrame, keys: Sequence[str], subtags: DataFrame | None,
         names = F.when(F.col("_sub").isNotNull() & (F.col("_sub") != F.col("_tag")), F.array("_tag", "_sub")).otherwise(names)
     named = rows.select(*keys, "polarity", F.explode(names).alias("tag"))
     return named.groupBy(*keys, "tag").agg(*[F.count_if(F.col("polarity") == p).alias(f"{p}_count") for p in POLARITIES])
+
+
+def array_weights(tagged: DataFrame, keys: Sequence[str], days: Column, rate: float = 0.01, tags: str = "tags", skip: str | None = None) -> DataFrame:
+    """Keywords of each tag by keys and polarity, and their weight, each keyword decayed by the days of its row; a weight of 0 gives way to the count.
+
+    tagged has a map from tag to struct(positive, negative, neutral) of arrays; null arrays are empty, days below 0 and null ones weigh 1.
+    """
+    entry = F.explode(F.map_entries(tags)).alias("_entry")
+    rows = tagged.select(*keys, numbers.decay(days, rate).alias("_w"), entry).select(*keys, "_w", F.col("_entry.key").alias("tag"), *[F.coalesce(F.size(F.col(f"_entry.value.{p}")), F.lit(0)).alias(f"_{p}") for p in POLARITIES])
+    rows = rows.withColumns({f"_{p}": F.greatest(F.col(f"_{p}"), F.lit(0)) for p in POLARITIES}).withColumn("_n", F.col("_positive") + F.col("_negative") + F.col("_neutral"))
+    kept = rows if skip is None else rows.filter(F.col("tag") != skip)
+    got = kept.groupBy(*keys, "tag").agg(*[F.sum(f"_{p}").alias(f"{p}_count") for p in POLARITIES], F.sum("_n").alias("total_count"), F.sum(F.col("_n") * F.col("_w")).alias("weight"))
+    return got.withColumn("weight", F.when(F.col("weight") == 0, F.col("total_count").cast("double")).otherwise(F.col("weight")))

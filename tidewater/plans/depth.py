@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import dates
+from ..functions import dates, regions, summaries
 from ..operators import aggregates as agg
-from ..operators import history, joins, reports, skew
+from ..operators import history, joins, listings, reports, skew, tagging
 from ..sources.readers import table
 from . import tpch
 from .catalogue import _COUNTS, _percent, query
@@ -229,3 +229,111 @@ def branch_recommended(spark: SparkSession, folder: str) -> DataFrame:
     rows = tpch.reviews(spark, folder)
     trends = reports.window_trend(rows, reports.windows(rows, "branch_id", "review_date", MONTHS), "branch_id", "review_date", F.col("sentiment") == "positive")
     return reports.recommended_window(trends, "branch_id", MONTHS)
+
+
+# Reports by category and model, and what summaries must keep to
+
+_TAG_SUMS = f"SELECT branch_id, tag, min(category) AS category, {_COUNTS} FROM tagged"
+
+
+@query(
+    f""", recent AS ({_TAG_SUMS} WHERE review_date >= TIMESTAMP '1998-10-01' GROUP BY branch_id, tag), whole AS ({_TAG_SUMS} GROUP BY branch_id, tag), n AS (SELECT branch_id, count(*) AS n FROM recent GROUP BY branch_id),
+    used AS (SELECT r.* FROM recent r JOIN n USING (branch_id) WHERE n >= 3 UNION ALL SELECT w.* FROM whole w LEFT JOIN n USING (branch_id) WHERE coalesce(n, 0) < 3),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY branch_id ORDER BY total_count DESC, tag) AS rank FROM used QUALIFY rank <= 15),
+    cats AS (SELECT branch_id, category, min(rank) AS first, string_agg(concat(tag, ' +', CAST({_percent("positive_count", "total_count")} AS VARCHAR), ' -', CAST({_percent("negative_count", "total_count")} AS VARCHAR), ' ', CAST(total_count AS VARCHAR)), ', ' ORDER BY rank) AS tags FROM ranked GROUP BY branch_id, category)
+    SELECT branch_id, category, CAST(row_number() OVER (PARTITION BY branch_id ORDER BY first) AS INTEGER) AS place, tags FROM cats""",
+    "tagged",
+)
+def branch_grouped_tags(spark: SparkSession, folder: str) -> DataFrame:
+    """Each branch's most used tags of late by category, or those of all time where it has too few."""
+    rows = tpch.tagged(spark, folder)
+    summed = lambda df: df.groupBy("branch_id", "tag").agg(F.min("category").alias("category"), *agg.polarity_counts())
+    recent = summed(rows.filter(F.col("review_date") >= F.lit("1998-10-01").cast("timestamp_ntz")))
+    got = reports.grouped_tags(recent, summed(rows), "branch_id")
+    line = lambda x: F.concat(x["name"], F.lit(" +"), x["positive_ratio"].cast("string"), F.lit(" -"), x["negative_ratio"].cast("string"), F.lit(" "), x["total"].cast("string"))
+    return got.withColumn("tags", F.array_join(F.transform("tags", line), ", "))
+
+
+_MODEL_TAGS = f"model_tags AS (SELECT car_model, CASE WHEN part_id % 3 = 0 THEN category ELSE tag END AS tag, min(category) AS category, {_COUNTS} FROM tagged GROUP BY 1, 2)"
+
+
+def _liked(name: str, polarity: str, where: str = "true") -> str:
+    return (
+        f"SELECT '{name}' AS list, CAST(row_number() OVER (ORDER BY {polarity} DESC, count DESC, car_model) AS INTEGER) AS place, car_model, count, {polarity} AS ratio, coalesce({polarity}_tags, '') AS tags FROM items WHERE {where} QUALIFY place <= 5"
+    )
+
+
+@query(
+    f""", {_MODEL_TAGS}, kept AS (SELECT *, tag <> category AS sub, bool_or(tag <> category) OVER (PARTITION BY car_model) AS has_sub FROM model_tags WHERE category IN ('ECONOMY', 'PROMO', 'STANDARD') AND total_count > 0),
+    shown AS (SELECT * FROM kept WHERE sub OR NOT has_sub),
+    p AS (SELECT car_model, string_agg(concat(tag, '(', CAST(positive_count AS VARCHAR), '건)'), ', ' ORDER BY positive_count DESC, tag) AS positive_tags FROM (SELECT * FROM shown WHERE positive_count > 0 QUALIFY row_number() OVER (PARTITION BY car_model ORDER BY positive_count DESC, tag) <= 2) GROUP BY car_model),
+    n AS (SELECT car_model, string_agg(concat(tag, '(', CAST(negative_count AS VARCHAR), '건)'), ', ' ORDER BY negative_count DESC, tag) AS negative_tags FROM (SELECT * FROM shown WHERE negative_count > 0 QUALIFY row_number() OVER (PARTITION BY car_model ORDER BY negative_count DESC, tag) <= 2) GROUP BY car_model),
+    a AS (SELECT car_model, count(*) AS count FROM described WHERE price > 90000 GROUP BY car_model),
+    items AS (SELECT m.car_model, CAST(coalesce(nullif(a.count, 0), m.total) AS BIGINT) AS count, CAST(coalesce(s.positive, 0) AS BIGINT) AS positive, CAST(coalesce(s.negative, 0) AS BIGINT) AS negative, positive_tags, negative_tags
+      FROM (SELECT car_model, sum(total_count) AS total FROM model_tags GROUP BY car_model) m LEFT JOIN a USING (car_model) LEFT JOIN (SELECT car_model, sum(positive_count) AS positive, sum(negative_count) AS negative FROM shown GROUP BY car_model) s USING (car_model) LEFT JOIN p USING (car_model) LEFT JOIN n USING (car_model))
+    {_liked("liked", "positive")} UNION ALL {_liked("disliked", "negative", "negative > 0")}""",
+    "tagged", "described",
+)
+def model_ranking(spark: SparkSession, folder: str) -> DataFrame:
+    """The most liked and disliked models by tags of some categories, tags with names of their own first."""
+    name = F.when(F.col("part_id") % 3 == 0, F.col("category")).otherwise(F.col("tag"))
+    tags = tpch.tagged(spark, folder).groupBy("car_model", name.alias("tag")).agg(F.min("category").alias("category"), *agg.polarity_counts())
+    seen = tpch.described(spark, folder).filter("price > 90000").groupBy("car_model").agg(F.count(F.lit(1)).alias("count"))
+    analysis = seen.select("car_model", "count", F.lit(0).alias("like_ratio"), F.lit(0).alias("dislike_ratio"), F.lit("").alias("top_praise"), F.lit("").alias("top_issue"))
+    return reports.model_ranking(tags, analysis, ["ECONOMY", "PROMO", "STANDARD"]).withColumn("tags", F.array_join("tags", ", "))
+
+
+@query(
+    """, d AS (SELECT branch_id, tag, part_id, sentiment, exp(-0.01 * greatest(0, datediff('day', review_date, TIMESTAMP '1998-12-01'))) AS w FROM tagged WHERE tag <> 'red')
+    SELECT branch_id, tag, count(*) FILTER (WHERE sentiment = 'positive') * 2 AS positive_count, count(*) FILTER (WHERE sentiment = 'negative') AS negative_count, count(*) FILTER (WHERE sentiment = 'neutral') AS neutral_count,
+      count(*) + count(*) FILTER (WHERE sentiment = 'positive') AS total_count, round(sum(w * CASE WHEN sentiment = 'positive' THEN 2 ELSE 1 END), 6) AS weight FROM d GROUP BY branch_id, tag""",
+    "tagged",
+)
+def branch_tag_arrays(spark: SparkSession, folder: str) -> DataFrame:
+    """Decayed weights of branches' tags from keyword arrays: a praised tag has two keywords, another one, and one tag is skipped."""
+    none = F.array().cast("array<string>")
+    sides = lambda tag: F.struct(
+        F.when(F.col("sentiment") == "positive", F.array(tag, F.concat(tag, F.lit("+")))).otherwise(none).alias("positive"),
+        *[F.when(F.col("sentiment") == p, F.array(tag)).otherwise(F.lit(None).cast("array<string>")).alias(p) for p in ("negative", "neutral")],
+    )
+    rows = tpch.tagged(spark, folder).select("branch_id", "review_date", F.create_map(F.col("tag"), sides(F.col("tag"))).alias("tags"))
+    days = F.timestamp_diff("DAY", F.col("review_date"), F.lit("1998-12-01").cast("timestamp_ntz"))
+    return tagging.array_weights(rows, ["branch_id"], days, skip="red").withColumn("weight", F.round("weight", 6))
+
+
+@query(
+    """, r AS (SELECT DISTINCT nation AS region, CASE split_part(nation, ' ', 1) WHEN 'UNITED' THEN 'west' WHEN 'CANADA' THEN 'west' WHEN 'SAUDI' THEN 'east' WHEN 'CHINA' THEN 'east' ELSE 'other' END AS g FROM branches),
+    o AS (SELECT 'region' AS kind, region AS value, g AS parent, 0 AS a, region AS s FROM r UNION ALL SELECT DISTINCT 'group', g, NULL, CASE g WHEN 'west' THEN 1 ELSE 2 END, NULL FROM r WHERE g <> 'other'
+      UNION ALL SELECT DISTINCT 'company', c_mktsegment, NULL, 0, c_mktsegment FROM customer UNION ALL SELECT 'branch', CAST(branch_id AS VARCHAR), nation, 0, concat(branch_name, '|', lpad(CAST(branch_id AS VARCHAR), 20, '0')) FROM branches)
+    SELECT kind, CAST(row_number() OVER (PARTITION BY kind ORDER BY a, s NULLS LAST, value) AS INTEGER) AS place, value, parent FROM o""",
+    "branches",
+)
+def filter_lists(spark: SparkSession, folder: str) -> DataFrame:
+    """All that filters offer: regions with their groups, groups in order, companies, and branches."""
+    groups = {"UNITED": "west", "CANADA": "west", "SAUDI": "east", "CHINA": "east"}
+    branches = tpch.branches(spark, folder)
+    return listings.options(branches, table(spark, folder, "customer"), "nation", regions.group(F.col("nation"), groups, "other"), "branch_id", "branch_name", "c_mktsegment", ["west", "east"])
+
+
+_RE_MARKS = "(?m)(?:" + "|".join(summaries.MARKS) + ")"
+
+
+def _errors_sql(mode: str, words: tuple[str, ...]) -> str:
+    b = summaries.BOUNDS[mode]
+    found = ", ".join(f"CASE WHEN contains(lower(t), '{w}') THEN '{w}' END" for w in words)
+    return (
+        f"SELECT doc_id, CASE WHEN coalesce(t, '') = '' THEN 'empty' ELSE array_to_string(list_filter([CASE WHEN n < {b.least_sentences} THEN concat('few sentences: ', n) WHEN n > {b.most_sentences} THEN concat('many sentences: ', n) END, "
+        f"CASE WHEN length(t) < {b.least_chars} THEN concat('few characters: ', length(t)) WHEN length(t) > {b.most_chars} THEN concat('many characters: ', length(t)) END, "
+        f"CASE WHEN len(f) > 0 THEN concat('forbidden: ', array_to_string(f, ', ')) END, CASE WHEN regexp_matches(t, '{_RE_MARKS}') OR regexp_matches(t, '{summaries.EMOJI}') THEN 'marks' END], lambda x: x IS NOT NULL), '; ') END AS errors "
+        f"FROM (SELECT doc_id, t, len(list_filter(string_split(t, '.'), lambda s: regexp_matches(s, '\\S'))) AS n, list_filter([{found}], lambda x: x IS NOT NULL) AS f FROM (SELECT doc_id, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS t FROM documents))"
+    )
+
+
+_NO_WORDS = ("pass", "tion", "###", "é")
+
+
+@query(_errors_sql("report", _NO_WORDS))
+def summary_checks(spark: SparkSession, folder: str) -> DataFrame:
+    """What every document lacks as a report."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return docs.select("doc_id", F.array_join(summaries.errors(F.col("text"), "report", _NO_WORDS), "; ").alias("errors"))

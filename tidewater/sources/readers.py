@@ -121,3 +121,36 @@ def json_map(column: Column) -> Column:
 def newest_non_blank(df: DataFrame, text: str, order: Column, n: int) -> DataFrame:
     """Non-blank texts among the newest n rows: the limit comes first."""
     return df.orderBy(order).limit(n).filter(F.trim(text) != "")
+
+
+def review_records(df: DataFrame) -> DataFrame:
+    """Stored rows as reviews: each column from the first of its names that has a value, with defaults where none has.
+
+    Names that the table lacks count as null.  Dates that don't parse are null.
+    """
+    first = lambda *names: F.coalesce(*[F.col(n) for n in names if n in df.columns], F.lit(None))
+    text_of = lambda name: F.coalesce(first(name).cast("string"), F.lit(""))
+    date = F.nullif(first("review_date").cast("string"), F.lit(""))
+    return df.select(
+        first("id", "review_id").cast("long").alias("id"), F.coalesce(first("branch_id").cast("long"), F.lit(0)).alias("branch_id"), text_of("content").alias("content"), text_of("branch_name").alias("branch_name"),
+        first("rating_service", "rating").cast("double").alias("rating"), F.try_to_timestamp(F.coalesce(date, first("created_at").cast("string"))).alias("created_at"),
+        F.coalesce(first("helpful_count", "like_count").cast("long"), F.lit(0)).alias("like_count"), F.coalesce(first("is_blind").cast("boolean"), F.lit(False)).alias("is_blind"),
+        text_of("car_model").alias("car_model"), text_of("company_name").alias("company_name"), F.coalesce(F.nullif(first("status").cast("string"), F.lit("")), F.lit("normal")).alias("status"),
+    )
+
+
+AFFILIATE = "id string, name string, location struct<address:string,latitude:string,longitude:string>, tel struct<number:string>"
+
+
+def affiliates(df: DataFrame, payload: str, kind: str = "PARTNERS") -> DataFrame:
+    """Partner records, a JSON object a row, as affiliates: place and telephone from their own objects, '' where they are missing, places that are no numbers null.
+
+    Records that aren't JSON have a null id.
+    """
+    r = F.from_json(payload, AFFILIATE)
+    blank = lambda c: F.coalesce(c, F.lit(""))
+    number = lambda c: F.nullif(c, F.lit("")).try_cast("double")
+    return df.withColumn("_r", r).select(
+        F.col("_r.id").try_cast("long").alias("affiliate_index"), blank(F.col("_r.name")).alias("name"), F.lit(kind).alias("location_type"), blank(F.col("_r.location.address")).alias("address"), blank(F.col("_r.tel.number")).alias("phone"),
+        number(F.col("_r.location.latitude")).alias("latitude"), number(F.col("_r.location.longitude")).alias("longitude"), F.lit(True).alias("is_active"), F.col(payload).alias("raw_data"),
+    )
