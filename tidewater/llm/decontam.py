@@ -11,7 +11,8 @@ read once for each block, and with one block (the usual benchmark) nothing is sh
 that share n - 1 words, so that no piece, and so no block, is larger than its bound.
 
 Null texts have no words; null item ids count as the empty string; equal item ids are one item; equal rows each give a row.  Documents
-may be as long as a row may be: a text is one row and its words are held one text at a time.
+may be as long as a row may be: a text is one row and its words are held one text at a time.  Empty tables on either side are no error, and other columns
+are ignored.
 """
 
 from __future__ import annotations

@@ -175,7 +175,8 @@ def scan(docs: DataFrame, notices: Sequence[tuple[str, str]] = NOTICES, containe
     """doc_id, n_matches and matches (license, first_word, end_word, containment) of each row of docs, without a shuffle.
 
     A null or empty text has none; a text of fewer than five words can only match a template of as many.  Words are counted as runs
-    of letters and digits.  Templates contained in longer ones are reported beside them.  Other columns are ignored.
+    of letters and digits.  Templates contained in longer ones are reported beside them.  Null and repeated ids are kept, each row is scanned
+    for itself, and a text of any length is scanned whole.  An empty table gives no rows.  Other columns are ignored.
     """
     index = Templates.build([n for n in notices if len(shingles(n[1]))])
 

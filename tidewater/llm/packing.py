@@ -204,7 +204,7 @@ def _place(capacity: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
 def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, close: int = 0) -> DataFrame:
     """Pieces of all documents with their place: doc_id, piece, start, length, ids_crc32, sequence_id and offset.
 
-    A null or empty text is the closing id alone.  Rows of one doc_id are packed each for itself; a null doc_id stays null.  An empty
+    A null or empty text is the closing id alone, and a text of any length is cut only into pieces of capacity.  Rows of one doc_id are packed each for itself; a null doc_id stays null.  An empty
     table gives no rows.  Other columns are ignored.
     """
     rows, size = docs.agg(F.count(F.lit(1)), F.sum(F.octet_length(F.col("text").cast("string")))).first()

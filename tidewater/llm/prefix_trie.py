@@ -15,7 +15,7 @@ text, which it streams through the hash.  One SHA-256 over all ids of a hot conv
 
 A range holds about ``range_bytes`` bytes of sequences (24 a turn); one conversation's turns must fit into a task.  Null roles and texts are empty; turns
 are ordered by number, null first, then by role and text, and equal turns each count.  Rows without conv_id belong to no conversation.
-An empty table has no nodes.
+An empty table has no nodes.  Other columns are ignored.
 """
 
 from __future__ import annotations

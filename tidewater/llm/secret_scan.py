@@ -117,7 +117,7 @@ def spans(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
 def scan(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     """doc_id, h (xxhash64 of the text), n_assign, n_access, n_hex, base and all: arrays of (start, kind, end), one row per row of docs.
 
-    Places are code points, ends exclusive.  A null or empty text has no spans.  Equal rows come out as often as they go in; a null
+    Places are code points, ends exclusive.  A null or empty text has no spans, and a text of any length is scanned whole.  Equal rows come out as often as they go in; a null
     doc_id stays null.  Weak parts that overlap a base span are left out.  Other columns are ignored.
     """
     span = F.struct("start", "kind", "end")

@@ -115,7 +115,7 @@ def edited_and_next(docs: DataFrame, bytes_per_part: int = 12 << 20) -> DataFram
 
     The next document is that of the next smaller doc_id, after the smallest the largest; null is the smallest, and rows of one
     doc_id stand in order of their text.  The edited text has the last half of the code points (rounded down) replaced by as many
-    first ones of the next document.  One row per row of docs; a null text is empty.  A lone row is its own next.  Other columns are ignored.
+    first ones of the next document.  One row per row of docs, of equal ones each; a null text is empty, and texts of any length are read whole.  A lone row is its own next.  Other columns are ignored.
 
     Ids are cut into ranges at approximate quantiles; the first document of a range is also sent to the one before it in order.
     """

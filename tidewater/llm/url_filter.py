@@ -161,7 +161,8 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str]]) -> DataFrame:
 
     A rule's verdict stands.  Of the others, those whose score is above the calibrated threshold are blocked.  Null and empty URLs have
     empty host and path, score 0 and are allowed.  Without labelled URLs of both kinds there is nothing to learn: what has no rule
-    is allowed.  Other columns are ignored.
+    is allowed.  Each row counts for itself: page_id may be null or stand several times, and equal URLs have equal verdicts.  A URL of any length is
+    read whole.  An empty table gives no rows.  Other columns are ignored.
     """
     host, path = split_url(F.col("url").cast("string"))
     rows = pages.select("page_id", host.alias("host"), path.alias("path")).withColumn("found", rule_of(F.col("host"), F.col("path"), rules))

@@ -12,7 +12,7 @@ driver come codebooks only: parts x entries x width numbers, whatever the input.
 Rows go whose vector is null, holds a null or non-finite component, has another length than most vectors have (ties: the longer) or a
 component outside +-2**26 / scale, whose squares would leave 64-bit sums.  Lengths that the parts don't divide are filled up with zeros.
 Null ids count as the greatest; rows of one id are ordered by their components.  With fewer kept vectors than entries the codebook has
-as many entries as there are vectors; an empty table gives no rows.
+as many entries as there are vectors; an empty table gives no rows.  Other columns are ignored.
 """
 
 from __future__ import annotations
