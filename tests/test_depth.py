@@ -70,6 +70,8 @@ def test_words_inside_texts(spark):
     want = [(i, w) for i, t in texts for w in {w for w in words if w} if t is not None and w in t]
     assert rows(got.select("id", "word")) == sorted(want, key=repr) and got.columns == [*df.columns, "word"]
     assert "NestedLoop" not in plan(got) and "Cartesian" not in plan(got)
+    small = skew.containing(df, "text", spark.createDataFrame([(w,) for w in words], "word string"), "word", block=16)
+    assert rows(small.select("id", "word")) == sorted(want, key=repr)
     assert rows(skew.containing(df, "text", spark.createDataFrame([("",)], "word string"), "word")) == []
 
 

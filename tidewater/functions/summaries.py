@@ -32,21 +32,37 @@ MARKS = (
 EMOJI = r"[\x{1F600}-\x{1F64F}\x{1F300}-\x{1F5FF}\x{1F680}-\x{1F6FF}\x{1F1E0}-\x{1F1FF}\x{1F900}-\x{1F9FF}\x{1FA00}-\x{1FA6F}\x{1FA70}-\x{1FAFF}\x{2600}-\x{26FF}\x{2700}-\x{27BF}]"
 
 
+#: A character that a text with the mark must have, for each of the marks; texts without it aren't searched.
+_SIGNS = ("**", "__", "*", "#", "](", "`", None, ".", "[")
+
+
 def marked(text: Column) -> Column:
     """Whether a text has marks or emoji."""
-    return text.rlike("(?m)(?:" + "|".join(MARKS) + ")") | text.rlike(EMOJI)
+    found = text.rlike(EMOJI)
+    for sign, pattern in zip(_SIGNS, MARKS, strict=True):
+        here = text.rlike("(?m)" + pattern)
+        found = found | (here if sign is None else F.contains(text, F.lit(sign)) & here)
+    return found
 
 
 def errors(text: Column, mode: str = "summary", forbidden: tuple[str, ...] = FORBIDDEN) -> Column:
     """What is wrong with a summary, in order: empty, or few or many sentences (ended by full stops), few or many characters, forbidden words, marks."""
     b = BOUNDS[mode]
-    body = F.regexp_replace(text, r"^\s+|\s+$", "")
-    n, length = sentences(body), F.length(body)
-    low = F.lower(body)
-    words = F.array_compact(F.array(*[F.when(F.contains(low, F.lit(w)), F.lit(w)) for w in forbidden]))
-    found = F.array_compact(F.array(
-        F.when(n < b.least_sentences, F.concat(F.lit("few sentences: "), n.cast("string"))).when(n > b.most_sentences, F.concat(F.lit("many sentences: "), n.cast("string"))),
-        F.when(length < b.least_chars, F.concat(F.lit("few characters: "), length.cast("string"))).when(length > b.most_chars, F.concat(F.lit("many characters: "), length.cast("string"))),
-        F.when(F.size(words) > 0, F.concat(F.lit("forbidden: "), F.array_join(words, ", "))), F.when(marked(body), F.lit("marks")),
-    ))
-    return F.when(F.coalesce(body, F.lit("")) == "", F.array(F.lit("empty"))).otherwise(found)
+    trimmed = F.regexp_replace(text, r"^\s+|\s+$", "")
+
+    def judged(x: Column) -> Column:
+        body, n, length, words = x["body"], x["n"], x["length"], x["words"]
+        found = F.array_compact(F.array(
+            F.when(n < b.least_sentences, F.concat(F.lit("few sentences: "), n.cast("string"))).when(n > b.most_sentences, F.concat(F.lit("many sentences: "), n.cast("string"))),
+            F.when(length < b.least_chars, F.concat(F.lit("few characters: "), length.cast("string"))).when(length > b.most_chars, F.concat(F.lit("many characters: "), length.cast("string"))),
+            F.when(F.size(words) > 0, F.concat(F.lit("forbidden: "), F.array_join(words, ", "))), F.when(marked(body), F.lit("marks")),
+        ))
+        return F.when(F.coalesce(body, F.lit("")) == "", F.array(F.lit("empty"))).otherwise(found)
+
+    def measured(body: Column) -> Column:
+        low = F.lower(body)
+        words = F.array_compact(F.array(*[F.when(F.contains(low, F.lit(w)), F.lit(w)) for w in forbidden]))
+        return F.struct(body.alias("body"), sentences(body).alias("n"), F.length(body).alias("length"), words.alias("words"))
+
+    # Each step is worked out once and handed on
+    return F.transform(F.transform(F.array(trimmed), measured), judged)[0]

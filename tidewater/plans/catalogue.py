@@ -422,7 +422,7 @@ def strip_html(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "pages").select("page_id", text.strip_html(F.col("html")).alias("text"))
 
 
-@query(r"SELECT doc_id, CAST(len(list_filter(string_split(text, '.'), lambda s: trim(s, ' ') <> '')) AS INTEGER) AS sentences FROM documents")
+@query(r"SELECT doc_id, CAST(len(list_filter(string_split(text, '.'), lambda s: regexp_matches(s, '\S'))) AS INTEGER) AS sentences FROM documents")
 def sentence_counts(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "documents").select("doc_id", text.sentences(F.col("text")).alias("sentences"))
 

@@ -332,7 +332,7 @@ def report_marks(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "documents").select("doc_id", text.strip_report_marks(F.col("text")).alias("plain"))
 
 
-# Korean texts: the test tables have none, so a document's words choose, by their hashes, which of some reviews it says
+# Korean texts: the test tables have none, so parts of a document's words choose which of some reviews it says
 
 REVIEWS = (
     "직원분이 정말 친절하셨고 차량도 깨끗해서 만족합니다", "가격은 저렴한데 차가 너무 더러웠어요. 담배냄새가 심했습니다", "배차가 늦어서 한참을 기다렸습니다. 직원도 불친절했어요", "걱정했는데 괜한 걱정이었어요. 깨끗하고 친절해서 감사합니다",
@@ -345,11 +345,14 @@ REGISTRY = {
 }
 
 
+#: A text that holds the part at a place says the review at that place.
+_PARTS = ("tion", "que", "sch", "ño", "ing", "ver", "é", "ta", "#")
+
+
 def _korean(spark: SparkSession, folder: str) -> DataFrame:
-    """All documents, each as the reviews that its words choose, in the order of the list; a null text stays null."""
-    said = F.array(*[F.lit(r) for r in REVIEWS])
-    places = F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(r"\S+"), F.lit(0)), lambda w: F.pmod(F.length(w) * 7 + F.ascii(w), F.lit(len(REVIEWS))))))
-    return table(spark, folder, "documents").select(F.col("doc_id").alias("review_id"), F.array_join(F.transform(F.filter(places, lambda i: i % 4 != F.size(places) % 4), lambda i: F.get(said, i)), ". ").alias("content"))
+    """All documents, each as the reviews that parts of its words choose, in the order of the list; a null text says nothing."""
+    said = F.array_compact(F.array(*[F.when(F.contains("text", F.lit(part)), F.lit(review)) for part, review in zip(_PARTS, REVIEWS, strict=True)]))
+    return table(spark, folder, "documents").select(F.col("doc_id").alias("review_id"), F.array_join(said, ". ").alias("content"))
 
 
 def _judged_once(rows: DataFrame, judged: Column) -> DataFrame:
