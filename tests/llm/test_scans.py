@@ -174,3 +174,24 @@ def test_url_model_counts_are_exact(spark):
     assert sorted(r.page_id for r in scored) == list(range(7))
     for r in scored:
         assert abs(r.score - (log_ratio(asked[r.page_id]) if asked[r.page_id] else 0.0)) < 1e-9
+
+
+def test_threshold_against_brute_force(spark):
+    rng = random.Random(21)
+    rows = [(b, rng.gauss(0.3 if b else -0.2, 0.25)) for b in (rng.random() < 0.4 for _ in range(400))]
+    cut = url_filter._threshold(spark.createDataFrame(rows, "blocked boolean, score double"))
+    wrong = lambda c: sum(s > c for b, s in rows if not b) / sum(not b for b, _ in rows) + sum(s <= c for b, s in rows if b) / sum(b for b, _ in rows)
+    assert wrong(cut) <= min(wrong(s) for _, s in rows) + 0.03
+    same = [(i % 2 == 0, float(i // 2 % 50) / 50) for i in range(400)]
+    assert url_filter._threshold(spark.createDataFrame(same, "blocked boolean, score double")) == float("inf")
+    few = [(True, 1.0), (False, -1.0)]
+    assert url_filter._threshold(spark.createDataFrame(few, "blocked boolean, score double")) == float("inf")
+    assert url_filter._threshold(spark.createDataFrame([(True, 1.0)] * 9, "blocked boolean, score double")) == float("inf")
+
+
+def test_labels_that_say_nothing_block_nothing(spark):
+    rng = random.Random(22)
+    rows = [(i, f"http://{('h.com/ok/', 'h.net/no/', 'h.info/')[i % 3]}{prose(rng, 3).replace(' ', '/')}") for i in range(300)]
+    got = url_filter.judge(spark.createDataFrame(rows, "page_id long, url string"), [("allow", "com/ok/"), ("block", "net/no/")]).collect()
+    assert {r.verdict for r in got if r.rule is None} == {"allow"} and len(got) == 300
+    assert {r.verdict for r in got if r.rule == "net/no/"} == {"block"}

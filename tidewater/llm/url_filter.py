@@ -1,9 +1,14 @@
 """URL filters: rules first, and for the rest the ratio of two character language models.
 
-URLs that a rule judges are the labelled ones: those allowed train the accepting model, those blocked the rejecting one.  Each is a
+URLs that a rule judges are the labelled ones, without the parts that the rule states, since a model of these would only learn the rule: those allowed
+train the accepting model, those blocked the rejecting one.  Each is a
 Markov model of variable order: the probability of a byte after its last few bytes, smoothed by that after one byte fewer, down to a
 uniform one.  Counts are exact, one row of a Spark table for each context and byte that labelled URLs have, so the model grows with them.  A URL is blocked if the difference of its
-log-likelihoods, divided by its length, is above a threshold that is set on labelled URLs left out of the training.
+log-likelihoods, divided by its length, is above a threshold.
+
+For the threshold the labelled URLs are dealt into halves by what they say, and each half is scored by the models of the other one.  It stands
+where the two kinds are told apart best.  If they are told apart no better there than chance would do in one of a hundred tries (Kolmogorov and
+Smirnov's test), there is nothing to judge by, and what has no rule is allowed.
 """
 
 from __future__ import annotations
@@ -24,8 +29,9 @@ ORDER = 4
 BLOCK = 4096
 #: Weight of the shorter context, in observations.
 SMOOTH = 2.0
-HELD_OUT = 5
 BINS, SPAN = 1024, 4.0
+#: Least distance of two samples' distributions that chance exceeds once in a hundred tries, times the root of their harmonic size.
+CHANCE = 1.63
 _CLASSES = ("allow", "block")
 
 
@@ -40,12 +46,13 @@ def split_url(url: Column) -> tuple[Column, Column]:
 
 
 def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -> Column:
-    """The longest of (verdict, rule) that fits a host or a parent of it and the path's start: a struct of rule and verdict, or null."""
+    """The longest of (verdict, rule) that fits a host or a parent of it and the path's start: a struct of rule, verdict and what else the URL says, or null."""
     fits = []
     for verdict, rule in sorted(rules, key=lambda r: (-len(r[1]), r[1])):
         domain, slash, start = rule.partition("/")
         same = (host == domain) | host.endswith("." + domain)
-        fits.append(F.when(same & path.startswith(slash + start), F.struct(F.lit(rule).alias("rule"), F.lit(verdict).alias("verdict"))))
+        rest = F.concat(F.substring(host, F.lit(1), F.length(host) - len(domain)), F.substr(path, F.lit(len(slash + start) + 1)))
+        fits.append(F.when(same & path.startswith(slash + start), F.struct(F.lit(rule).alias("rule"), F.lit(verdict).alias("verdict"), rest.alias("rest"))))
     return F.coalesce(*fits)
 
 
@@ -83,17 +90,26 @@ def train(labelled: DataFrame) -> DataFrame:
 
 
 def ratios(grams: DataFrame, model: DataFrame) -> DataFrame:
-    """gram and its ratio: the log-probability of its last byte after the others under the rejecting model less that under the accepting one."""
-    totals = model.groupBy("order", "context").agg(*[F.sum(c).alias(f"{c}_seen") for c in _CLASSES])
-    parts = grams.select("gram", _levels().alias("at")).select("gram", "at.*")
-    found = parts.join(model.drop("context"), ["order", "joint"], "left").join(totals, ["order", "context"], "left")
+    """gram and its ratio: the log-probability of its last byte after the others under the rejecting model less that under the accepting one.
+
+    The empty context is no key of the joins: its 256 rows and one row of totals go to every task.
+    """
+    seen = [f"{c}_seen" for c in _CLASSES]
+    longer = model.filter(F.col("order") > 0)
+    totals = longer.groupBy("order", "context").agg(*[F.sum(c).alias(n) for c, n in zip(_CLASSES, seen, strict=True)])
+    parts = grams.select("gram", _levels().alias("at")).select("gram", "at.*").filter(F.col("order") > 0)
+    found = parts.join(longer.drop("context"), ["order", "joint"], "left").join(totals, ["order", "context"], "left")
     names = [n for c in _CLASSES for n in (c, f"{c}_seen")]
-    wide = found.groupBy("gram").agg(*[F.coalesce(F.max(F.when(F.col("order") == k, F.col(n))), F.lit(0)).alias(f"{n}_{k}") for k in range(ORDER + 1) for n in names])
+    wide = found.groupBy("gram").agg(*[F.coalesce(F.max(F.when(F.col("order") == k, F.col(n))), F.lit(0)).alias(f"{n}_{k}") for k in range(1, ORDER + 1) for n in names])
+    single = model.filter(F.col("order") == 0)
+    bytes_ = single.select(F.col("joint").alias("last"), *[F.col(c).alias(f"{c}_0") for c in _CLASSES])
+    whole = single.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(f"{c}_seen_0") for c in _CLASSES])
+    wide = wide.withColumn("last", F.col("gram").bitwiseAND(F.lit(255))).join(F.broadcast(bytes_), "last", "left").join(F.broadcast(whole), how="cross")
     logs = []
     for c in _CLASSES:
         chance = F.lit(1.0 / 256)
         for k in range(ORDER + 1):
-            chance = (F.col(f"{c}_{k}") + F.lit(SMOOTH) * chance) / (F.col(f"{c}_seen_{k}") + F.lit(SMOOTH))
+            chance = (F.coalesce(F.col(f"{c}_{k}"), F.lit(0)) + F.lit(SMOOTH) * chance) / (F.col(f"{c}_seen_{k}") + F.lit(SMOOTH))
         logs.append(F.log(chance))
     return wide.select("gram", (logs[1] - logs[0]).alias("ratio"))
 
@@ -143,14 +159,19 @@ def score(rows: DataFrame, model: DataFrame) -> DataFrame:
 
 
 def _threshold(scored: DataFrame) -> float:
-    """Between the bins where the two classes' error rates sum to least; nearest to 0 of equals."""
+    """Between the bins where the two classes' error rates sum to least, nearest to 0 of equals; infinite where that is no better than chance."""
     place = F.least(F.lit(BINS - 1), F.greatest(F.lit(0), F.floor((F.col("score") + SPAN) * BINS / (2 * SPAN)))).cast("int")
     counts = np.zeros((2, BINS))
     for row in scored.groupBy(F.col("blocked").alias("blocked"), place.alias("bin")).count().collect():  # at most 2 * BINS rows
         counts[int(row["blocked"]), row["bin"]] = row["count"]
-    share = counts / np.maximum(counts.sum(axis=1, keepdims=True), 1)
+    size = counts.sum(axis=1)
+    if not size.all():
+        return float("inf")
+    share = counts / size[:, None]
     # Above the cut is blocked
-    wrong = np.concatenate([[1.0], 1.0 - np.cumsum(share[0])]) * (counts[0].sum() > 0) + np.concatenate([[0.0], np.cumsum(share[1])]) * (counts[1].sum() > 0)
+    wrong = np.concatenate([[1.0], 1.0 - np.cumsum(share[0])]) + np.concatenate([[0.0], np.cumsum(share[1])])
+    if 1.0 - wrong.min() <= CHANCE * np.sqrt((1.0 / size).sum()):
+        return float("inf")
     cuts = np.arange(BINS + 1) * 2 * SPAN / BINS - SPAN
     best = np.flatnonzero(wrong <= wrong.min() + 1e-12)
     return float(cuts[best[np.argmin(np.abs(cuts[best]))]])
@@ -160,22 +181,20 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str]]) -> DataFrame:
     """page_id, host, path, rule, verdict and score of each row of pages.
 
     A rule's verdict stands.  Of the others, those whose score is above the calibrated threshold are blocked.  Null and empty URLs have
-    empty host and path, score 0 and are allowed.  Without labelled URLs of both kinds there is nothing to learn: what has no rule
+    empty host and path, score 0 and are allowed.  Without labelled URLs of both kinds, or where held-out ones aren't told apart, what has no rule
     is allowed.  Each row counts for itself: page_id may be null or stand several times, and equal URLs have equal verdicts.  A URL of any length is
     read whole.  An empty table gives no rows.  Other columns are ignored.
     """
     host, path = split_url(F.col("url").cast("string"))
     rows = pages.select("page_id", host.alias("host"), path.alias("path")).withColumn("found", rule_of(F.col("host"), F.col("path"), rules))
-    rows = rows.select("page_id", "host", "path", F.col("found.rule").alias("rule"), F.col("found.verdict").alias("verdict"), F.concat("host", "path").alias("shown"))
-    labelled = rows.filter(F.col("rule").isNotNull()).select("shown", (F.col("verdict") == "block").alias("blocked"))
-    held_out = F.pmod(F.xxhash64("shown"), F.lit(HELD_OUT)) == 0
-    model = store(train(labelled.filter(~held_out)))
-    scored = store(score(rows, model))
-    seen = model.filter(F.col("order") == 0).agg(*[F.sum(c) for c in _CLASSES]).first()
-    if not all(seen):
-        cut = float("inf")
-    else:
-        cut = _threshold(scored.filter(F.col("rule").isNotNull() & held_out).select((F.col("verdict") == "block").alias("blocked"), "score"))
+    rows = rows.select("page_id", "host", "path", F.col("found.rule").alias("rule"), F.col("found.verdict").alias("verdict"), F.col("found.rest").alias("rest"), F.concat("host", "path").alias("shown"))
+    labelled = rows.filter(F.col("rule").isNotNull()).select(F.col("rest").alias("shown"), (F.col("verdict") == "block").alias("blocked"), F.pmod(F.xxhash64("rest"), F.lit(2)).alias("half"))
+    halves = [labelled.filter(F.col("half") == k).drop("half") for k in range(2)]
+    models = [store(train(half)) for half in halves]
+    held_out = score(halves[0], models[1]).unionByName(score(halves[1], models[0]))
+    cut = _threshold(held_out.select("blocked", "score"))
+    both = store(models[0].unionByName(models[1]).groupBy("order", "joint", "context").agg(*[F.sum(c).alias(c) for c in _CLASSES]))
+    scored = score(rows.drop("rest"), both)
     blocked = (F.col("shown") != "") & (F.col("score") > cut)
     verdict = F.coalesce("verdict", F.when(blocked, "block").otherwise("allow"))
     return scored.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "score")
