@@ -14,6 +14,7 @@ from .catalogue import _COUNTS, _percent, query
 
 # The star: line items are reviews, orders by state three kinds of reservations, suppliers, nations and regions three kinds of branches
 
+# Classes of cars and kinds of affiliates by their code.
 CAR_TYPES = {0: "경형", 1: "소형", 2: "준중형", 3: "중형", 4: "대형", 5: "수입", 6: "RV", 7: "SUV"}
 AFFILIATES = {1: "파트너스", 2: "JEJU_API", 3: "GLOBAL_API"}
 
