@@ -66,6 +66,13 @@ def test_urls_without_ids_repeated_and_very_long(spark, tmp_path):
     assert [len(r.path) for r in got if r.page_id == 2 and r.host] == [1_500_001]
 
 
+def test_url_rules_are_those_of_the_contract(spark, tmp_path):
+    urls = ["http://example.com/en/8", "http://example.com/en/7", "http://a.example.net/de/1", "http://example.net/de/8/9", "http://b.example.net/de/8", "http://example.org/es/1"]
+    spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.page_id: (r.rule, r.verdict) for r in queries.op8_url_filter(spark, str(tmp_path)).collect()}
+    assert [got[i] for i in range(6)] == [("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("example.net/de/8", "block"), ("org/es/", "block")]
+
+
 def test_stages_keep_hard_rows_whole(spark, hard):
     docs = spark.read.parquet(f"{hard[0]}/documents.parquet")
     kept = corpus_pipeline.keep_quality(spark, docs, hard[0])
