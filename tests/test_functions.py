@@ -73,6 +73,11 @@ def test_clauses(spark, given, want):
     assert value(spark, text.clauses(F.col("t"), ["그리고", "하지만"], ["지만", "는데", "고"]), (given,), schema="t string") == [want]
 
 
+def test_clauses_keep_digits_like_their_place(spark):
+    assert value(spark, text.clauses(F.col("t"), ["그리고"]), (" 00 그리고 101 그리고 202 ",), schema="t string") == [["101", "202"]]
+    assert value(spark, text.clauses(F.col("t"), ["그리고"]), ("0점 입니다 그리고 1점 입니다 11",), schema="t string") == [["0점 입니다", "1점 입니다 11"]]
+
+
 def test_stem_takes_the_longest_suffix_that_leaves_a_character(spark):
     got = value(spark, text.stem(F.col("w"), ["한", "하는", "는", "합니다"]), ("친절하는",), ("하는",), ("친절한",), ("한",), (" ",), schema="w string")
     assert got == ["친절", "하", "친절", "한", " "]

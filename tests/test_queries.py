@@ -46,3 +46,12 @@ def test_query_without_sql_reads_all_documents(spark, name):
     n = spark.read.parquet(f"{FOLDER}/documents.parquet").count()
     rows = df.collect()
     assert 0 < len({r[0] for r in rows}) <= n and (name in ("korean_hygiene", "korean_aspects") or len(rows) == n)
+
+
+def test_clauses_of_odd_texts_and_sql_agree(spark, tmp_path):
+    texts = ["0 cars and 11 seats and 202", " first one  and  second one ", "a and b", "ab", "", " ", None, "one\u00a0and\u00a0two", "one\x0band\x0btwo", "one\tand\n two \u3000and\fthree", "abc and and def", "and only", " 00 and 11 and 222 "]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    got = [tuple(r) for r in catalogue.QUERIES["clause_chunks"](spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(con.execute(catalogue.ORACLE_SQL["clause_chunks"]).fetchall())

@@ -95,17 +95,21 @@ def contains_any(text: Column, words: Sequence[str]) -> Column:
     return F.lower(text).rlike(quoted([w.lower() for w in words]))
 
 
-def clauses(text: Column, conjunctions: Sequence[str], endings: Sequence[str] = (), fine: bool = False, least: int = 3) -> Column:
+def clauses(text: Column, conjunctions: Sequence[str], endings: Sequence[str] = (), fine: bool = False, least: int = 3, space: str = r"\s", alone: bool = True) -> Column:
     """Clauses of a text: cut at conjunctions (dropped) between white space, then after connective endings, and, if fine, after stops and commas.
 
-    Clauses are trimmed and those under least characters go; a text of which none is left is its own clause if it is long enough.
+    Clauses are trimmed of spaces and those under least characters go; a text of which none is left is its own clause if it is long enough, unless alone is
+    false.  White space around conjunctions is Unicode's, or what another pattern states.
     """
-    parts = F.split(text, _UNICODE + r"\s+(?:" + "|".join(conjunctions) + r")\s+")
+    parts = F.split(text, _UNICODE + f"{space}+(?:" + "|".join(conjunctions) + f"){space}+")
     if endings:
         parts = F.flatten(F.transform(parts, lambda x: F.split(F.regexp_replace(x, _UNICODE + r"((?<=[가-힣])(?:" + "|".join(endings) + r"))\s+", "$1\u0001"), "\u0001")))
     if fine:
         parts = F.flatten(F.transform(parts, lambda x: F.split(x, _UNICODE + r"[.!?]\s+|,\s+")))
-    parts = F.filter(F.transform(parts, F.trim), lambda x: F.length(x) >= least)
+    # Not F.trim itself: transform would pass the place as the characters to trim
+    parts = F.filter(F.transform(parts, lambda x: F.trim(x)), lambda x: F.length(x) >= least)
+    if not alone:
+        return parts
     whole = F.when(F.length(F.trim(text)) >= least, F.array(F.trim(text))).otherwise(F.array().cast("array<string>"))
     return F.when(F.size(parts) > 0, parts).otherwise(whole)
 
