@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from tidewater.plans import catalogue, depth, pages, streams, tagged  # noqa: F401  all of them add their queries
+from tidewater.plans import catalogue, depth, pages, streams, tagged, tpch  # noqa: F401  all of them add their queries
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -55,3 +55,10 @@ def test_clauses_of_odd_texts_and_sql_agree(spark, tmp_path):
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
     got = [tuple(r) for r in catalogue.QUERIES["clause_chunks"](spark, str(tmp_path)).collect()]
     assert sorted(got) == sorted(con.execute(catalogue.ORACLE_SQL["clause_chunks"]).fetchall())
+
+
+def test_parts_and_their_words_are_not_broadcast(spark):
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    for made in (tpch.described, tpch.tagged):
+        assert "BroadcastHashJoin" not in plan(made(spark, FOLDER)) and "SortMergeJoin" in plan(made(spark, FOLDER))
+    assert "lineitem" not in plan(catalogue.QUERIES["model_ranking"](spark, FOLDER)), "reviews are read once, before the ranking"

@@ -27,13 +27,14 @@ def parts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def described(spark: SparkSession, folder: str) -> DataFrame:
-    return reviews(spark, folder).join(parts(spark, folder), "part_id")
+    """Reviews with their parts, by a merge join: parts grow with the reviews, and files of repeated values are far smaller than their rows in a broadcast."""
+    return reviews(spark, folder).join(parts(spark, folder).hint("merge"), "part_id")
 
 
 def tagged(spark: SparkSession, folder: str) -> DataFrame:
-    """A row for each review and word of its part's name; the words are split off the small table before the join."""
+    """A row for each review and word of its part's name; the words are split off the smaller table before the join, which merges as above."""
     tags = parts(spark, folder).select("part_id", "car_model", "category", F.explode(F.split("part_name", " ")).alias("tag"))
-    return reviews(spark, folder).join(tags, "part_id")
+    return reviews(spark, folder).join(tags.hint("merge"), "part_id")
 
 
 def branches(spark: SparkSession, folder: str) -> DataFrame:

@@ -34,15 +34,20 @@ def csv(spark: SparkSession, path: str) -> DataFrame:
     return df.toDF(*[c.lstrip("﻿").strip() for c in df.columns])
 
 
+def written(df: DataFrame) -> DataFrame:
+    """The same rows, written to a new shared folder and read back: what reads them often computes them once."""
+    path = work_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def numbered(df: DataFrame, name: str, first: int = 0) -> DataFrame:
     """Rows with their place in the order of the partitions.  Places inside a partition are its own; only one row a partition is summed in one task.
 
     The rows are written with their places once, so that both sides of the join see the same ones.
     """
     spread = df.withColumn("_m", F.monotonically_increasing_id()).withColumns({"_p": F.shiftright("_m", 33), "_i": F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))})
-    path = work_folder(df.sparkSession)
-    spread.write.parquet(path)
-    spread = df.sparkSession.read.schema(spread.schema).parquet(path)
+    spread = written(spread)
     ahead = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
     counts = spread.groupBy("_p").count().select("_p", F.coalesce(F.sum("count").over(ahead), F.lit(0)).alias("_before"))
     return spread.join(counts, "_p").withColumn(name, F.col("_before") + F.col("_i") + first).drop("_m", "_p", "_i", "_before")
